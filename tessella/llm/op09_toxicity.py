@@ -1,8 +1,8 @@
 """Toxicity: cumulative-link ordinal regression on sparse text features.
 
 P(grade > k) = 1 / (1 + exp(-(w . x - threshold_k))), the weights w shared by all thresholds, which are
-kept in order. x holds the words of a text (each once) among those that the labelled sample ties to
-toxic texts. The score is the expected severity, the sum of P(grade > k) over k.
+kept in order. x holds the words of a text and their beginnings (each once) among those that the
+labelled sample ties to toxic texts. The score is the expected severity, the sum of P(grade > k) over k.
 
 The labels have one toxic flag; grades come from it and the text: 0 for clean, and for toxic 1, 2 or 3
 by the number of occurrences of tell-tale words (those that occur in toxic texts only, by and large),
@@ -33,6 +33,14 @@ def words(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(FOLD).split() if isinstance(text, str) else []
 
 
+def features_of(distinct: set[bytes]) -> set[bytes]:
+    """The words and their beginnings of 4, 5 and 6 bytes, which stand for inflected forms."""
+    out = set(distinct)
+    for n in (4, 5, 6):
+        out |= {b"^" + w[:n] for w in distinct if len(w) >= n}
+    return out
+
+
 def sample_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(text, toxic) of about `sample` labelled documents at most, chosen by a hash of the id. Only the
     sampled labels, whose number is bounded, are broadcast; no text is shuffled. Repeated labels of a
@@ -81,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
         for batch in batches:
             found: dict[bytes, list[int]] = {}
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                for word in set(words(text)):
+                for word in features_of(set(words(text))):
                     found.setdefault(word, [0, 0])[int(toxic > 0)] += 1
             yield pd.DataFrame([(w, *n) for w, n in found.items()], columns=["word", "clean", "toxic"])
 
@@ -101,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             split = [words(t) for t in batch["text"]]
-            yield pd.DataFrame({"x": [sorted({number[w] for w in s if w in number}) for s in split], "hits": [sum(w in telling for w in s) for s in split], "toxic": batch["toxic"]})
+            yield pd.DataFrame({"x": [sorted(number[w] for w in number.keys() & features_of(set(s))) for s in split], "hits": [sum(not telling.isdisjoint(features_of({w})) for w in s) for s in split], "toxic": batch["toxic"]})
 
     rows = chosen.mapInPandas(featured, "x array<int>, hits long, toxic int").toPandas()  # the bounded sample
     toxic, hits = rows["toxic"].to_numpy() > 0, rows["hits"].to_numpy()
@@ -121,7 +129,7 @@ def rate(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     def score(texts: pd.Series) -> pd.DataFrame:
         model = shared.value
         number, weights, thresholds = model["words"], model["weights"], model["thresholds"]
-        found = [[number[w] for w in number.keys() & set(words(t))] for t in texts]
+        found = [[number[w] for w in features_of(set(words(t))) & number.keys()] for t in texts]
         z = np.array([weights[f].sum() if f else 0.0 for f in found])
         empty = np.array([not isinstance(t, str) or not t.strip() for t in texts], bool)
         above = 1 / (1 + np.exp(-np.clip(z[:, None] - thresholds, -30, 30)))
