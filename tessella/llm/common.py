@@ -66,3 +66,88 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+
+
+
+#: Members that a bucket holds others against first; members of a block, in the mean.
+LEADERS, BLOCK = 8, 128
+
+
+def bucket_links(reps: DataFrame, runs_of, alike, agree: int) -> DataFrame:
+    """Verified links (a, b) among texts that share a sketch, enough of them to connect whatever is
+    connected; a bucket of any size neither meets in one task nor makes all its pairs.
+
+    reps: (rep, sketches), one row a text; sketches is an array of longs of which equal numbers at one
+    place make a bucket. runs_of(ids (rep)) -> (rep, runs binary) of those texts. alike(x, y) decides on
+    two runs. agree: equal sketches that two similar texts have all but surely.
+
+    1. Each member is held against up to LEADERS members of its bucket.
+    2. Of buckets whose members aren't all connected by that, the members outside the bucket's first
+       component are held against all others, in pairs of blocks; only what links two components that
+       the block has not yet joined comes out.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    buckets = reps.select("rep", F.posexplode("sketches").alias("band", "bucket"))
+    slot = F.pmod(F.xxhash64("rep"), F.lit(LEADERS))
+    heads = buckets.groupBy("band", "bucket").agg(
+        F.count("*").alias("n"), *(F.min(F.when(slot == k, F.col("rep"))).alias(f"of_{k}") for k in range(LEADERS))
+    )
+    heads = heads.where("n > 1").select("band", "bucket", "n", F.array_compact(F.array(*(f"of_{k}" for k in range(LEADERS)))).alias("leaders"))
+    shared = staged(buckets.join(heads, ["band", "bucket"]), "shared")
+    pairs = shared.select("rep", F.explode("leaders").alias("leader")).where("rep <> leader")
+    pairs = pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+    runs = staged(runs_of(staged(shared.select("rep").distinct(), "paired")), "runs")
+
+    @F.pandas_udf("boolean")
+    def holds(x, y):
+        import pandas as pd
+
+        return pd.Series([alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)], dtype=bool)
+
+    both = pairs.join(runs.select(F.col("rep").alias("a"), F.col("runs").alias("of_a")), "a").join(runs.select(F.col("rep").alias("b"), F.col("runs").alias("of_b")), "b")
+    links = staged(both.where(holds("of_a", "of_b")).select("a", "b"), "links")
+
+    # what is still apart within a bucket
+    known = staged(connected_components(links), "components")
+    placed = shared.select("band", "bucket", "n", "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "rep"))
+    split = placed.groupBy("band", "bucket").agg(F.min("component").alias("first"), F.max("component").alias("last"))
+    apart = placed.where(F.col("n") > 2).join(split.where("first <> last"), ["band", "bucket"])
+    apart = apart.join(reps, "rep").join(runs, "rep")
+    block = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("n") / BLOCK)).alias("block")
+    member = F.struct("rep", "component", (F.col("component") != F.col("first")).alias("outer"), "sketches", "runs")
+    blocks = staged(apart.groupBy("band", "bucket", block).agg(F.collect_list(member).alias("members"), F.max(F.col("component") != F.col("first")).alias("outer")), "blocks")
+    left = blocks.select("band", "bucket", F.col("block").alias("i"), F.col("members").alias("of_i"), F.col("outer").alias("outer_i"))
+    right = blocks.select("band", "bucket", F.col("block").alias("j"), F.col("members").alias("of_j"), F.col("outer").alias("outer_j"))
+    crossed = left.join(right, ["band", "bucket"]).where("i <= j and (outer_i or outer_j)").select("band", "i", "j", "of_i", "of_j")
+
+    def compare(batches):
+        for batch in batches:
+            found = []
+            for band, i, j, mine, others in zip(*(batch[c].to_pylist() for c in ("band", "i", "j", "of_i", "of_j")), strict=True):
+                group: dict = {}
+
+                def root(x, group=group):
+                    while group.get(x, x) != x:
+                        x = group[x]
+                    return x
+
+                read_ = lambda rows: ([np.frombuffer(r["runs"], np.uint64) for r in rows], np.array([r["sketches"] for r in rows]))
+                (runs_i, sketch_i), (runs_j, sketch_j) = read_(mine), read_(others)
+                for p, x in enumerate(mine):
+                    same = sketch_j == sketch_i[p]
+                    # a pair is compared in the first band that both share, once
+                    for q in np.flatnonzero((same.sum(1) >= agree) & (same.argmax(1) == band)):
+                        y = others[q]
+                        if (i == j and q <= p) or not (x["outer"] or y["outer"]) or root(x["component"]) == root(y["component"]):
+                            continue
+                        if alike(runs_i[p], runs_j[q]):
+                            found.append((min(x["rep"], y["rep"]), max(x["rep"], y["rep"])))
+                            group[root(x["component"])] = root(y["component"])
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], batch["of_i"].type.value_type.field("rep").type), "b": pa.array([b for _, b in found], batch["of_i"].type.value_type.field("rep").type)})
+
+    kind = reps.schema["rep"].dataType.simpleString()
+    more = crossed.mapInArrow(compare, f"a {kind}, b {kind}")
+    return staged(links.union(more).distinct(), "links")

@@ -3,13 +3,13 @@
 Every 5-word run of a text is labelled with its occurrence number. A sketch is made of the three
 labelled runs that are smallest under one hash permutation, joined in the order in which they stand in
 the text, so two texts agree on it only if they share the runs and their order. Texts that agree on a
-sketch are candidates; each is aligned with its bucket's leader. The alignment is the longest common
+sketch are candidates; they are aligned. The alignment is the longest common
 subsequence of the labelled runs within a band, and the similarity (common runs over all runs, a
 Jaccard similarity that minds order) must reach 0.8.
 
-Exact copies fall into one class first and meet the join once. A bucket links to leaders only (each
-member to the first, those it refuses to the next, until none is over), so a bucket of any size makes
-as many pairs as it has members, not their square.
+Exact copies fall into one class first and meet the join once. A bucket's members are held against a
+few leaders, and only those that no leader connects against all others, in blocks that give out
+links alone (common.bucket_links).
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, read, staged
+from .common import bucket_links, connected_components, read, staged
 from .words import labelled, mixed, shingles, word_hashes
 
 WORDS, SIMILARITY, SKETCHES, MINIMA = 5, 0.8, 12, 3
@@ -93,32 +93,22 @@ def signatures(docs: DataFrame, text: str = "text", words: int = WORDS, count: i
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(sign, f"doc_id {kind}, class binary, sketches array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text: str = "text", words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
-    """Those (a, b) of distinct pairs of doc_ids whose texts reach the similarity. Only texts in pairs
-    are read into word hashes, once each."""
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired")
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    named = docs.select("doc_id", F.col(text).alias("text")).where("text is not null")
-    chosen = named.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+def runs_of(docs: DataFrame, ids: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
+    """(rep, runs): the labelled runs of the texts with these ids; of repeated rows the least text's."""
+    small = ids.count() <= BROADCAST_IDS
+    named = docs.select(F.col("doc_id").alias("rep"), F.col(text).alias("text")).where("text is not null")
+    chosen = named.join(F.broadcast(ids) if small else ids, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
 
     @F.pandas_udf("binary")
     def hashed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _runs(word_hashes(t), words).tobytes())
 
-    # of repeated rows of one id, any one text stands for it: the least
-    runs = staged(chosen.groupBy("doc_id").agg(F.min("text").alias("text")).select("doc_id", hashed("text").alias("runs")), "runs")
-    both = pairs.join(runs.select(F.col("doc_id").alias("a"), F.col("runs").alias("of_a")), "a").join(runs.select(F.col("doc_id").alias("b"), F.col("runs").alias("of_b")), "b")
-
-    @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similarity(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), least) >= least for p, q in zip(x, y, strict=True)], dtype=bool)
-
-    return both.where(alike("of_a", "of_b")).select("a", "b")
+    return chosen.select("rep", hashed("text").alias("runs"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", words: int = WORDS, least: float = SIMILARITY, count: int = SKETCHES) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of exactly equal word sequences), n_links (other classes
-    found linked to this one's), component_id (the smallest doc_id that links reach), kept (whether
+    that this one's was directly linked with, as many as its component takes), component_id (the smallest doc_id that links reach), kept (whether
     the document stands for its component).
 
     One row per row of docs. Texts without words (null, empty, blanks) and rows without id link with
@@ -128,23 +118,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = WORDS, lea
     signed = staged(signed, "signatures")
     usable = signed.where("class is not null")
     classes = usable.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("sketches").alias("sketches"))
-    buckets = staged(classes.select("rep", F.explode("sketches").alias("bucket")), "buckets")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
-    open_ = staged(buckets.join(shared.select("bucket", "leader"), "bucket").where("rep <> leader"), "open")
-    links = None
-    while not open_.isEmpty():
-        pairs = open_.select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-        if links is not None:
-            pairs = pairs.join(links, ["a", "b"], "left_anti")
-        found = staged(verified(staged(pairs, "pairs"), docs, text, words, least), "links")
-        links = found if links is None else links.union(found)
-        # who isn't like the leader goes on under the next leader of the bucket
-        rest = open_.join(links, (F.col("leader") == F.col("a")) & (F.col("rep") == F.col("b")), "left_anti").select("bucket", "rep")
-        heads = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).where("n > 1")
-        open_ = staged(rest.join(heads.select("bucket", "leader"), "bucket").where("rep <> leader"), "open")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    if links is None:
-        links = docs.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
+    alike = lambda x, y: similarity(x, y, least) >= least
+    links = bucket_links(staged(classes.select("rep", "sketches"), "classes"), lambda ids: runs_of(docs, ids, text, words), alike, agree=2)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n"))
     component = connected_components(links)
     by_rep = degree.join(component.withColumnRenamed("node", "rep"), "rep")

@@ -53,7 +53,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataF
     return rows.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"), F.max("toxic_").cast("int").alias("toxic")).select("text", "toxic")
 
 
-def fit(x: list[np.ndarray], grade: np.ndarray, width: int, grades: int, steps: int = 300, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit(x: list[np.ndarray], grade: np.ndarray, width: int, grades: int, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds in ascending order) by gradient ascent (Adam) on the likelihood of the
     grades. x: each row's feature numbers. A threshold is the one before plus exp(gap)."""
     row = np.repeat(np.arange(len(x)), [len(r) for r in x])

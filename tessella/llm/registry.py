@@ -10,6 +10,7 @@ from . import op03_decontamination as op03
 from .op04_packing import op4_best_fit_packing
 from .op05_language import op5_language_id
 from .op07_order_minhash import op7_order_minhash
+from .op08_passages import op8_repeated_passages
 from .op09_toxicity import op9_toxicity_severity
 
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_language_id": op5_language_id,
         "op7_order_minhash": op7_order_minhash,
+        "op8_repeated_passages": op8_repeated_passages,
         "op9_toxicity_severity": op9_toxicity_severity,
     }
 
