@@ -1,7 +1,7 @@
 """Passages that repeat across documents, by paragraph MinHash banding.
 
-A text's paragraphs here are its sentences: it is cut at line ends and after sentence marks, so that a
-passage is found wherever it was pasted. A paragraph of at least five words has its 5-word shingles
+A text's paragraphs here are its sentences, short ones joined up to five words: it is cut at line ends
+and after sentence marks, so that a passage is found wherever it was pasted. A paragraph has its 5-word shingles
 and one MinHash per band; bands and rows are tuned so that paragraphs of Jaccard similarity 0.8
 collide with a wanted probability. Equal paragraphs form one class; different ones that share a band
 are held against each other by exact Jaccard similarity (common.bucket_links), and components of links and classes
@@ -34,7 +34,7 @@ def tuned(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = 1)
 
 
 def paragraphs(text: str, k: int = WORDS) -> dict[str, np.ndarray]:
-    """Per paragraph of at least k words: number (short ones count too), start and end (code points),
+    """Per paragraph of at least k words: number, start and end (code points),
     words, content (a hash of all words), first (its first shingle's place) and, once, shingles."""
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     folded = np.frombuffer(raw.tobytes().translate(FOLD), np.uint8)
@@ -42,10 +42,10 @@ def paragraphs(text: str, k: int = WORDS) -> dict[str, np.ndarray]:
     if len(starts) < k:
         return {}
     mark = (raw == 46) | (raw == 33) | (raw == 63)  # . ! ?
-    cut = np.flatnonzero((raw == 10) | (np.concatenate(([False], mark[:-1])) & (raw == 32)))
+    cut = np.flatnonzero((raw == 10) | (np.concatenate(([False], mark[:-1])) & (folded == 32)))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * _power("up", len(folded))[: len(folded)], dtype=np.uint64)))
     word = mixed((sums[ends] - sums[starts]) * _power("down", len(folded))[starts])
-    of = np.searchsorted(cut, starts)
+    of = _grouped(np.searchsorted(cut, starts), k)
     n = len(word) - k + 1
     run = np.zeros(n, np.uint64)
     for j in range(k):
@@ -62,6 +62,20 @@ def paragraphs(text: str, k: int = WORDS) -> dict[str, np.ndarray]:
     return {"number": number[first], "start": place[starts[at]], "end": place[ends[at + words - 1] - 1] + 1, "words": words, "content": mixed(content), "first": first, "shingles": run}
 
 
+def _grouped(sentence: np.ndarray, k: int) -> np.ndarray:
+    """Paragraph numbers of the words, given their sentences: short sentences join the next ones until
+    there are k words. What follows a paragraph's end doesn't depend on what came before it."""
+    first = np.flatnonzero(np.concatenate(([True], sentence[1:] != sentence[:-1])))
+    sizes = np.diff(np.append(first, len(sentence)))
+    number, held, of = 0, 0, []
+    for n in sizes.tolist():
+        of.append(number)
+        held += n
+        if held >= k:
+            number, held = number + 1, 0
+    return np.repeat(of, sizes)
+
+
 def scanned(docs: DataFrame, text: str = "text", bands: int = 2) -> DataFrame:
     """(doc_id, number, start, end, words, content, band_0, ...) of all paragraphs of five words."""
     names = ["number", "start", "end", "words", "content", *(f"band_{k}" for k in range(bands))]
@@ -78,8 +92,7 @@ def scanned(docs: DataFrame, text: str = "text", bands: int = 2) -> DataFrame:
                     cols[c].append(p[c].astype(np.int32))
                 cols["content"].append(p["content"].view(np.int64))
                 for b in range(bands):
-                    seed = np.uint64(2 * b + 1) * np.uint64(0xD6E8FEB86659FD93)
-                    least = np.minimum.reduceat(mixed(p["shingles"] ^ seed), p["first"])
+                    least = np.minimum.reduceat(mixed(p["shingles"] ^ mixed(np.array([b + 1], np.uint64))), p["first"])
                     cols[f"band_{b}"].append(mixed(least + np.uint64(b)).view(np.int64))
             if owner:
                 arrays = [batch["doc_id"].take(pa.array(np.concatenate(owner)))] + [pa.array(np.concatenate(cols[c])) for c in names]
@@ -152,7 +165,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", min_words: int = MIN_
     hits = units.select("doc_id", "number", "start", "end", "words", "content").join(repeated, "content")
     hits = hits.repartition("doc_id").dropDuplicates(["doc_id", "number", "content"])
     by_doc = Window.partitionBy("doc_id").orderBy("number")
-    # one paragraph of under five words, or one that was edited, may stand between
+    # one paragraph that was edited may stand between
     fresh = F.coalesce(F.col("number") - F.lag("number").over(by_doc) > 2, F.lit(True)).cast("int")
     hits = hits.withColumn("fresh", fresh).withColumn("passage", F.sum("fresh").over(by_doc))
     lost = F.when(F.col("low") < F.col("doc_id"), F.col("words")).otherwise(0)
