@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import op03_decontamination as op03
+from .op01_embeddings import op1_embedding_neardup
 from .op04_packing import op4_best_fit_packing
 from .op05_language import op5_language_id
 from .op07_order_minhash import op7_order_minhash
@@ -16,6 +17,7 @@ from .op09_toxicity import op9_toxicity_severity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_neardup": op1_embedding_neardup,
         "op3_benchmark_decontamination": op03.op3_benchmark_decontamination,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_language_id": op5_language_id,
