@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import op02_warc as op02
 from . import op03_decontamination as op03
 from .op01_embeddings import op1_embedding_neardup
 from .op04_packing import op4_best_fit_packing
@@ -18,6 +19,7 @@ from .op09_toxicity import op9_toxicity_severity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_neardup": op1_embedding_neardup,
+        "op2_warc_segments": op02.op2_warc_segments,
         "op3_benchmark_decontamination": op03.op3_benchmark_decontamination,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_language_id": op5_language_id,
@@ -28,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": op03.ORACLE_SQL}
+    return {"op2_warc_segments": op02.ORACLE_SQL, "op3_benchmark_decontamination": op03.ORACLE_SQL}
