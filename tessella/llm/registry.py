@@ -15,6 +15,8 @@ from .op07_order_minhash import op7_order_minhash
 from .op08_passages import op8_repeated_passages
 from .op09_toxicity import op9_toxicity_severity
 
+from .op10_url_filter import op10_url_filter
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -26,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_order_minhash": op7_order_minhash,
         "op8_repeated_passages": op8_repeated_passages,
         "op9_toxicity_severity": op9_toxicity_severity,
+        "op10_url_filter": op10_url_filter,
     }
 
 
