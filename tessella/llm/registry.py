@@ -11,6 +11,7 @@ from . import op03_decontamination as op03
 from .op01_embeddings import op1_embedding_neardup
 from .op04_packing import op4_best_fit_packing
 from .op05_language import op5_language_id
+from .op06_pii import op6_pii
 from .op07_order_minhash import op7_order_minhash
 from .op08_passages import op8_repeated_passages
 from .op09_toxicity import op9_toxicity_severity
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_benchmark_decontamination": op03.op3_benchmark_decontamination,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_language_id": op5_language_id,
+        "op6_pii": op6_pii,
         "op7_order_minhash": op7_order_minhash,
         "op8_repeated_passages": op8_repeated_passages,
         "op9_toxicity_severity": op9_toxicity_severity,
