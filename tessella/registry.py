@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "best_of_passes"
+from .plans import selection, series, shapes, signals
+
+FLAGSHIP = "dsi_histogram"
+_ALL = (selection, series, shapes, signals)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for plan in _ALL for name, f in plan.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in _ALL for name, sql in plan.SQL.items()}
