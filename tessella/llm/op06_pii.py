@@ -111,7 +111,7 @@ def _votes(c: Column) -> list[Column]:
 
 def _features(c: Column) -> Column:
     """The classifier's features of a span, as strings."""
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c["match"], "[0-9]", "9"), "[A-Za-z]+", "a"), "9{5,}", "9+"), "(?:a[._%+-]?)+", "a")
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c["match"], "[0-9]", "9"), "[A-Za-z]+", "a"), "9{5,}", "9+"), "(?:a[._%+-]?)++", "a")
     return F.array(
         F.concat(F.lit("shape:"), F.left(shape, F.lit(24))),
         F.concat(F.lit("digits:"), F.least(F.length(_digits(c["match"])), F.lit(20)).cast("string")),
