@@ -104,8 +104,12 @@ def scanned(docs: DataFrame, text: str = "text", bands: int = 2) -> DataFrame:
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """(rep, runs): the sorted shingles of the wanted contents (rep), from scans of the texts, each for SHARD contents."""
+    """(rep, runs): the sorted shingles of the wanted contents (rep, low), from scans of one text of each
+    (that of the id low), a scan for SHARD contents. The ids filter the texts by broadcast up to SHARD
+    of them; beyond that the join shuffles."""
     spark = docs.sparkSession
+    owners = staged(wanted.select(F.col("low").alias("doc_id")).distinct(), "owners")
+    docs = docs.join(F.broadcast(owners) if owners.count() <= SHARD else owners, "doc_id", "left_semi")
     shards = -(-wanted.count() // SHARD) or 1
     out = None
     for k in range(shards):
@@ -154,7 +158,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", min_words: int = MIN_
     contents = units.groupBy("content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *(F.first(f"band_{b}").alias(f"band_{b}") for b in range(bands)))
     contents = staged(contents, "distinct")
     reps = contents.select(F.col("content").alias("rep"), F.array(*(f"band_{b}" for b in range(bands))).alias("sketches"))
-    links = bucket_links(reps, lambda ids: _contents(docs, ids, text), lambda x, y: jaccard(x, y) >= least, agree=1)
+    links = bucket_links(reps, lambda ids: _contents(docs, staged(contents.select(F.col("content").alias("rep"), "low").join(ids, "rep", "left_semi"), "wanted"), text), lambda x, y: jaccard(x, y) >= least, agree=1)
     members = contents.select("content", "low", "high")
     found = connected_components(links).withColumnRenamed("node", "content")
     clusters = members.join(found, "content", "left").withColumn("cluster_id", F.coalesce("component", "content"))
