@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed
+
 RING4 = ((0, -1), (1, 0), (0, 1), (-1, 0))
 RING8 = ((0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1))
 
@@ -59,7 +61,7 @@ def prune_few_neighbours(selection: DataFrame, least: int, rounds: int | None =
         counts = pairs(left, []).groupBy("x", "y").agg(F.count("*").alias("n"))
         left = counts.where(F.col("n") >= least).select("x", "y")
         if rounds is None:
-            left = left.checkpoint()
+            left = checkpointed(left)
             now = left.count()
             if now == n:
                 break
@@ -74,14 +76,14 @@ def clusters(selection: DataFrame, steps=RING4) -> DataFrame:
     nodes = selection.select("x", "y").distinct()
     code = F.col("y") * F.lit(1 << 32) + F.col("x")
     other = (F.col("y") + F.col("dy")) * F.lit(1 << 32) + F.col("x") + F.col("dx")
-    edges = pairs(nodes, [], steps).select(code.alias("a"), other.alias("b")).checkpoint()
-    label = nodes.select(code.alias("a"), code.alias("l")).checkpoint()
+    edges = checkpointed(pairs(nodes, [], steps).select(code.alias("a"), other.alias("b")))
+    label = checkpointed(nodes.select(code.alias("a"), code.alias("l")))
     before = None
     while True:
         near = edges.join(label.withColumnRenamed("a", "b").withColumnRenamed("l", "m"), "b").groupBy("a").agg(F.min("m").alias("m"))
         least = label.join(near, "a", "left").select("a", F.least("l", F.coalesce("m", "l")).alias("l"))
         hop = least.select(F.col("a").alias("l"), F.col("l").alias("j"))
-        label = least.join(hop, "l", "left").select("a", F.least("l", F.coalesce("j", "l")).alias("l")).checkpoint()
+        label = checkpointed(least.join(hop, "l", "left").select("a", F.least("l", F.coalesce("j", "l")).alias("l")))
         now = label.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()[0]
         if now == before:
             break

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import selection, series, shapes, signals
+from .plans import selection, series, shapes, signals, streams
 
 FLAGSHIP = "dsi_histogram"
-_ALL = (selection, series, shapes, signals)
+_ALL = (selection, series, shapes, signals, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
