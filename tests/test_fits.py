@@ -8,7 +8,7 @@ from tessella.operators import fits
 
 
 def test_plane_recovers_its_tilts(spark):
-    rows = [(x, y, 1.0 + x * y, 3 + 0.5 * x - 0.25 * y) for x in range(5) for y in range(4)]
+    rows = [(float(x), float(y), 1.0 + x * y, 3 + 0.5 * x - 0.25 * y) for x in range(5) for y in range(4)]
     df = spark.createDataFrame(rows, "x double, y double, w double, v double")
     v, tx, ty = fits.plane_of()
     m = df.agg(*(c.alias(k) for k, c in fits.plane_moments(F.col("w"), F.col("x"), F.col("y"), F.col("v")).items()))
