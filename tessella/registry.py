@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import fitting, selection, series, shapes, signals, streams
+from .plans import fitting, selection, series, shapes, signals, streams, surfaces
 
 FLAGSHIP = "dsi_histogram"
-_ALL = (fitting, selection, series, shapes, signals, streams)
+_ALL = (fitting, selection, series, shapes, signals, streams, surfaces)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
