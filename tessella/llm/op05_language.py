@@ -19,8 +19,8 @@ from .common import read
 
 #: Documents a language gives to the training sample at most, in expectation.
 SAMPLE = 4000
-#: Languages of the model at most (the most frequent ones); bounds the matrix at BUCKETS x 256 floats.
-LANGUAGES = 256
+#: Languages of the model at most (the most frequent ones); bounds the matrix at BUCKETS x 128 floats.
+LANGUAGES = 128
 BUCKETS, MAX_N, PIECE = 1 << 16, 4, 1 << 18
 UNKNOWN = "und"
 
