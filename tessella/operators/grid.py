@@ -89,3 +89,38 @@ def clusters(selection: DataFrame, steps=RING4) -> DataFrame:
             break
         before = now
     return label.select((F.col("a") % (1 << 32)).alias("x"), F.shiftright("a", 32).alias("y"), F.col("l").alias("cluster"))
+
+
+def closed(selection: DataFrame, steps: int, grid: DataFrame, poison: DataFrame | None = None) -> DataFrame:
+    """Morphological closing: gaps that growing by `steps` bridges. Gaps that hold a poisoned tile stay
+    open, and so does what lies within `steps` of it in the gap."""
+    filled = shrink(grow(selection, steps, grid), steps, grid).union(selection.select("x", "y")).distinct()
+    if poison is None:
+        return filled
+    gaps = filled.join(selection.select("x", "y"), ["x", "y"], "left_anti")
+    spoilt = grow(poison.select("x", "y").join(gaps, ["x", "y"], "left_semi"), steps, gaps)
+    return filled.join(spoilt, ["x", "y"], "left_anti")
+
+
+def without_small_clusters(tiles: DataFrame, least: int, least_sum: float = 0.0, least_max: float = 0.0, steps=RING4) -> DataFrame:
+    """Tiles (x, y, weight) of clusters of enough tiles, weight in all and largest weight."""
+    labelled = tiles.join(clusters(tiles, steps), ["x", "y"])
+    good = labelled.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("weight").alias("s"), F.max("weight").alias("m"))
+    good = good.where((F.col("n") >= least) & (F.col("s") >= least_sum) & (F.col("m") >= least_max))
+    return labelled.join(good.select("cluster"), "cluster", "left_semi").select("x", "y", "weight")
+
+
+def spread(seeds: DataFrame, tiles: DataFrame, absolute: float, relative: float, steps=RING8) -> DataFrame:
+    """Hysteresis: (x, y) of the seeds and of all tiles (x, y, value) reached from them over neighbours
+    whose values differ by at most absolute + relative times the reached value. Seeds are among the
+    tiles. Rounds go to the fixpoint, each from what the last one reached."""
+    edges = pairs(tiles, ["value"], steps).join(tiles.select("x", "y", "value"), ["x", "y"])
+    edges = edges.where(F.abs(F.col("value") - F.col("n_value")) <= absolute + relative * F.col("value"))
+    edges = checkpointed(edges.select("x", "y", (F.col("x") + F.col("dx")).alias("tx"), (F.col("y") + F.col("dy")).alias("ty")))
+    reached = checkpointed(seeds.select("x", "y").distinct())
+    front = reached
+    while not front.isEmpty():
+        step = front.join(edges, ["x", "y"]).select(F.col("tx").alias("x"), F.col("ty").alias("y")).distinct()
+        front = checkpointed(step.join(reached, ["x", "y"], "left_anti"))
+        reached = checkpointed(reached.union(front))
+    return reached

@@ -77,3 +77,45 @@ def vertical_features(spark, sf_dir):
     w = F.when(F.col("dx") == 0, 0.5).otherwise(-0.125) * F.when(F.col("dy") == 0, 1.0).otherwise(0.5)
     c = grid.pairs(t, ["disparity"], square).groupBy("x", "y").agg(F.sum(F.col("n_disparity") * w).alias("v"), F.count("*").alias("k"))
     return t.join(c, ["x", "y"]).select("n_tile", F.round(F.when(F.col("k") == 9, F.col("v")).otherwise(F.col("disparity")), 6).alias("vertical"))
+
+
+def _grown(source: str, allowed: str, out: str) -> str:
+    """Two growing steps as common table expressions."""
+    return f"""{out}_h AS (SELECT DISTINCT s.x + d AS x, s.y FROM {source} s, (SELECT unnest([-1, 0, 1]) AS d) SEMI JOIN {allowed} o ON o.x = s.x + d AND o.y = s.y),
+{out} AS (SELECT DISTINCT s.x, s.y + d AS y FROM {out}_h s, (SELECT unnest([-1, 0, 1]) AS d) SEMI JOIN {allowed} o ON o.x = s.x AND o.y = s.y + d)"""
+
+
+_CLOSED = f"""{TILE}, few AS (SELECT x, y FROM tile WHERE strength >= 0.79), {_grown('few', 'tile', 'g')}, rest AS (SELECT x, y FROM tile ANTI JOIN g USING (x, y)), {_grown('rest', 'tile', 'r')},
+filled AS (SELECT x, y FROM g ANTI JOIN r USING (x, y) UNION SELECT x, y FROM few)"""
+
+
+@query(f"WITH {_CLOSED} SELECT x, y FROM filled")
+def closed_selection(spark, sf_dir):
+    """A selection with its small gaps filled."""
+    t = tile(spark, sf_dir)
+    return grid.closed(t.where("strength >= 0.79"), 2, t)
+
+
+@query(f"""WITH {_CLOSED}, gaps AS (SELECT x, y FROM filled ANTI JOIN few USING (x, y)), bad AS (SELECT x, y FROM gaps SEMI JOIN (SELECT x, y FROM tile WHERE disparity < 46) USING (x, y)), {_grown('bad', 'gaps', 'spoilt')}
+SELECT x, y FROM filled ANTI JOIN spoilt USING (x, y)""")
+def closed_around_poison(spark, sf_dir):
+    """The same, but for gaps near tiles that forbid it."""
+    t = tile(spark, sf_dir)
+    return grid.closed(t.where("strength >= 0.79"), 2, t, t.where("disparity < 46"))
+
+
+@query(f"""WITH RECURSIVE {TILE}, c AS (SELECT x, y, disparity AS v FROM tile WHERE weakest <= 0.05), reach AS (SELECT x, y, v FROM c WHERE v >= 50 AND x % 3 = 0
+UNION SELECT n.x, n.y, n.v FROM reach r JOIN c n ON abs(n.x - r.x) <= 1 AND abs(n.y - r.y) <= 1 AND (n.x, n.y) <> (r.x, r.y) AND abs(r.v - n.v) <= 0.4 + 0.01 * r.v) SELECT x, y FROM reach""")
+def trusted_by_hysteresis(spark, sf_dir):
+    """Tiles that trust reaches from sure ones over neighbours of like disparity."""
+    c = tile(spark, sf_dir).where("weakest <= 0.05").select("x", "y", F.col("disparity").alias("value"))
+    return grid.spread(c.where("value >= 50 and x % 3 = 0"), c, 0.4, 0.01)
+
+
+@query(f"""WITH RECURSIVE {_SEL}, reach AS (SELECT x, y, x AS tx, y AS ty FROM sel UNION SELECT r.x, r.y, n.x, n.y FROM reach r JOIN sel n ON abs(n.x - r.tx) + abs(n.y - r.ty) = 1),
+lab AS (SELECT x, y, min(ty * 4294967296 + tx) AS cluster FROM reach GROUP BY x, y), w AS (SELECT lab.*, resid + 0.05 AS weight FROM lab JOIN tile USING (x, y)),
+good AS (SELECT cluster FROM w GROUP BY cluster HAVING count(*) >= 2 AND sum(round(weight, 4)) >= 0 AND max(weight) >= 0) SELECT x, y, round(weight, 4) AS weight FROM w SEMI JOIN good USING (cluster)""")
+def clusters_of_weight(spark, sf_dir):
+    """Tiles of clusters of enough tiles and weight."""
+    t = tile(spark, sf_dir).where("disparity >= 50 and strength >= 0.8").select("x", "y", F.round(F.col("resid") + 0.05, 4).alias("weight"))
+    return grid.without_small_clusters(t, 2)
