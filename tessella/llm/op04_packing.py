@@ -49,9 +49,25 @@ def token_ids(text: str, vocabulary: str) -> np.ndarray:
     """Ids of the text and the end mark. Strings of special tokens are ordinary text."""
     if vocabulary not in _encoders:
         _encoders[vocabulary] = _encoder(vocabulary)
-    ids = _encoders[vocabulary].encode_ordinary(text)
-    ids.append(EOS)
-    return np.array(ids, "<u4")
+    try:
+        ids = _encoders[vocabulary].encode_ordinary(text)
+    except BaseException as e:  # a run of blanks beyond the depth of its pattern matcher
+        if type(e).__name__ != "PanicException":
+            raise
+        ids = _plain_ids(text, vocabulary)
+    return np.array([*ids, EOS], "<u4")
+
+
+def _plain_ids(text: str, vocabulary: str) -> list[int]:
+    """The same ids by `tokenizers`, slower, for any text."""
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    name = vocabulary.replace(".tiktoken", ".json")
+    if name not in _encoders:
+        _encoders[name] = Tokenizer.from_file(public.path(name))
+        _encoders[name].encode_special_tokens = True
+    return _encoders[name].encode(text, add_special_tokens=False).ids
 
 
 def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:

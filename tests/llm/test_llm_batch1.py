@@ -146,6 +146,11 @@ def test_plan_places_every_piece_once(lengths):
             assert at <= 64
 
 
+def test_long_runs_of_blanks_fall_back():
+    text = "a" + " " * 600_000 + "\n \n" * 100_000 + "b"
+    assert op04_packing.token_ids(text, "byte_bpe_50k.tiktoken").tolist() == [*op04_packing._plain_ids(text, "byte_bpe_50k.tiktoken"), 2]
+
+
 def test_packing_ids_equal_the_tokenizers(spark):
     from tokenizers import Tokenizer
 
