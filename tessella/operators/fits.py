@@ -114,3 +114,40 @@ def principal_planes(samples: DataFrame, key: list[str]) -> DataFrame:
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in m.schema if f.name in key)
     return m.mapInPandas(solve, f"{kinds}, n long, cx double, cy double, cz double, nx double, ny double, nz double, flatness double")
+
+
+def focus_curves(samples: DataFrame, key: list[str], rounds: int = 60) -> DataFrame:
+    """(key..., n, z0, least, slope, rms) of the curve width(z)^2 = least^2 + (slope (z - z0))^2 through each
+    series of (key..., z, width), by Levenberg-Marquardt: a step that helps divides the damping, one that
+    doesn't multiplies it. Series of under four samples are left out; a series is one sensor's scan."""
+    import numpy as np
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.dropna(subset=["z", "width"])
+        z, v = rows["z"].to_numpy(float), rows["width"].to_numpy(float)
+        names = [*key, "n", "z0", "least", "slope", "rms"]
+        if len(z) < 4:
+            return pd.DataFrame([], columns=names)
+        p = np.array([z[v.argmin()], max(v.min(), 1e-6), (v.max() - v.min()) / max(np.ptp(z), 1e-6) * 2 + 1e-6])
+        curve = lambda p: np.hypot(p[1], p[2] * (z - p[0]))
+        damping, error = 1e-2, ((curve(p) - v) ** 2).sum()
+        for _ in range(rounds):
+            f = np.maximum(curve(p), 1e-12)
+            j = np.stack([-p[2] ** 2 * (z - p[0]) / f, p[1] / f, p[2] * (z - p[0]) ** 2 / f], 1)
+            a = j.T @ j
+            step = np.linalg.lstsq(a + damping * np.diag(np.maximum(np.diag(a), 1e-9)), j.T @ (v - f), rcond=None)[0]
+            now = ((curve(p + step) - v) ** 2).sum()
+            if now < error:
+                done = error - now < 1e-12 * max(error, 1e-12)
+                p, error, damping = p + step, now, damping / 5
+                if done:
+                    break
+            else:
+                damping *= 5
+                if damping > 1e9:
+                    break
+        out = [*(rows[k].iloc[0] for k in key), len(z), float(p[0]), float(abs(p[1])), float(abs(p[2])), float(np.sqrt(error / len(z)))]
+        return pd.DataFrame([out], columns=names)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in samples.schema if f.name in key)
+    return samples.groupBy(*key).applyInPandas(fit, f"{kinds}, n int, z0 double, least double, slope double, rms double")

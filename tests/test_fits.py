@@ -48,3 +48,11 @@ def test_principal_plane(spark):
     r = fits.principal_planes(spark.createDataFrame(rows, "g int, x double, y double, z double, weight double"), ["g"]).first()
     want = np.array([-0.1, 0, 1]) / np.sqrt(1.01)
     assert np.allclose([r["nx"], r["ny"], r["nz"]], want, atol=1e-6) and r["flatness"] < 1e-9
+
+
+def test_focus_curve(spark):
+    z = np.linspace(-4, 4, 15)
+    rows = [(1, float(x), float(np.hypot(1.5, 0.8 * (x - 0.7)))) for x in z] + [(2, 0.0, 1.0), (2, 1.0, None)]
+    got = fits.focus_curves(spark.createDataFrame(rows, "g int, z double, width double"), ["g"]).collect()
+    assert len(got) == 1 and got[0]["n"] == 15
+    assert [got[0]["z0"], got[0]["least"], got[0]["slope"]] == pytest.approx([0.7, 1.5, 0.8], abs=1e-4)

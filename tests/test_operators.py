@@ -134,3 +134,24 @@ def test_mesh_counts_across_clusters(spark, tmp_path):
     sinks.write_mesh(sinks.mesh_lines(v, f), f"{tmp_path}/m", 2)
     lines = [r["value"] for r in spark.read.text(f"{tmp_path}/m").collect()]
     assert len(lines) == 12 and {"f 1 2 3", "f 4 5 6", "f 7 8 9"} <= set(lines)
+
+
+def test_closing_and_poison(spark):
+    everything = cells(spark, ["#" * 11] * 11)
+    ring = cells(spark, ["." * 11] * 4 + ["...#####...", "...##.##...", "...#####..."] + ["." * 11] * 4)
+    assert len(drawn(grid.closed(ring, 2, everything))) == 15
+    hole = spark.createDataFrame([(5, 5)], "x long, y long")
+    assert drawn(grid.closed(ring, 2, everything, hole)) == drawn(ring)
+
+
+def test_spread_stops_at_steps(spark):
+    tiles = spark.createDataFrame([(k, 0, float(k if k < 6 else k + 5)) for k in range(12)], "x long, y long, value double")
+    seeds = tiles.where("x = 2")
+    assert sorted(x for x, _ in drawn(grid.spread(seeds, tiles, 1.0, 0.0))) == [0, 1, 2, 3, 4, 5]
+    assert drawn(grid.spread(seeds.limit(0), tiles, 1.0, 0.0)) == set()
+
+
+def test_small_clusters(spark):
+    tiles = spark.createDataFrame([(0, 0, 1.0), (1, 0, 1.0), (5, 5, 9.0)], "x long, y long, weight double")
+    assert len(drawn(grid.without_small_clusters(tiles, 2))) == 2
+    assert len(drawn(grid.without_small_clusters(tiles, 1, 5.0))) == 1
