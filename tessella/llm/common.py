@@ -116,12 +116,15 @@ def bucket_links(reps: DataFrame, runs_of, alike, agree: int) -> DataFrame:
     split = placed.groupBy("band", "bucket").agg(F.min("component").alias("first"), F.max("component").alias("last"))
     apart = placed.where(F.col("n") > 2).join(split.where("first <> last"), ["band", "bucket"])
     apart = apart.join(reps, "rep").join(runs, "rep")
-    block = F.pmod(F.xxhash64("rep", F.lit(1)), F.ceil(F.col("n") / BLOCK)).alias("block")
+    parts = F.ceil(F.col("n") / BLOCK)
+    block = F.pmod(F.xxhash64("rep", F.lit(1)), parts).alias("block")
     member = F.struct("rep", "component", (F.col("component") != F.col("first")).alias("outer"), "sketches", "runs")
-    blocks = staged(apart.groupBy("band", "bucket", block).agg(F.collect_list(member).alias("members"), F.max(F.col("component") != F.col("first")).alias("outer")), "blocks")
-    left = blocks.select("band", "bucket", F.col("block").alias("i"), F.col("members").alias("of_i"), F.col("outer").alias("outer_i"))
+    blocks = staged(apart.groupBy("band", "bucket", parts.alias("parts"), block).agg(F.collect_list(member).alias("members"), F.max(F.col("component") != F.col("first")).alias("outer")), "blocks")
+    # each block names the blocks that it meets, so that a large bucket's pairs fall to many tasks
+    meets = F.explode(F.sequence("block", F.col("parts") - 1)).alias("j")
+    left = blocks.select("band", "bucket", F.col("block").alias("i"), meets, F.col("members").alias("of_i"), F.col("outer").alias("outer_i"))
     right = blocks.select("band", "bucket", F.col("block").alias("j"), F.col("members").alias("of_j"), F.col("outer").alias("outer_j"))
-    crossed = left.join(right, ["band", "bucket"]).where("i <= j and (outer_i or outer_j)").select("band", "i", "j", "of_i", "of_j")
+    crossed = left.join(right, ["band", "bucket", "j"]).where("outer_i or outer_j").select("band", "i", "j", "of_i", "of_j")
 
     def compare(batches):
         for batch in batches:
