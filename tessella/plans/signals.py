@@ -99,3 +99,15 @@ def parsed_names(spark, sf_dir):
     nums = F.when(F.col("p_size") % 2 == 0, F.concat(size, F.lit(", 2,3"))).otherwise(F.concat(size, F.lit(" 2 3.5")))
     p = table(spark, sf_dir, "part").select("p_partkey", scalars.channel_of(name).alias("channel"), scalars.numbers(nums).alias("n"))
     return p.select("p_partkey", "channel", F.aggregate("n", F.lit(0.0), lambda s, v: s + v).alias("total"))
+
+
+@query(f"""WITH {_CLT}, v AS (SELECT n_tile, unnest(range(64)) AS p, unnest(tile) AS v FROM clt), s AS (SELECT unnest(range(64)) AS s)
+SELECT a.n_tile, s.s::INT AS shift, round(sum(a.v * b.v), 5) + 0 AS correlation FROM v a, s, v b WHERE a.n_tile % 2 = 0 AND b.n_tile = a.n_tile + 1 AND b.p = ((a.p // 8 + s.s // 8) % 8) * 8 + (a.p % 8 + s.s % 8) % 8 GROUP BY ALL""")
+def tile_correlation(spark, sf_dir):
+    """Cross-correlation of each even tile with the next one, over all circular shifts."""
+    from ..operators import correlation
+
+    t = clt(spark, sf_dir).select("n_tile", "tile")
+    a, b = t.where("n_tile % 2 = 0"), t.select((F.col("n_tile") - 1).alias("n_tile"), F.col("tile").alias("other"))
+    c = a.join(b, "n_tile").select("n_tile", F.posexplode(correlation.correlated(F.col("tile"), F.col("other"))).alias("shift", "v"))
+    return c.select("n_tile", "shift", (F.round("v", 5) + 0).alias("correlation"))
