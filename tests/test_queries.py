@@ -17,7 +17,7 @@ def plain(v):
     import numpy as np
     import pandas as pd
 
-    if v is None or v is pd.NaT or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and math.isnan(v):
         return "-"
     if isinstance(v, (float, np.floating)):
         return f"{float(v):.6g}"
