@@ -23,6 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of a batch that goes to Python: texts may be long, and a batch is held whole on both sides.
+BATCH = 500
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH rows, where they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: later jobs neither repeat the
     work above it nor lose it with an executor."""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir
+from .common import bounded_batches, read, shared_dir
 
 #: Bytes of a block before it is segmented, of a chunk, payload from which equal ones are revisits,
 #: and records of one file.
@@ -108,6 +108,7 @@ def write(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMEN
     """Archives of pages (page_id, url, html) under path. A page's record id tells its page_id and
     digest. Of equal payloads of at least `least` bytes the largest page_id's is the response, the
     others revisit it; rows that equal it in page_id too are responses as well."""
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("string").alias("page"), "page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     long = F.octet_length("html") >= least

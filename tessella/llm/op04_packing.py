@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, staged
+from .common import bounded_batches, read, staged
 
 SIZE, EOS = 1024, 2
 #: Pieces of one length are numbered in so many independent shares.
@@ -87,6 +87,7 @@ def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str = "byte_bpe_50k.ti
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"doc_id": batch["doc_id"].dtype})
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if kind in ("bigint", "int"):  # nullable integers would arrive as floats

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import bounded_batches, read
 
 #: Documents a language gives to the training sample at most, in expectation.
 SAMPLE = 4000
@@ -96,6 +96,7 @@ def predict(docs: DataFrame, model: tuple, text: str = "text") -> DataFrame:
     """docs with lang_pred and score, the probability of that language. A null text, one without
     letters, and any text under a model of no languages give `und` and 0. Columns of docs named as the
     new ones give way; other columns, repeated rows and null ids pass through."""
+    bounded_batches(docs.sparkSession)
     langs, matrix, prior = model
     buckets = len(matrix)
     shared = docs.sparkSession.sparkContext.broadcast((langs, matrix, prior))

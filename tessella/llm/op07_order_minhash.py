@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_links, connected_components, read, staged
+from .common import bounded_batches, bucket_links, connected_components, read, staged
 from .words import labelled, mixed, shingles, word_hashes
 
 WORDS, SIMILARITY, SKETCHES, MINIMA = 5, 0.8, 12, 3
@@ -114,6 +114,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = WORDS, lea
     One row per row of docs. Texts without words (null, empty, blanks) and rows without id link with
     nothing: class and component are their own id, and they are kept. Repeated ids share a class row.
     """
+    bounded_batches(docs.sparkSession)
     signed = signatures(docs, text, words, count).withColumn("class", F.when(F.col("doc_id").isNotNull(), F.col("class")))
     signed = staged(signed, "signatures")
     usable = signed.where("class is not null")

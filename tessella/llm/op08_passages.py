@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_links, connected_components, read, staged
+from .common import bounded_batches, bucket_links, connected_components, read, staged
 from .words import FOLD, _power, mixed, spans
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.95
@@ -153,6 +153,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", min_words: int = MIN_
     Null and empty texts, rows without id and paragraphs of under five words have no part in it;
     repeated rows of one id count as one document; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     bands = tuned(least, recall)
     units = staged(scanned(docs, text, bands), "paragraphs")
     contents = units.groupBy("content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *(F.first(f"band_{b}").alias(f"band_{b}") for b in range(bands)))

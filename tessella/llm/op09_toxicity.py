@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import bounded_batches, read
 from .words import FOLD
 
 #: Labelled documents in the training sample at most, in expectation; words in the model at most.
@@ -83,6 +83,7 @@ def fit(x: list[np.ndarray], grade: np.ndarray, width: int, grades: int, steps:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> dict:
     """{words: {word: number}, weights, thresholds}. Without labels of both kinds the model has no words
     and rates every text 0."""
+    bounded_batches(docs.sparkSession)
     chosen = sample_of(docs, labels, sample)
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,6 +124,7 @@ def rate(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs with severity (expected grade, 0 to 3), grade (the most probable one) and toxic (whether any
     grade over 0 is more probable than 0). Null and empty texts have severity 0 and aren't toxic;
     columns of docs named as a new one give way; all else passes through."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("severity double, grade int, toxic boolean")
