@@ -7,6 +7,11 @@ collide with a wanted probability. Equal paragraphs form one class; different on
 are held against each other by exact Jaccard similarity (common.bucket_links), and components of links and classes
 are the clusters. Neighbouring paragraphs of clusters that span two documents or more join up to
 passages, which count from `min_words` words.
+
+Sentence ends don't matter to verbatim runs: every run of RUN words that stands in another document is
+found exactly. Anchors are runs of ANCHOR words whose hash is the least of RUN - ANCHOR + 1 neighbours, so
+each run of RUN words holds one that depends on nothing else; around anchors that two documents share, all
+runs of RUN words are held against each other. They join the paragraphs' passages, to the exact word.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ from .words import FOLD, _power, mixed, spans
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.95
 #: A pasted passage may lose a part of its first and last sentence to the text around it.
 MIN_WORDS = 40
+#: Words of a run that is found verbatim wherever it stands, of its anchor, and of an edited part between runs.
+RUN, ANCHOR, BETWEEN = 50, 20, 20
 #: Contents looked up in one scan; more take further scans.
 SHARD = 1_000_000
 
@@ -33,18 +40,54 @@ def tuned(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = 1)
     return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
 
 
-def paragraphs(text: str, k: int = WORDS) -> dict[str, np.ndarray]:
-    """Per paragraph of at least k words: number, start and end (code points),
-    words, content (a hash of all words), first (its first shingle's place) and, once, shingles."""
+def hashed(text: str) -> tuple[np.ndarray, ...]:
+    """(bytes, folded bytes, starts, ends and hashes of the words) of a text."""
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     folded = np.frombuffer(raw.tobytes().translate(FOLD), np.uint8)
     starts, ends = spans(folded)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * _power("up", len(folded))[: len(folded)], dtype=np.uint64)))
+    return raw, folded, starts, ends, mixed((sums[ends] - sums[starts]) * _power("down", len(folded))[starts])
+
+
+def runs_of(word: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words, by place of the first."""
+    n = len(word) - k + 1
+    if n < 1:
+        return word[:0]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(word * _power("up", len(word))[: len(word)], dtype=np.uint64)))
+    return mixed((sums[k:] - sums[:n]) * _power("down", len(word))[:n])
+
+
+def _sliding(of, x: np.ndarray, width: int) -> np.ndarray:
+    """np.minimum or np.maximum over each `width` neighbours, in log(width) steps."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = of(x[:-step], x[step:])
+        done += step
+    return x
+
+
+def anchors(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the anchors: runs of ANCHOR words with the least hash of some RUN - ANCHOR + 1
+    neighbours."""
+    run, width = runs_of(word, ANCHOR), RUN - ANCHOR + 1
+    if len(run) < width:
+        return np.zeros(0, np.int64), run[:0]
+    least = _sliding(np.minimum, run, width)
+    edge = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(_sliding(np.maximum, np.concatenate((edge, least, edge)), width) == run)
+    return at, run[at]
+
+
+def paragraphs(text: str, k: int = WORDS, known: tuple[np.ndarray, ...] | None = None) -> dict[str, np.ndarray]:
+    """Per paragraph of at least k words: number, start and end (code points), at (its first word's place),
+    words, content (a hash of all words), first (its first shingle's place) and, once, shingles."""
+    raw, folded, starts, ends, word = known or hashed(text)
     if len(starts) < k:
         return {}
     mark = (raw == 46) | (raw == 33) | (raw == 63)  # . ! ?
     cut = np.flatnonzero((raw == 10) | (np.concatenate(([False], mark[:-1])) & (folded == 32)))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * _power("up", len(folded))[: len(folded)], dtype=np.uint64)))
-    word = mixed((sums[ends] - sums[starts]) * _power("down", len(folded))[starts])
     of = _grouped(np.searchsorted(cut, starts), k)
     n = len(word) - k + 1
     run = np.zeros(n, np.uint64)
@@ -59,7 +102,7 @@ def paragraphs(text: str, k: int = WORDS) -> dict[str, np.ndarray]:
     words = np.diff(np.concatenate((first, [len(run)]))) + k - 1
     place = np.cumsum((raw & 0xC0) != 0x80) - 1
     content = np.add.reduceat(mixed(run + np.arange(len(run), dtype=np.uint64) - np.repeat(first, words - k + 1).astype(np.uint64)), first)
-    return {"number": number[first], "start": place[starts[at]], "end": place[ends[at + words - 1] - 1] + 1, "words": words, "content": mixed(content), "first": first, "shingles": run}
+    return {"number": number[first], "start": place[starts[at]], "end": place[ends[at + words - 1] - 1] + 1, "at": at, "words": words, "content": mixed(content), "first": first, "shingles": run}
 
 
 def _grouped(sentence: np.ndarray, k: int) -> np.ndarray:
@@ -77,18 +120,25 @@ def _grouped(sentence: np.ndarray, k: int) -> np.ndarray:
 
 
 def scanned(docs: DataFrame, text: str = "text", bands: int = 2) -> DataFrame:
-    """(doc_id, number, start, end, words, content, band_0, ...) of all paragraphs of five words."""
-    names = ["number", "start", "end", "words", "content", *(f"band_{k}" for k in range(bands))]
+    """(doc_id, number, start, end, at, words, content, band_0, ...) of all paragraphs of five words; rows of
+    number -1 tell in content the anchors of a text, each once."""
+    names = ["number", "start", "end", "at", "words", "content", *(f"band_{k}" for k in range(bands))]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, cols = [], {c: [] for c in names}
             for k, t in enumerate(batch["text"]):
-                p = paragraphs(t.as_py() or "")
+                known = hashed(t.as_py() or "")
+                p = paragraphs("", known=known)
+                mark = np.unique(anchors(known[4])[1])
+                if len(mark):
+                    owner.append(np.full(len(mark), k))
+                    for c in names:
+                        cols[c].append(mark.view(np.int64) if c == "content" else np.full(len(mark), -1 if c == "number" else 0, np.int64 if c.startswith("band") else np.int32))
                 if not p:
                     continue
                 owner.append(np.full(len(p["number"]), k))
-                for c in ("number", "start", "end", "words"):
+                for c in ("number", "start", "end", "at", "words"):
                     cols[c].append(p[c].astype(np.int32))
                 cols["content"].append(p["content"].view(np.int64))
                 for b in range(bands):
@@ -99,7 +149,7 @@ def scanned(docs: DataFrame, text: str = "text", bands: int = 2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, number int, start int, end int, words int, content long, " + ", ".join(f"band_{k} long" for k in range(bands))
+    schema = f"doc_id {kind}, number int, start int, end int, at int, words int, content long, " + ", ".join(f"band_{k} long" for k in range(bands))
     return docs.select("doc_id", F.col(text).alias("text")).where("doc_id is not null and text is not null").mapInArrow(scan, schema)
 
 
@@ -138,6 +188,46 @@ def _contents(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     return out
 
 
+def exact_runs(docs: DataFrame, marks: DataFrame, text: str) -> DataFrame:
+    """(doc_id, at, start, end, content, low): all runs of RUN words that stand in another document too, by
+    the place of their first word; low is the smallest document of theirs. marks: (doc_id, content), each
+    text's anchors. Texts that share no anchor with another aren't read."""
+    shared = marks.groupBy("content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("content")
+    marks = staged(marks.join(shared, "content", "left_semi").groupBy("doc_id").agg(F.collect_set("content").alias("marks")), "marks")
+    docs = docs.select("doc_id", F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    ids = marks.select("doc_id")
+    if marks.count() <= SHARD:
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["at", "start", "end", "content"]
+        for batch in batches:
+            owner, cols = [], {c: [] for c in names}
+            for k, (t, own) in enumerate(zip(batch["text"], batch["marks"], strict=True)):
+                raw, _, starts, ends, word = hashed(t.as_py())
+                run = runs_of(word, RUN)
+                at, found = anchors(word)
+                at = at[np.isin(found.view(np.int64), own.values.to_numpy())]
+                if not len(at):
+                    continue
+                # the runs that hold an anchor
+                open_ = np.bincount(np.maximum(at - (RUN - ANCHOR), 0), minlength=len(run) + RUN) - np.bincount(at + 1, minlength=len(run) + RUN)
+                at = np.flatnonzero(np.cumsum(open_)[: len(run)] > 0)
+                place = np.cumsum((raw & 0xC0) != 0x80) - 1
+                owner.append(np.full(len(at), k))
+                cols["at"].append(at.astype(np.int32))
+                cols["start"].append(place[starts[at]].astype(np.int32))
+                cols["end"].append((place[ends[at + RUN - 1] - 1] + 1).astype(np.int32))
+                cols["content"].append(run[at].view(np.int64))
+            if owner:
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(np.concatenate(owner))), *(pa.array(np.concatenate(cols[c])) for c in names)], ["doc_id", *names])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    runs = staged(docs.join(marks, "doc_id").mapInArrow(look, f"doc_id {kind}, at int, start int, end int, content long"), "verbatim")
+    both = runs.groupBy("content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("content", "low")
+    return runs.join(both, "content").select("doc_id", "at", "start", "end", "content", "low")
+
+
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     """Of two sets of shingles, each sorted and without repeats."""
     common = len(np.intersect1d(x, y, assume_unique=True))
@@ -146,37 +236,45 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 def repeated_passages(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, least: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """doc_id, start, end (code points, end exclusive), n_words, removed_words, cluster_id, kept: one row
-    per passage that repeats in another document. Of each cluster of paragraphs the smallest doc_id
-    keeps its own; removed_words counts those of others, and kept says that there are none.
-    cluster_id is the cluster of the passage's first paragraph.
+    per passage that repeats in another document. Of each cluster of paragraphs, and of each verbatim run,
+    the smallest doc_id keeps its own; removed_words counts those of others, and kept says that there are
+    none. cluster_id is the cluster of the passage's first paragraph, or its least verbatim run.
 
     Null and empty texts, rows without id and paragraphs of under five words have no part in it;
     repeated rows of one id count as one document; an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     bands = tuned(least, recall)
-    units = staged(scanned(docs, text, bands), "paragraphs")
+    found = staged(scanned(docs, text, bands), "paragraphs")
+    units, marks = found.where("number >= 0"), found.where("number < 0").select("doc_id", "content")
     contents = units.groupBy("content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *(F.first(f"band_{b}").alias(f"band_{b}") for b in range(bands)))
     contents = staged(contents, "distinct")
     reps = contents.select(F.col("content").alias("rep"), F.array(*(f"band_{b}" for b in range(bands))).alias("sketches"))
     links = bucket_links(reps, lambda ids: _contents(docs, staged(contents.select(F.col("content").alias("rep"), "low").join(ids, "rep", "left_semi"), "wanted"), text), lambda x, y: jaccard(x, y) >= least, agree=1)
     members = contents.select("content", "low", "high")
-    found = connected_components(links).withColumnRenamed("node", "content")
-    clusters = members.join(found, "content", "left").withColumn("cluster_id", F.coalesce("component", "content"))
+    linked = connected_components(links).withColumnRenamed("node", "content")
+    clusters = members.join(linked, "content", "left").withColumn("cluster_id", F.coalesce("component", "content"))
     linked = clusters.where("component is not null").groupBy("cluster_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     alone = clusters.where("component is null and low <> high").select("content", "cluster_id", "low", "high")
     clusters = alone.union(clusters.where("component is not null").select("content", "cluster_id").join(linked, "cluster_id").select("content", "cluster_id", "low", "high"))
     repeated = clusters.where("low <> high").select("content", "cluster_id", "low")
-    hits = units.select("doc_id", "number", "start", "end", "words", "content").join(repeated, "content")
-    hits = hits.repartition("doc_id").dropDuplicates(["doc_id", "number", "content"])
-    by_doc = Window.partitionBy("doc_id").orderBy("number")
-    # one paragraph that was edited may stand between
-    fresh = F.coalesce(F.col("number") - F.lag("number").over(by_doc) > 2, F.lit(True)).cast("int")
-    hits = hits.withColumn("fresh", fresh).withColumn("passage", F.sum("fresh").over(by_doc))
-    lost = F.when(F.col("low") < F.col("doc_id"), F.col("words")).otherwise(0)
+    hits = units.select("doc_id", "number", "at", (F.col("at") + F.col("words")).alias("to"), "start", "end", "content").join(repeated, "content")
+    runs = exact_runs(docs, marks, text).select("doc_id", F.lit(None).cast("int").alias("number"), "at", (F.col("at") + RUN).alias("to"), "start", "end", "content", F.lit(None).cast("long").alias("cluster_id"), "low")
+    hits = hits.select(runs.columns).union(runs).repartition("doc_id").dropDuplicates(["doc_id", "number", "at", "content"])
+    order = Window.partitionBy("doc_id").orderBy("at", "to", F.col("number").isNull(), "content")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    lost = F.col("low") < F.col("doc_id")
+    hits = hits.withColumns({"last": F.max("number").over(before), "seen": F.max("to").over(before), "gone": F.max(F.when(lost, F.col("to"))).over(before)})
+    # an edited part may stand between: of paragraphs one, of verbatim runs BETWEEN words
+    near = F.when(F.col("number").isNull(), F.col("at") <= F.col("seen") + BETWEEN).otherwise((F.col("at") <= F.col("seen")) | F.coalesce(F.col("number") - F.col("last") <= 2, F.lit(False)))
+    hits = hits.withColumn("passage", F.sum((~F.coalesce(near, F.lit(False))).cast("int")).over(order))
+    fresh = lambda since: F.greatest(F.lit(0), F.col("to") - F.greatest("at", since))
     return (
         hits.groupBy("doc_id", "passage")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.sum(lost).alias("removed_words"), F.min_by("cluster_id", "number").alias("cluster_id"))
+        .agg(
+            F.min("start").alias("start"), F.max("end").alias("end"), F.sum(fresh("seen")).alias("n_words"), F.sum(F.when(lost, fresh("gone")).otherwise(0)).alias("removed_words"),
+            F.coalesce(F.min_by("cluster_id", F.when(F.col("number").isNotNull(), F.col("at"))), F.min("content")).alias("cluster_id"),
+        )
         .where(F.col("n_words") >= min_words)
         .select("doc_id", "start", "end", "n_words", "removed_words", "cluster_id", (F.col("removed_words") == 0).alias("kept"))
     )

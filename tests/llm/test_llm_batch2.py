@@ -157,6 +157,21 @@ def test_passages(spark):
     assert op08_passages.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_passages_cut_anywhere(spark):
+    """Runs of 50 words that start and end within a sentence, or have no sentence marks around them."""
+    marked = prose(50, 27)  # parts of two sentences
+    shared = " ".join(marked) + ". " + " ".join(prose(51, 23))
+    plain = " ".join(prose(52, 50))
+    around = lambda k: (" ".join(prose(1000 + k, 30)), " ".join(prose(2000 + k, 30)))
+    docs = [(k, f" {shared if k < 3 else plain} ".join(around(k)) + ("." if k < 3 else "")) for k in range(6)] + [(9, " ".join(prose(60, 200)))]
+    got = op08_passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == [0, 1, 2, 3, 4, 5]
+    texts = dict(docs)
+    for r in got:
+        assert texts[r["doc_id"]][r["start"] : r["end"]] == (shared if r["doc_id"] < 3 else plain)
+        assert r["n_words"] == 50 and r["kept"] == (r["doc_id"] in (0, 3)) and r["removed_words"] == (0 if r["kept"] else 50)
+
+
 def test_bands():
     assert op08_passages.tuned(0.8, 0.95, 1) == 2 and op08_passages.tuned(0.5, 0.95, 2) == 11
 
