@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, bucket_links, connected_components, read, staged
 from .words import FOLD, _power, mixed, spans
 
-WORDS, SIMILARITY, RECALL = 5, 0.8, 0.95
+WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 #: A pasted passage may lose a part of its first and last sentence to the text around it.
 MIN_WORDS = 40
 #: Words of a run that is found verbatim wherever it stands, of its anchor, and of an edited part between runs.

@@ -176,6 +176,10 @@ def test_bands():
     assert op08_passages.tuned(0.8, 0.95, 1) == 2 and op08_passages.tuned(0.5, 0.95, 2) == 11
 
 
+def test_bands_meet_all_but_one_pair_in_a_thousand():
+    assert (1 - op08_passages.SIMILARITY) ** op08_passages.tuned() <= 0.001
+
+
 # toxicity
 
 
