@@ -36,6 +36,20 @@ def test_embeddings_against_brute_force(spark):
     assert got[200]["component_id"] == got[3]["component_id"] == got[201]["component_id"]
 
 
+def test_embeddings_of_a_dense_group(spark):
+    """Pairs at cosine 0.952 within a group whose vectors all are at cosine 0.8 to each other."""
+    rng = np.random.default_rng(5)
+    turn = lambda x, cosine: cosine * x + np.sqrt(1 - cosine**2) * op01_embeddings.unit((d := rng.standard_normal(x.shape)) - (d * x).sum(1, keepdims=True) * x)
+    centre = np.repeat(op01_embeddings.unit(rng.standard_normal((1, 64))), 6000, 0)
+    group = turn(centre, np.sqrt(0.8))
+    x = np.concatenate([group, turn(group[:400], 0.952)])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in op01_embeddings.near_duplicates(df).collect()}
+    near = x @ x.T >= 0.95
+    whole = sum(got[k]["n_links"] == near[k].sum() - 1 for k in range(400))
+    assert whole >= 396
+
+
 def test_embeddings_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert op01_embeddings.near_duplicates(df).count() == 0
