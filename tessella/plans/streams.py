@@ -32,7 +32,7 @@ def stream_window_average(spark, sf_dir):
 def stream_without_repeats(spark, sf_dir):
     """Each frame once, as a stream that reads its input twice over."""
     f = frames.read_frames(spark, sf_dir)
-    return frames.drained(frames.without_repeats(f.union(f), "60 days").select("channel", "frame_id", "value"), "once")
+    return frames.drained(frames.without_repeats(f.union(f), frames.span(spark, sf_dir)).select("channel", "frame_id", "value"), "once")
 
 
 @query("""SELECT a.user_id AS channel, a.event_id AS frame, b.event_id AS other FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts - INTERVAL 1 HOUR AND a.ts + INTERVAL 1 HOUR WHERE a.event_type = 'click' AND b.event_type = 'view'""")
@@ -40,7 +40,7 @@ def stream_alignment(spark, sf_dir):
     """Pairs of frames of two streams that lie near in time."""
     f = frames.read_frames(spark, sf_dir)
     g = frames.read_frames(spark, sf_dir)
-    return frames.drained(frames.aligned(f.where("kind = 'click'"), g.where("kind = 'view'")), "pairs")
+    return frames.drained(frames.aligned(f.where("kind = 'click'"), g.where("kind = 'view'"), late=frames.span(spark, sf_dir)), "pairs")
 
 
 @query(f"""WITH {TILE}, v AS (SELECT x // 10 AS cluster, (row_number() OVER (PARTITION BY x // 10 ORDER BY y, x) - 1) AS k, x, y, disparity FROM tile),

@@ -9,9 +9,12 @@ from ..shared import shared_dir
 
 
 def read_frames(spark: SparkSession, folder: str, files: str = "events.parquet", per_trigger: int = 1) -> DataFrame:
-    """The event files of a folder as a stream of frames (frame_id, channel, ts, kind, value)."""
-    schema = spark.read.parquet(f"{folder}/{files}").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+    """The event files of a folder as a stream of frames (frame_id, channel, ts, kind, value). `files` names
+    one file or a folder of part files."""
+    path = f"{folder}/{files}"
+    schema = spark.read.parquet(path).schema
+    # a stream takes a folder or a glob, not a file's own name: the last letter as a class makes it a glob
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
     return events.select(F.col("event_id").alias("frame_id"), F.col("user_id").alias("channel"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), "value")
 
 
@@ -36,6 +39,13 @@ def aligned(left: DataFrame, right: DataFrame, within: str = "1 hour", late: str
     return l.join(r, near).select("channel", "frame", "other")
 
 
+def span(spark: SparkSession, folder: str, files: str = "events.parquet") -> str:
+    """A watermark delay that covers all frames of a finite table, however its files are ordered."""
+    ts = F.col("ts").cast("timestamp")
+    lo, hi = spark.read.parquet(f"{folder}/{files}").agg(F.unix_micros(F.min(ts)), F.unix_micros(F.max(ts))).first()
+    return f"{0 if lo is None else (hi - lo) // 1_000_000 + 1} seconds"
+
+
 def drained(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """What a stream gives for all its present input, written as Parquet batch by batch in the shared
     folder; a batch that is run again replaces its own files."""

@@ -155,3 +155,21 @@ def test_small_clusters(spark):
     tiles = spark.createDataFrame([(0, 0, 1.0), (1, 0, 1.0), (5, 5, 9.0)], "x long, y long, weight double")
     assert len(drawn(grid.without_small_clusters(tiles, 2))) == 2
     assert len(drawn(grid.without_small_clusters(tiles, 1, 5.0))) == 1
+
+
+def test_streams_of_many_unordered_files(spark, tmp_path):
+    from tessella.plans import streams
+
+    rows = [(k, k % 2, f"2024-0{1 + 5 * (k // 2 % 2)}-01 00:{k:02d}:00", "click" if k % 4 < 2 else "view", float(k)) for k in range(12)]
+    rows += [(100 + k, 0, f"2024-0{m}-02 00:{k:02d}:00", kind, 1.0) for m in (1, 6) for k, kind in ((2 * m, "click"), (2 * m + 1, "view"))]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    folder = str(tmp_path)
+    for month in (6, 1):  # the later rows are written first, as part files of one folder
+        events.where(F.month("ts") == month).repartition(3).write.mode("append").parquet(f"{folder}/events.parquet")
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(streams.stream_without_repeats(spark, folder)) == key(events.select("user_id", "event_id", "value").distinct())
+    a, b = events.where("event_type = 'click'").alias("a"), events.where("event_type = 'view'").alias("b")
+    pairs = a.join(b, F.expr("a.user_id = b.user_id and b.ts between a.ts - interval 1 hour and a.ts + interval 1 hour"))
+    assert key(streams.stream_alignment(spark, folder)) == key(pairs.select("a.user_id", "a.event_id", "b.event_id")) != []
+    averages = events.groupBy("user_id", F.to_date("ts")).agg(F.count("*").alias("n"))
+    assert sorted(r["n"] for r in streams.stream_window_average(spark, folder).collect()) == sorted(r["n"] for r in averages.collect())
