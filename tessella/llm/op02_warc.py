@@ -69,7 +69,7 @@ def records(origin: str, url: str | None, digest: str, payload: bytes, refers_to
     """The records of one page, without the terminator."""
     fields: dict[str, object] = {"WARC-Payload-Digest": f"sha1:{digest}"}
     if url is not None:
-        fields["WARC-Target-URI"] = "".join(f"%{b:02X}" if b < 33 or b == 127 else chr(b) for b in url.encode()[:4096] if b < 128)
+        fields["WARC-Target-URI"] = "".join(chr(b) if 32 < b < 127 else f"%{b:02X}" for b in url.encode("utf-8", "replace"))
     if refers_to is not None:  # the header alone, with the length of the payload that isn't repeated
         fields |= {"WARC-Refers-To": f"<{refers_to}>", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
         yield record("revisit", origin, fields, b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: %d\r\n\r\n" % len(payload))
@@ -134,33 +134,33 @@ def write(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMEN
     archive.write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
 
 
-_FIELDS = "origin string, record_type string, refers_to string, digest string, payload binary, payload_bytes long"
+_FIELDS = "origin string, record_type string, refers_to string, target_uri string, digest string, payload binary, payload_bytes long"
 
 
-def _finished(origin: str, kind: str, refers: str | None, digest: str, block: bytes, with_payload: bool) -> dict:
+def _finished(origin: str, kind: str, refers: str | None, target: str | None, digest: str, block: bytes, with_payload: bool) -> dict:
     """One record from its whole block; the payload's digest is computed anew where there is one."""
     head, _, body = block.partition(END)
     if kind == "revisit":
         size = int(next(x.split(b":")[1] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")))
-        return {"origin": origin, "record_type": kind, "refers_to": refers, "digest": digest, "payload": None, "payload_bytes": size}
+        return {"origin": origin, "record_type": kind, "refers_to": refers, "target_uri": target, "digest": digest, "payload": None, "payload_bytes": size}
     payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
     found = hashlib.sha1(payload).hexdigest()
     if found != digest:
         raise ValueError(f"{origin}: payload digest {found} isn't {digest}")
-    return {"origin": origin, "record_type": kind, "refers_to": None, "digest": found, "payload": payload if with_payload else None, "payload_bytes": len(payload)}
+    return {"origin": origin, "record_type": kind, "refers_to": None, "target_uri": target, "digest": found, "payload": payload if with_payload else None, "payload_bytes": len(payload)}
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """(origin, record_type, refers_to, digest, payload, payload_bytes) of the archives' records: origin is
-    the record id. Revisits have no payload. Segments with a gap, of another total length or digest
+    """(origin, record_type, refers_to, target_uri, digest, payload, payload_bytes) of the archives' records:
+    origin is the record id, target_uri the page's url with all bytes but printable ASCII percent-encoded. Revisits have no payload. Segments with a gap, of another total length or digest
     raise an error. Payloads travel on only if asked for."""
-    segments = "origin string, number int, total long, copy string, digest string, block binary"
+    segments = "origin string, number int, total long, copy string, target_uri string, digest string, block binary"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
 
-        whole_type = pa.struct([("origin", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64())])
-        part_type = pa.struct([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("copy", pa.string()), ("digest", pa.string()), ("block", pa.binary())])
+        whole_type = pa.struct([("origin", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("digest", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64())])
+        part_type = pa.struct([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("copy", pa.string()), ("target_uri", pa.string()), ("digest", pa.string()), ("block", pa.binary())])
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):
                 data = content.as_py()
@@ -173,9 +173,9 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
                     if "warc-segment-number" in fields:
                         total = fields.get("warc-segment-total-length")
-                        parts.append({"origin": origin, "number": int(fields["warc-segment-number"]), "total": int(total) if total else None, "copy": None, "digest": digest, "block": block})
+                        parts.append({"origin": origin, "number": int(fields["warc-segment-number"]), "total": int(total) if total else None, "copy": None, "target_uri": fields.get("warc-target-uri"), "digest": digest, "block": block})
                     else:
-                        done.append(_finished(origin, fields["warc-type"], bare("warc-refers-to"), digest, block, with_payload))
+                        done.append(_finished(origin, fields["warc-type"], bare("warc-refers-to"), fields.get("warc-target-uri"), digest, block, with_payload))
                     held += len(block)
                     if held > 8 << 20:
                         yield flush(done, parts)
@@ -198,8 +198,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
         block = b"".join(by.first())
         if rows["total"].max() != len(block):
             raise ValueError(f"{rows['origin'].iloc[0]}: {len(block)} bytes, not {rows['total'].max()}")
-        one = _finished(rows["origin"].iloc[0], "response", None, rows["digest"].dropna().iloc[0], block, with_payload)
-        return pd.DataFrame([one] * int(copies.iloc[0]))
+        one = _finished(rows["origin"].iloc[0], "response", None, None, rows["digest"].dropna().iloc[0], block, with_payload)
+        return pd.DataFrame([one | {"target_uri": target} for target in rows.loc[rows["number"] == 1, "target_uri"]])
 
     return found.where("whole is not null").select("whole.*").union(found.where("part is not null").select("part.*").groupBy("origin").applyInPandas(join_up, _FIELDS))
 

@@ -3,6 +3,7 @@ repeated rows, empty tables and columns with clashing names."""
 
 import hashlib
 import zlib
+from urllib.parse import quote
 
 import numpy as np
 import pytest
@@ -89,6 +90,16 @@ def test_archives_round_trip(spark, tmp_path):
     assert by["1"][0]["refers_to"].split(":")[2] == "5" and len(by["9"]) == 2
 
 
+def test_archives_keep_the_whole_url(spark, tmp_path):
+    urls = ["http://a/ü€?q=1", "http://a/" + "x" * 6000, "http://a/b c", "", None]
+    pages = spark.createDataFrame([(k, u, "y" * 3000 + str(k)) for k, u in enumerate(urls)] + [(9, urls[0], "y" * 3000 + "0")], "page_id long, url string, html string")
+    op02_warc.write(pages, str(tmp_path / "w"), segment=2000)
+    op02_warc.write(pages, str(tmp_path / "v"))
+    for folder in "wv":
+        got = {int(r["origin"].split(":")[2]): r["target_uri"] for r in op02_warc.read_archives(spark, str(tmp_path / folder)).collect()}
+        assert got == {k: None if u is None else quote(u, safe="".join(map(chr, range(33, 127)))) for k, u in [*enumerate(urls), (9, urls[0])]}
+
+
 def test_missing_segment(spark, tmp_path):
     parts = list(op02_warc.records("urn:page:1:x", "u", hashlib.sha1(b"y" * 500).hexdigest(), b"y" * 500, None, 200))
     (tmp_path / "a.warc").write_bytes(b"".join(p + op02_warc.END for p in parts[:1] + parts[2:]))
