@@ -3,7 +3,7 @@
 DataFrame functions only. The trees (Spark ML's) are trained on URLs that rules label, a bounded
 sample of them; the features say nothing of the host's or path's exact words, so what the trees learn
 carries over to other hosts: lengths, depth, digit and letter shares, entropy, counts of parameters,
-separators and labels, and per suffix how often a training URL of it is blocked.
+separators and labels, and per suffix how often the rules block a URL of it, over all URLs that they label.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: URLs in the training sample at most, in expectation; trees and their depth; suffixes with their own rate.
-SAMPLE, TREES, DEPTH, SUFFIXES = 50_000, 20, 4, 1000
+#: URLs in the training sample at most, in expectation; trees and their depth.
+SAMPLE, TREES, DEPTH = 50_000, 20, 4
 FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_share", "host_digit_share", "letter_share", "hyphens", "dots", "entropy", "parameters", "query_length", "has_fragment", "is_https", "ends_in_slash", "has_extension", "suffix_rate"]
 
 
@@ -51,15 +51,15 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
     u = F.coalesce(F.col(url), F.lit(""))
     kept = lambda c, pattern: F.length(F.regexp_replace(c, pattern, ""))
     n = F.greatest(F.length(u), F.lit(1))
-    chars = F.split(u, "")
-    each = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
+    # a character's count is what the text loses without it: linear in the text for each distinct one
+    each = F.transform(F.array_distinct(F.split(u, "")), lambda c: (F.length(u) - F.length(F.replace(u, c, F.lit("")))) / n)
     query = F.regexp_extract(u, r"\?([^#]*)", 1)
     return df.withColumns({
         "url_length": F.length(u), "host_length": F.length("host"), "path_length": F.length("path"),
         "depth": kept(F.col("path"), "[^/]"), "labels": kept(F.col("host"), "[^.]") + 1,
         "digit_share": kept(u, "[^0-9]") / n, "host_digit_share": kept(F.col("host"), "[^0-9]") / F.greatest(F.length("host"), F.lit(1)),
         "letter_share": kept(u, "[^A-Za-z]") / n, "hyphens": kept(u, "[^-]"), "dots": kept(u, "[^.]"),
-        "entropy": -F.aggregate(F.when(F.length(u) <= 4096, each).otherwise(F.array(F.lit(1.0))), F.lit(0.0), lambda s, p: s + p * F.log2(p)),
+        "entropy": -F.aggregate(F.when(u == "", F.array(F.lit(1.0))).otherwise(each), F.lit(0.0), lambda s, p: s + p * F.log2(p)),
         "parameters": F.when(query == "", 0).otherwise(kept(query, "[^&;]") + 1), "query_length": F.length(query),
         "has_fragment": F.contains(u, F.lit("#")).cast("int"), "is_https": F.startswith(F.lower(u), F.lit("https:")).cast("int"),
         "ends_in_slash": F.endswith(F.col("path"), F.lit("/")).cast("int"), "has_extension": F.col("path").rlike(r"\.[A-Za-z0-9]{1,5}$").cast("int"),
@@ -67,6 +67,12 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
     })
 
 
+def suffix_rates(urls: DataFrame, mean: float) -> DataFrame:
+    """(suffix, suffix_rate) of all suffixes of labelled URLs (host, label), drawn to the mean by five URLs."""
+    suffix = F.substring_index("host", ".", -1).alias("suffix")
+    return urls.groupBy(suffix).agg(((F.sum("label") + 5 * mean) / (F.count("*") + 5)).alias("suffix_rate"))
+
+
 def judge(pages: DataFrame, rules=RULES, url: str = "url", sample: int = SAMPLE) -> DataFrame:
     """pages with host, path, rule, p_block and verdict.
 
@@ -92,11 +98,8 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", sample: int = SAMPLE)
     share = min(1.0, sample / sum(totals.values()))
     train = staged(lexical(urls.where(F.pmod(F.xxhash64("url"), F.lit(1_000_003)) < share * 1_000_003)), "urls")
     mean = totals[1.0] / sum(totals.values())
-    rates = train.groupBy("suffix").agg(((F.sum("label") + 5 * mean) / (F.count("*") + 5)).alias("rate"), F.count("*").alias("n"))
-    # at most SUFFIXES rows
-    rate = {r["suffix"]: r["rate"] for r in rates.orderBy(F.desc("n"), "suffix").limit(SUFFIXES).collect()}
-    table = F.create_map(*[F.lit(x) for pair in rate.items() for x in pair])
-    rated = lambda df: df.withColumn("suffix_rate", F.coalesce(F.try_element_at(table, F.col("suffix")), F.lit(mean)))
+    rates = staged(suffix_rates(urls, mean), "rates")
+    rated = lambda df: df.join(rates, "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(mean)))
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
     gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, checkpointInterval=-1, cacheNodeIds=False, maxMemoryInMB=128)
     model = gbt.fit(assembler.transform(rated(train)).select("features", "label"))

@@ -233,6 +233,20 @@ def test_urls(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_entropy_of_any_length(spark):
+    rows = [("http://h/" + "ab" * 5000, "h", "/"), ("aab", "", ""), ("é\U0001f600" * 3000 + "$.", "", ""), ("", "", "")]
+    got = [r["entropy"] for r in op10_url_filter.lexical(spark.createDataFrame(rows, "url string, host string, path string").coalesce(1)).collect()]
+    for (u, _, _), e in zip(rows, got, strict=True):
+        p = np.array([u.count(c) / len(u) for c in set(u)] or [1.0])
+        assert abs(e + (p * np.log2(p)).sum()) < 1e-9
+
+
+def test_every_suffix_has_its_rate(spark):
+    rows = [(f"h.s{k}", float(k % 2)) for k in range(1500) for _ in range(5)]
+    got = {r["suffix"]: r["suffix_rate"] for r in op10_url_filter.suffix_rates(spark.createDataFrame(rows, "host string, label double"), 0.5).collect()}
+    assert got == {f"s{k}": 0.75 if k % 2 else 0.25 for k in range(1500)}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
