@@ -2,8 +2,8 @@
 
 Texts are lower-cased and every run of other characters than letters becomes one blank; n-grams of 1 to
 `max_n` characters fall into `buckets` hash buckets. Counts per language come from Spark aggregation
-over a sample of labelled texts, and the log-probability matrix (buckets x languages, of a size that
-parameters bound) is broadcast. A text is scored piece by piece as a sum of matrix rows.
+over a sample of labelled texts, and the log-probability matrix (buckets x languages) is broadcast in
+shards of LANGUAGES columns, as many as there are languages. A text is scored piece by piece as a sum of matrix rows.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read
+from .common import bounded_batches, read, staged
 
 #: Documents a language gives to the training sample at most, in expectation.
 SAMPLE = 4000
-#: Languages of the model at most (the most frequent ones); bounds the matrix at BUCKETS x 128 floats.
+#: Languages of a shard of the matrix: BUCKETS x 128 floats; more languages take more shards.
 LANGUAGES = 128
 BUCKETS, MAX_N, PIECE = 1 << 16, 4, 1 << 18
 UNKNOWN = "und"
@@ -60,36 +60,49 @@ def grams(text: str | None, buckets: int = BUCKETS, max_n: int = MAX_N) -> Itera
             yield ((own * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) % buckets
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, max_n: int = MAX_N) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages in order, log-probabilities buckets x languages, log-priors) from (doc_id, text,
+def train(labelled: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, max_n: int = MAX_N) -> tuple[list[str], list[np.ndarray], np.ndarray]:
+    """(languages in order, shards of log-probabilities buckets x languages, log-priors) from (doc_id, text,
     lang). Priors count all labelled rows; n-grams come from about `sample` rows a language at most,
     chosen by a hash of the id. Rows of null text or lang don't count."""
     rows = labelled.select(F.col("doc_id").cast("string").alias("id"), "text", "lang").where("text is not null and lang is not null")
-    totals = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    totals = rows.groupBy("lang").count().collect()
     totals = sorted((r["lang"], r["count"]) for r in totals)
     langs = [lang for lang, _ in totals]
     if not langs:
-        return [], np.zeros((buckets, 0), np.float32), np.zeros(0)
-    share = F.create_map(*[F.lit(x) for lang, n in totals for x in (lang, min(1.0, sample / n))])
+        return [], [np.zeros((buckets, 0), np.float32)], np.zeros(0)
+    share = labelled.sparkSession.createDataFrame([(lang, min(1.0, sample / n)) for lang, n in totals], "lang string, share double")
     place = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003
-    chosen = rows.where(place < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    chosen = rows.join(F.broadcast(share), "lang").where(place < F.col("share"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = {lang: np.zeros(buckets, np.int64) for lang in langs}
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch["text"], batch["lang"], strict=True):
+                if lang not in sums:
+                    if len(sums) >= LANGUAGES:  # a task holds so many at a time
+                        yield from told(sums)
+                        sums = {}
+                    sums[lang] = np.zeros(buckets, np.int64)
                 for ids in grams(text, buckets, max_n):
                     sums[lang] += np.bincount(ids, minlength=buckets)
+        yield from told(sums)
+
+    def told(sums: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
         for lang, n in sums.items():
             found = np.flatnonzero(n)
             yield pd.DataFrame({"lang": lang, "bucket": found, "n": n[found]})
 
     counts = chosen.select("text", "lang").mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    matrix = np.full((buckets, len(langs)), 0.5)
-    got = counts.toPandas()  # at most buckets x languages rows
-    matrix[got["bucket"], got["lang"].map({x: k for k, x in enumerate(langs)})] += got["n"]
+    shards = [langs[k : k + LANGUAGES] for k in range(0, len(langs), LANGUAGES)]
+    counts = staged(counts, "grams") if len(shards) > 1 else counts
+    matrices = []
+    for own in shards:
+        matrix = np.full((buckets, len(own)), 0.5)
+        got = (counts.where(F.col("lang").between(own[0], own[-1])) if len(shards) > 1 else counts).toPandas()  # at most buckets x LANGUAGES rows
+        matrix[got["bucket"], got["lang"].map({x: k for k, x in enumerate(own)})] += got["n"]
+        matrices.append(np.log(matrix / matrix.sum(0)).astype(np.float32))
     prior = np.array([n for _, n in totals], float)
-    return langs, np.log(matrix / matrix.sum(0)).astype(np.float32), np.log(prior / prior.sum())
+    return langs, matrices, np.log(prior / prior.sum())
 
 
 def predict(docs: DataFrame, model: tuple, text: str = "text") -> DataFrame:
@@ -97,18 +110,20 @@ def predict(docs: DataFrame, model: tuple, text: str = "text") -> DataFrame:
     letters, and any text under a model of no languages give `und` and 0. Columns of docs named as the
     new ones give way; other columns, repeated rows and null ids pass through."""
     bounded_batches(docs.sparkSession)
-    langs, matrix, prior = model
-    buckets = len(matrix)
-    shared = docs.sparkSession.sparkContext.broadcast((langs, matrix, prior))
+    langs, matrices, prior = model
+    buckets = len(matrices[0])
+    shared = docs.sparkSession.sparkContext.broadcast((langs, prior))
+    shards = [docs.sparkSession.sparkContext.broadcast(m) for m in matrices]
 
     @F.pandas_udf("lang_pred string, score double")
     def score(texts: pd.Series) -> pd.DataFrame:
-        langs, matrix, prior = shared.value
+        langs, prior = shared.value
+        matrices = [s.value for s in shards]
         out = []
         for text in texts:
             total, seen = prior.astype(float), 0
             for ids in grams(text, buckets) if isinstance(text, str) and langs else ():
-                total = total + matrix[ids].sum(0, dtype=float)
+                total = total + np.concatenate([m[ids].sum(0, dtype=float) for m in matrices])
                 seen += len(ids)
             if not seen:
                 out.append((UNKNOWN, 0.0))

@@ -212,6 +212,16 @@ def test_language(spark):
     assert op05_language.predict(df.limit(0), op05_language.train(df)).count() == 0
 
 
+def test_more_languages_than_a_shard(spark):
+    words = [f"{chr(97 + k // 26)}{chr(97 + k % 26)}q" for k in range(150)]
+    rows = [(k, f"{w} " * 30, f"l{k}") for k, w in enumerate(words)] + [(1000 + k, f"{words[0]} " * 30, "l0") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = op05_language.train(df)
+    assert len(model[0]) == 150
+    got = op05_language.predict(df, model).collect()
+    assert all(r["lang_pred"] == r["lang"] and 0.5 < r["score"] <= 1 for r in got)
+
+
 def test_grams_do_not_depend_on_pieces():
     text = "Ein langer Text, mit Zeichen und 12 Zahlen  " * 50
     whole = np.sort(np.concatenate(list(op05_language.grams(text))))
