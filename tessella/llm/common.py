@@ -1,28 +1,19 @@
-"""Shared folder, staging and connected components for the corpus operators."""
+"""Staging, batches and connected components for the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed, shared_dir
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or a temporary one where the session has none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessella-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 #: Rows of a batch that goes to Python: texts may be long, and a batch is held whole on both sides.
 BATCH = 500
 
@@ -44,10 +35,29 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+#: Rows that a broadcast may have at most (of a few numbers each: some 16 MB); more rows go by a shuffle.
+SMALL = 1_000_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df, a staged table of a few numbers a row, with a broadcast hint where it has at most `most` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+#: Neighbours from which a node counts as a hub, and hubs at most, as a share of all links' ends.
+HUB, HUBS = 1000, 10_000
+
+
+def _with_least(both: DataFrame, ends: int) -> DataFrame:
+    """both (u, v) and m, the least v of each u. Nodes of many neighbours, of which there can be but HUBS,
+    are joined by broadcast, so that no task gathers a hub's neighbours."""
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    many = max(HUB, ends // HUBS)
+    hubs = F.broadcast(least.where(F.col("n") >= many).select("u", "m"))
+    if ends < many:
+        return both.join(least.select("u", "m"), "u")
+    others = both.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") < many).select("u", "m"), "u")
+    return both.join(hubs, "u").union(others)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -60,29 +70,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
         .distinct()
     )
-    e, before = checkpointed(e), None
-    while True:
+    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    e = checkpointed(e)
+    before = state(e)
+    while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        )
+        large = _with_least(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         e = checkpointed(
-            large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            _with_least(large, before[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = state(e)
         if now == before:
             break
         before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
-
-#: Members that a bucket holds others against first; members of a block, in the mean.
-LEADERS, BLOCK = 8, 128
+#: Members that a bucket holds others against first; members and bytes of a block, in the mean.
+LEADERS, BLOCK, BLOCK_BYTES = 8, 128, 2 << 20
 
 
 def bucket_links(reps: DataFrame, runs_of, alike, agree: int) -> DataFrame:
@@ -128,7 +136,10 @@ def bucket_links(reps: DataFrame, runs_of, alike, agree: int) -> DataFrame:
     split = placed.groupBy("band", "bucket").agg(F.min("component").alias("first"), F.max("component").alias("last"))
     apart = placed.where(F.col("n") > 2).join(split.where("first <> last"), ["band", "bucket"])
     apart = apart.join(reps, "rep").join(runs, "rep")
-    parts = F.ceil(F.col("n") / BLOCK)
+    apart = staged(apart, "apart")
+    weight = apart.groupBy("band", "bucket").agg(F.sum(F.octet_length("runs")).alias("bytes"))
+    apart = apart.join(weight, ["band", "bucket"])
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES))
     block = F.pmod(F.xxhash64("rep", F.lit(1)), parts).alias("block")
     member = F.struct("rep", "component", (F.col("component") != F.col("first")).alias("outer"), "sketches", "runs")
     blocks = staged(apart.groupBy("band", "bucket", parts.alias("parts"), block).agg(F.collect_list(member).alias("members"), F.max(F.col("component") != F.col("first")).alias("outer")), "blocks")
@@ -138,10 +149,18 @@ def bucket_links(reps: DataFrame, runs_of, alike, agree: int) -> DataFrame:
     right = blocks.select("band", "bucket", F.col("block").alias("j"), F.col("members").alias("of_j"), F.col("outer").alias("outer_j"))
     crossed = left.join(right, ["band", "bucket", "j"]).where("outer_i or outer_j").select("band", "i", "j", "of_i", "of_j")
 
+    def members(rows):
+        """(ids, components, whether outside the first component, sketches, runs) of a block."""
+        rows = rows.values
+        data = rows.field("runs")
+        sketch = rows.field("sketches")
+        return (rows.field("rep"), rows.field("component").to_pylist(), rows.field("outer").to_pylist(),
+                sketch.flatten().to_numpy().reshape(len(rows), -1), [np.frombuffer(x.as_buffer(), np.uint64) for x in data])
+
     def compare(batches):
         for batch in batches:
-            found = []
-            for band, i, j, mine, others in zip(*(batch[c].to_pylist() for c in ("band", "i", "j", "of_i", "of_j")), strict=True):
+            found_a, found_b = [], []
+            for band, i, j, mine, others in zip(*(batch[c] for c in ("band", "i", "j", "of_i", "of_j")), strict=True):
                 group: dict = {}
 
                 def root(x, group=group):
@@ -149,20 +168,24 @@ def bucket_links(reps: DataFrame, runs_of, alike, agree: int) -> DataFrame:
                         x = group[x]
                     return x
 
-                read_ = lambda rows: ([np.frombuffer(r["runs"], np.uint64) for r in rows], np.array([r["sketches"] for r in rows]))
-                (runs_i, sketch_i), (runs_j, sketch_j) = read_(mine), read_(others)
-                for p, x in enumerate(mine):
+                (ids_i, component_i, outer_i, sketch_i, runs_i), (ids_j, component_j, outer_j, sketch_j, runs_j) = members(mine), members(others)
+                hits: tuple[list, list] = ([], [])
+                for p in range(len(ids_i)):
                     same = sketch_j == sketch_i[p]
                     # a pair is compared in the first band that both share, once
-                    for q in np.flatnonzero((same.sum(1) >= agree) & (same.argmax(1) == band)):
-                        y = others[q]
-                        if (i == j and q <= p) or not (x["outer"] or y["outer"]) or root(x["component"]) == root(y["component"]):
+                    for q in np.flatnonzero((same.sum(1) >= agree) & (same.argmax(1) == band.as_py())):
+                        if (i == j and q <= p) or not (outer_i[p] or outer_j[q]) or root(component_i[p]) == root(component_j[q]):
                             continue
                         if alike(runs_i[p], runs_j[q]):
-                            found.append((min(x["rep"], y["rep"]), max(x["rep"], y["rep"])))
-                            group[root(x["component"])] = root(y["component"])
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], batch["of_i"].type.value_type.field("rep").type), "b": pa.array([b for _, b in found], batch["of_i"].type.value_type.field("rep").type)})
+                            hits[0].append(p)
+                            hits[1].append(q)
+                            group[root(component_i[p])] = root(component_j[q])
+                found_a.append(ids_i.take(pa.array(hits[0], pa.int64())))
+                found_b.append(ids_j.take(pa.array(hits[1], pa.int64())))
+            if found_a:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(found_a), pa.concat_arrays(found_b)], ["a", "b"])
 
     kind = reps.schema["rep"].dataType.simpleString()
     more = crossed.mapInArrow(compare, f"a {kind}, b {kind}")
+    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return staged(links.union(more).distinct(), "links")

@@ -1,17 +1,17 @@
 """Passages that repeat across documents, by paragraph MinHash banding.
 
-A text's paragraphs here are its sentences, short ones joined up to five words: it is cut at line ends
-and after sentence marks, so that a passage is found wherever it was pasted. A paragraph has its 5-word shingles
-and one MinHash per band; bands and rows are tuned so that paragraphs of Jaccard similarity 0.8
-collide with a wanted probability. Equal paragraphs form one class; different ones that share a band
-are held against each other by exact Jaccard similarity (common.bucket_links), and components of links and classes
-are the clusters. Neighbouring paragraphs of clusters that span two documents or more join up to
-passages, which count from `min_words` words.
-
-Sentence ends don't matter to verbatim runs: every run of RUN words that stands in another document is
-found exactly. Anchors are runs of ANCHOR words whose hash is the least of RUN - ANCHOR + 1 neighbours, so
-each run of RUN words holds one that depends on nothing else; around anchors that two documents share, all
-runs of RUN words are held against each other. They join the paragraphs' passages, to the exact word.
+A text's paragraphs are its sentences (cut at line ends and after sentence marks; sentences of under five
+words join each other). Of paragraphs of over LONG words, parts of PART words are paragraphs too: those
+whose hash is the least of PART neighbours, so that the cuts follow from the content alone. Every run of
+RUN words thus holds a whole paragraph, wherever it was cut out.
+
+1. Equal paragraphs of two documents form a cluster. Different ones are banded by MinHash over their 5-word
+   shingles, bands and rows tuned for recall at Jaccard similarity 0.8; those that share a band are held
+   against each other by exact similarity (common.bucket_links), and components of links are clusters.
+2. An exact check follows. Of the runs of RUN words around a clustered paragraph, the first and the last are
+   looked up among those of other documents; where neither stands in another one, all between them are.
+3. Runs found join up to passages, with them chains of neighbouring clustered paragraphs that one other
+   document shares (edited passages), RUN words at least.
 """
 
 from __future__ import annotations
@@ -23,16 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, bucket_links, connected_components, read, staged
+from .common import SMALL, bounded_batches, bucket_links, connected_components, read, small, staged
 from .words import FOLD, _power, mixed, spans
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
-#: A pasted passage may lose a part of its first and last sentence to the text around it.
-MIN_WORDS = 40
-#: Words of a run that is found verbatim wherever it stands, of its anchor, and of an edited part between runs.
-RUN, ANCHOR, BETWEEN = 50, 20, 20
-#: Contents looked up in one scan; more take further scans.
-SHARD = 1_000_000
+#: Words of a passage at least, of a paragraph that is cut once more, of such a part, of an edited part between
+#: two runs of one passage.
+RUN, LONG, PART, BETWEEN = 50, 22, 12, 20
+#: Words of the smallest paragraphs that can be similar without being equal: 4 of 5 shingles in common.
+LEAST = WORDS + 3
 
 
 def tuned(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = 1) -> int:
@@ -49,6 +48,13 @@ def hashed(text: str) -> tuple[np.ndarray, ...]:
     return raw, folded, starts, ends, mixed((sums[ends] - sums[starts]) * _power("down", len(folded))[starts])
 
 
+def _between(word: np.ndarray):
+    """A function that hashes the words from a to b, for arrays of places."""
+    n = len(word)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(word * _power("up", n)[:n], dtype=np.uint64)))
+    return lambda a, b: mixed((sums[b] - sums[a]) * _power("down", n)[np.minimum(a, n - 1)])
+
+
 def runs_of(word: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words, by place of the first."""
     n = len(word) - k + 1
@@ -68,164 +74,174 @@ def _sliding(of, x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def anchors(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors: runs of ANCHOR words with the least hash of some RUN - ANCHOR + 1
-    neighbours."""
-    run, width = runs_of(word, ANCHOR), RUN - ANCHOR + 1
-    if len(run) < width:
-        return np.zeros(0, np.int64), run[:0]
-    least = _sliding(np.minimum, run, width)
-    edge = np.zeros(width - 1, np.uint64)
-    at = np.flatnonzero(_sliding(np.maximum, np.concatenate((edge, least, edge)), width) == run)
-    return at, run[at]
-
-
-def paragraphs(text: str, k: int = WORDS, known: tuple[np.ndarray, ...] | None = None) -> dict[str, np.ndarray]:
-    """Per paragraph of at least k words: number, start and end (code points), at (its first word's place),
-    words, content (a hash of all words), first (its first shingle's place) and, once, shingles."""
-    raw, folded, starts, ends, word = known or hashed(text)
-    if len(starts) < k:
-        return {}
+def sentences(raw: np.ndarray, folded: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, words) of the sentences. A cut counts if a sentence beside it has WORDS words, so it
+    depends on its two neighbours only."""
     mark = (raw == 46) | (raw == 33) | (raw == 63)  # . ! ?
     cut = np.flatnonzero((raw == 10) | (np.concatenate(([False], mark[:-1])) & (folded == 32)))
-    of = _grouped(np.searchsorted(cut, starts), k)
-    n = len(word) - k + 1
-    run = np.zeros(n, np.uint64)
-    for j in range(k):
-        run = run * np.uint64(0x9E3779B97F4A7C15) + word[j : n + j]
-    whole = of[:n] == of[k - 1 :]
-    number, run = of[:n][whole], mixed(run[whole])
-    if not len(run):
-        return {}
-    first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
-    at = np.flatnonzero(whole)[first]  # the paragraph's first word
-    words = np.diff(np.concatenate((first, [len(run)]))) + k - 1
-    place = np.cumsum((raw & 0xC0) != 0x80) - 1
-    content = np.add.reduceat(mixed(run + np.arange(len(run), dtype=np.uint64) - np.repeat(first, words - k + 1).astype(np.uint64)), first)
-    return {"number": number[first], "start": place[starts[at]], "end": place[ends[at + words - 1] - 1] + 1, "at": at, "words": words, "content": mixed(content), "first": first, "shingles": run}
-
-
-def _grouped(sentence: np.ndarray, k: int) -> np.ndarray:
-    """Paragraph numbers of the words, given their sentences: short sentences join the next ones until
-    there are k words. What follows a paragraph's end doesn't depend on what came before it."""
-    first = np.flatnonzero(np.concatenate(([True], sentence[1:] != sentence[:-1])))
-    sizes = np.diff(np.append(first, len(sentence)))
-    number, held, of = 0, 0, []
-    for n in sizes.tolist():
-        of.append(number)
-        held += n
-        if held >= k:
-            number, held = number + 1, 0
-    return np.repeat(of, sizes)
-
-
-def scanned(docs: DataFrame, text: str = "text", bands: int = 2) -> DataFrame:
-    """(doc_id, number, start, end, at, words, content, band_0, ...) of all paragraphs of five words; rows of
-    number -1 tell in content the anchors of a text, each once."""
-    names = ["number", "start", "end", "at", "words", "content", *(f"band_{k}" for k in range(bands))]
+    of = np.searchsorted(cut, starts)
+    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    large = np.diff(np.append(first, len(starts))) >= WORDS
+    at = first[np.concatenate(([True], large[1:] | large[:-1]))]
+    return at, np.diff(np.append(at, len(starts)))
+
+
+def parts(word: np.ndarray, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the parts of PART words of the sentences of over LONG words: each is the least of
+    some PART neighbours within the sentence, the last one where several are equal."""
+    run = runs_of(word, PART)
+    if len(run) < PART or (words <= LONG).all():
+        return np.zeros(0, np.int64), run[:0]
+    low = np.uint64(0xFFFFFF)
+    ranked = (run & ~low) | (low - (np.arange(len(run), dtype=np.uint64) & low))
+    least = _sliding(np.minimum, ranked, PART)
+    of = np.repeat(np.arange(len(at)), words)
+    least = np.where(of[: len(least)] == of[2 * PART - 2 :], least, 0)
+    edge = np.zeros(PART - 1, np.uint64)
+    found = np.flatnonzero(_sliding(np.maximum, np.concatenate((edge, least, edge)), PART) == ranked)
+    return found, run[found]
+
+
+def paragraphs(known: tuple[np.ndarray, ...]) -> dict[str, np.ndarray] | None:
+    """at, words and content (a hash of all words) of the paragraphs of a hashed text, sentences first, and
+    `sentences`, their number; None where there are none."""
+    raw, folded, starts, _, word = known
+    if len(starts) < WORDS:
+        return None
+    at, words = sentences(raw, folded, starts)
+    more, content = parts(word, at, words)
+    at, words = at[words >= WORDS], words[words >= WORDS]
+    own = mixed(_between(word)(at, at + words) + words.astype(np.uint64))
+    return {"at": np.concatenate((at, more)), "words": np.concatenate((words, np.full(len(more), PART))), "content": np.concatenate((own, mixed(content + np.uint64(PART)))), "sentences": len(at)}
+
+
+def shingles_of(word: np.ndarray, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of all paragraphs, place of each one's first)."""
+    many = words - WORDS + 1
+    first = np.cumsum(many) - many
+    return runs_of(word, WORDS)[np.repeat(at - first, many) + np.arange(many.sum())], first
+
+
+def scanned(docs: DataFrame, text: str = "text", bands: int = 5) -> DataFrame:
+    """(doc_id, at, words, content, since, until, left, right, sketches) of all paragraphs. left and right are
+    hashes of the first and the last run of RUN words around it, since and until their places, null in shorter
+    texts and for longer paragraphs. sketches is null for those that can be similar to none but equal ones."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, cols = [], {c: [] for c in names}
+            owner, cols, sketch, has = [], {c: [] for c in ("at", "words", "content", "since", "until", "left", "right")}, [], []
             for k, t in enumerate(batch["text"]):
                 known = hashed(t.as_py() or "")
-                p = paragraphs("", known=known)
-                mark = np.unique(anchors(known[4])[1])
-                if len(mark):
-                    owner.append(np.full(len(mark), k))
-                    for c in names:
-                        cols[c].append(mark.view(np.int64) if c == "content" else np.full(len(mark), -1 if c == "number" else 0, np.int64 if c.startswith("band") else np.int32))
-                if not p:
+                p = paragraphs(known)
+                if p is None or not len(p["at"]):
                     continue
-                owner.append(np.full(len(p["number"]), k))
-                for c in ("number", "start", "end", "at", "words"):
-                    cols[c].append(p[c].astype(np.int32))
-                cols["content"].append(p["content"].view(np.int64))
-                for b in range(bands):
-                    least = np.minimum.reduceat(mixed(p["shingles"] ^ mixed(np.array([b + 1], np.uint64))), p["first"])
-                    cols[f"band_{b}"].append(mixed(least + np.uint64(b)).view(np.int64))
+                word, at, words = known[4], p["at"], p["words"]
+                run = runs_of(word, RUN)
+                since, until = np.maximum(0, at + words - RUN), np.minimum(at, len(word) - RUN)
+                held = (words <= RUN) & (len(run) > 0)
+                around = lambda place: run[np.where(held, place, 0)].view(np.int64) if len(run) else np.zeros(len(at), np.int64)  # noqa: B023, E731
+                owner.append(np.full(len(at), k))
+                for c, x in (("at", at), ("words", words), ("since", np.where(held, since, -1)), ("until", np.where(held, until, -1))):
+                    cols[c].append(x.astype(np.int32))
+                for c, x in (("content", p["content"].view(np.int64)), ("left", around(since)), ("right", around(until))):
+                    cols[c].append(x)
+                banded = np.flatnonzero(words[: p["sentences"]] >= LEAST)
+                has.append(np.isin(np.arange(len(at)), banded))
+                if len(banded):
+                    shingle, first = shingles_of(word, at[banded], words[banded])
+                    least = [np.minimum.reduceat(mixed(shingle ^ mixed(np.array([b + 1], np.uint64))), first) for b in range(bands)]
+                    sketch.append(np.stack([mixed(x + np.uint64(b)) for b, x in enumerate(least)], 1).view(np.int64))
             if owner:
-                arrays = [batch["doc_id"].take(pa.array(np.concatenate(owner)))] + [pa.array(np.concatenate(cols[c])) for c in names]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *names])
+                cols = {c: np.concatenate(x) for c, x in cols.items()}
+                lost = cols["since"] < 0
+                has_ = np.concatenate(has)
+                sizes = np.where(has_, bands, 0)
+                flat = pa.array(np.concatenate(sketch).ravel() if sketch else np.zeros(0, np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat, mask=pa.array(~has_))
+                arrays = [pa.array(cols[c], mask=lost if c in ("since", "until", "left", "right") else None) for c in cols]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(np.concatenate(owner))), *arrays, lists], ["doc_id", *cols, "sketches"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, number int, start int, end int, at int, words int, content long, " + ", ".join(f"band_{k} long" for k in range(bands))
-    return docs.select("doc_id", F.col(text).alias("text")).where("doc_id is not null and text is not null").mapInArrow(scan, schema)
+    return docs.select("doc_id", F.col(text).alias("text")).where("doc_id is not null and text is not null").mapInArrow(
+        scan, f"doc_id {kind}, at int, words int, content long, since int, until int, left long, right long, sketches array<long>"
+    )
 
 
-def _contents(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """(rep, runs): the sorted shingles of the wanted contents (rep, low), from scans of one text of each
-    (that of the id low), a scan for SHARD contents. The ids filter the texts by broadcast up to SHARD
-    of them; beyond that the join shuffles."""
-    spark = docs.sparkSession
-    owners = staged(wanted.select(F.col("low").alias("doc_id")).distinct(), "owners")
-    docs = docs.join(F.broadcast(owners) if owners.count() <= SHARD else owners, "doc_id", "left_semi")
-    shards = -(-wanted.count() // SHARD) or 1
-    out = None
-    for k in range(shards):
-        own = wanted.where(F.pmod(F.xxhash64("rep"), F.lit(shards)) == k) if shards > 1 else wanted
-        shared = spark.sparkContext.broadcast(np.sort(own.toPandas()["rep"].to_numpy(np.int64)))
-
-        def look_up(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            keys = shared.value
-            for batch in batches:
-                contents, shingles = [], []
-                for t in batch["text"]:
-                    p = paragraphs(t.as_py() or "")
-                    if not p or not len(keys):
-                        continue
-                    content = p["content"].view(np.int64)
-                    hit = keys[np.minimum(np.searchsorted(keys, content), len(keys) - 1)] == content
-                    bounds = np.append(p["first"], len(p["shingles"]))
-                    for i in np.flatnonzero(hit):
-                        contents.append(content[i])
-                        shingles.append(np.unique(p["shingles"][bounds[i] : bounds[i + 1]]).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(contents, pa.int64()), pa.array(shingles, pa.binary())], ["rep", "runs"])
-
-        found = docs.select(F.col(text).alias("text")).where("text is not null").mapInArrow(look_up, "rep long, runs binary")
-        found = found.groupBy("rep").agg(F.first("runs").alias("runs"))
-        out = found if out is None else out.union(found)
-    return out
-
-
-def exact_runs(docs: DataFrame, marks: DataFrame, text: str) -> DataFrame:
-    """(doc_id, at, start, end, content, low): all runs of RUN words that stand in another document too, by
-    the place of their first word; low is the smallest document of theirs. marks: (doc_id, content), each
-    text's anchors. Texts that share no anchor with another aren't read."""
-    shared = marks.groupBy("content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("content")
-    marks = staged(marks.join(shared, "content", "left_semi").groupBy("doc_id").agg(F.collect_set("content").alias("marks")), "marks")
+def _marked(docs: DataFrame, marks: DataFrame, text: str) -> DataFrame:
+    """(doc_id, text, marks) of the texts with marks (doc_id, mark): the others aren't read on."""
+    ends = staged(marks.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "marks")
+    total = ends.agg(F.sum(F.size("marks") + 4)).first()[0] or 0
     docs = docs.select("doc_id", F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    ids = marks.select("doc_id")
-    if marks.count() <= SHARD:
-        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    return docs.join(F.broadcast(ends) if total <= 2 * SMALL else ends, "doc_id")
+
+
+def _contents(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
+    """(rep, runs): the sorted shingles of the wanted contents (rep, low), each from a text that holds it, low."""
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            contents, shingles = [], []
+            for t, own in zip(batch["text"], batch["marks"], strict=True):
+                known = hashed(t.as_py())
+                p = paragraphs(known)
+                hit = np.flatnonzero(np.isin(p["content"].view(np.int64), own.values.to_numpy())) if p else []
+                if len(hit):
+                    shingle, first = shingles_of(known[4], p["at"][hit], p["words"][hit])
+                    bounds = np.append(first, len(shingle))
+                    contents += p["content"].view(np.int64)[hit].tolist()
+                    shingles += [np.unique(shingle[a:b]).tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(contents, pa.int64()), pa.array(shingles, pa.binary())], ["rep", "runs"])
+
+    found = _marked(docs, wanted.select(F.col("low").alias("doc_id"), F.col("rep").alias("mark")), text).select("text", "marks").mapInArrow(look_up, "rep long, runs binary")
+    return found.groupBy("rep").agg(F.first("runs").alias("runs"))
+
+
+def _windows(docs: DataFrame, ranges: DataFrame, text: str) -> DataFrame:
+    """(doc_id, at, run): hashes of the runs of RUN words from since to until of ranges (doc_id, since, until)."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["at", "start", "end", "content"]
         for batch in batches:
-            owner, cols = [], {c: [] for c in names}
+            owner, ats, runs = [], [], []
             for k, (t, own) in enumerate(zip(batch["text"], batch["marks"], strict=True)):
-                raw, _, starts, ends, word = hashed(t.as_py())
-                run = runs_of(word, RUN)
-                at, found = anchors(word)
-                at = at[np.isin(found.view(np.int64), own.values.to_numpy())]
-                if not len(at):
-                    continue
-                # the runs that hold an anchor
-                open_ = np.bincount(np.maximum(at - (RUN - ANCHOR), 0), minlength=len(run) + RUN) - np.bincount(at + 1, minlength=len(run) + RUN)
-                at = np.flatnonzero(np.cumsum(open_)[: len(run)] > 0)
-                place = np.cumsum((raw & 0xC0) != 0x80) - 1
+                run = runs_of(hashed(t.as_py())[4], RUN)
+                mark = own.values.to_numpy()
+                opened = np.bincount(mark >> 32, minlength=len(run) + 1) - np.bincount((mark & 0xFFFFFFFF) + 1, minlength=len(run) + 1)
+                at = np.flatnonzero(np.cumsum(opened)[: len(run)] > 0)
+                owner.append(np.full(len(at), k))
+                ats.append(at.astype(np.int32))
+                runs.append(run[at].view(np.int64))
+            if owner:
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(ats)), pa.array(np.concatenate(runs))], ["doc_id", "at", "run"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    mark = F.shiftleft(F.col("since").cast("long"), 32) + F.col("until")
+    return _marked(docs, ranges.select("doc_id", mark.alias("mark")), text).mapInArrow(look, f"doc_id {kind}, at int, run long")
+
+
+def _placed(docs: DataFrame, passages: DataFrame, text: str) -> DataFrame:
+    """passages (doc_id, at, to, ...) with start and end, the code points of their words."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, cols = [], {c: [] for c in ("at", "to", "start", "end")}
+            for k, (t, own) in enumerate(zip(batch["text"], batch["marks"], strict=True)):
+                raw = np.frombuffer(t.as_py().encode("utf-8", "replace"), np.uint8)
+                starts, ends = spans(np.frombuffer(raw.tobytes().translate(FOLD), np.uint8))
+                points = np.cumsum((raw & 0xC0) != 0x80)
+                mark = own.values.to_numpy()
+                at, to = mark >> 32, mark & 0xFFFFFFFF
+                fits = to <= len(starts)  # a repeated id may have a shorter text too
+                at, to = at[fits], to[fits]
                 owner.append(np.full(len(at), k))
-                cols["at"].append(at.astype(np.int32))
-                cols["start"].append(place[starts[at]].astype(np.int32))
-                cols["end"].append((place[ends[at + RUN - 1] - 1] + 1).astype(np.int32))
-                cols["content"].append(run[at].view(np.int64))
+                for c, x in (("at", at), ("to", to), ("start", points[starts[at]] - 1), ("end", points[ends[to - 1] - 1])):
+                    cols[c].append(x.astype(np.int32))
             if owner:
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(np.concatenate(owner))), *(pa.array(np.concatenate(cols[c])) for c in names)], ["doc_id", *names])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(np.concatenate(owner))), *(pa.array(np.concatenate(x)) for x in cols.values())], ["doc_id", *cols])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    runs = staged(docs.join(marks, "doc_id").mapInArrow(look, f"doc_id {kind}, at int, start int, end int, content long"), "verbatim")
-    both = runs.groupBy("content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("content", "low")
-    return runs.join(both, "content").select("doc_id", "at", "start", "end", "content", "low")
+    mark = F.shiftleft(F.col("at").cast("long"), 32) + F.col("to")
+    where = _marked(docs, passages.select("doc_id", mark.alias("mark")), text).mapInArrow(place, f"doc_id {kind}, at int, to int, start int, end int")
+    return passages.join(where.dropDuplicates(["doc_id", "at", "to"]), ["doc_id", "at", "to"])
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -234,50 +250,89 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return common / (len(x) + len(y) - common)
 
 
-def repeated_passages(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, least: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+def clusters_of(docs: DataFrame, units: DataFrame, text: str, least: float) -> DataFrame:
+    """(content, cluster_id, low, high): the contents that stand in two documents or more, or are similar to
+    one of another document; low and high are the cluster's smallest and largest documents."""
+    contents = units.groupBy("content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    banded = units.where("sketches is not null")
+    bucket = F.explode("sketches").alias("bucket")
+    shared = banded.select("content", bucket).groupBy("bucket").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("bucket")
+    shared = staged(shared, "shared")
+    met = banded.select("content", "sketches", "doc_id", bucket).join(small(shared), "bucket", "left_semi")
+    met = staged(met.groupBy("content").agg(F.first("sketches").alias("sketches"), F.min("doc_id").alias("low")), "met")
+    reps = met.select(F.col("content").alias("rep"), "sketches")
+    wanted = met.select(F.col("content").alias("rep"), "low")
+    links = bucket_links(reps, lambda ids: _contents(docs, wanted.join(ids, "rep", "left_semi"), text), lambda x, y: jaccard(x, y) >= least, agree=1)
+    linked = staged(connected_components(links).withColumnRenamed("node", "content"), "linked")
+    alone = contents.where("low <> high").join(small(linked.select("content")), "content", "left_anti").select("content", F.col("content").alias("cluster_id"), "low", "high")
+    inside = contents.join(small(linked), "content")
+    ends = inside.groupBy("component").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+    return staged(alone.union(inside.select("content", "component").join(ends, "component").select("content", F.col("component").alias("cluster_id"), "low", "high")), "clusters")
+
+
+def verbatim(docs: DataFrame, hits: DataFrame, text: str) -> DataFrame:
+    """(doc_id, at, to, cluster_id, low) of runs of RUN words that another document has too, around hits, the
+    clustered paragraphs. A paragraph without such a run at its first and last place is looked at in all."""
+    near = hits.where("since is not null")
+    ends = near.select("doc_id", F.explode(F.array("left", "right")).alias("run"))
+    both = staged(ends.groupBy("run").agg(F.min("doc_id").alias("of"), F.max("doc_id").alias("high")).where("of <> high").select("run", "of"), "ends")
+    ends = small(both)
+    known = near.join(ends.select(F.col("run").alias("left"), F.col("of").alias("of_left")), "left", "left").join(ends.select(F.col("run").alias("right"), F.col("of").alias("of_right")), "right", "left")
+    known = staged(known.select("doc_id", "content", "cluster_id", "since", "until", "of_left", "of_right"), "known")
+    first = known.where("of_left is not null").select("doc_id", F.col("since").alias("at"), "cluster_id", F.col("of_left").alias("low"))
+    last = known.where("of_right is not null").select("doc_id", F.col("until").alias("at"), "cluster_id", F.col("of_right").alias("low"))
+    open_ = staged(known.where("of_left is null and of_right is null").select("content").distinct(), "open")
+    inner = staged(_windows(docs, known.join(small(open_), "content", "left_semi"), text), "windows")
+    shared = inner.groupBy("run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("run", "low")
+    inner = inner.join(shared, "run").select("doc_id", "at", F.col("run").alias("cluster_id"), "low")
+    return first.union(last).union(inner).select("doc_id", "at", (F.col("at") + RUN).alias("to"), "cluster_id", "low")
+
+
+def _chains(hits: DataFrame, keys: list[str], between: int) -> DataFrame:
+    """hits with passage, the number of a chain among those of equal keys: each hit begins at most `between`
+    words after all before it end; and seen, the end of those before."""
+    order = Window.partitionBy(*keys).orderBy("at", "to", "cluster_id")
+    seen = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    hits = hits.withColumn("seen", seen)
+    return hits.withColumn("passage", F.sum((~F.coalesce(F.col("at") <= F.col("seen") + between, F.lit(False))).cast("int")).over(order))
+
+
+_fresh = lambda since: F.greatest(F.lit(0), F.col("to") - F.greatest("at", since))
+
+
+def repeated_passages(docs: DataFrame, text: str = "text", min_words: int = RUN, least: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """doc_id, start, end (code points, end exclusive), n_words, removed_words, cluster_id, kept: one row
-    per passage that repeats in another document. Of each cluster of paragraphs, and of each verbatim run,
+    per passage of min_words words or more that repeats in another document. Of each cluster, and of each run,
     the smallest doc_id keeps its own; removed_words counts those of others, and kept says that there are
-    none. cluster_id is the cluster of the passage's first paragraph, or its least verbatim run.
+    none. cluster_id is the cluster of the passage's first paragraph, or a verbatim run's hash.
 
-    Null and empty texts, rows without id and paragraphs of under five words have no part in it;
-    repeated rows of one id count as one document; an empty table gives no rows.
+    Verbatim repeats of min_words words (RUN at least) are all found. Their edges lie at most a paragraph
+    within the repeat. Null and empty texts, rows without id and paragraphs of under five words have no
+    part in it; repeated rows of one id count as one document; an empty table gives no rows; other columns
+    are ignored. A text of any length is one row of a batch: its words' hashes take some 60 bytes each.
     """
     bounded_batches(docs.sparkSession)
-    bands = tuned(least, recall)
-    found = staged(scanned(docs, text, bands), "paragraphs")
-    units, marks = found.where("number >= 0"), found.where("number < 0").select("doc_id", "content")
-    contents = units.groupBy("content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *(F.first(f"band_{b}").alias(f"band_{b}") for b in range(bands)))
-    contents = staged(contents, "distinct")
-    reps = contents.select(F.col("content").alias("rep"), F.array(*(f"band_{b}" for b in range(bands))).alias("sketches"))
-    links = bucket_links(reps, lambda ids: _contents(docs, staged(contents.select(F.col("content").alias("rep"), "low").join(ids, "rep", "left_semi"), "wanted"), text), lambda x, y: jaccard(x, y) >= least, agree=1)
-    members = contents.select("content", "low", "high")
-    linked = connected_components(links).withColumnRenamed("node", "content")
-    clusters = members.join(linked, "content", "left").withColumn("cluster_id", F.coalesce("component", "content"))
-    linked = clusters.where("component is not null").groupBy("cluster_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    alone = clusters.where("component is null and low <> high").select("content", "cluster_id", "low", "high")
-    clusters = alone.union(clusters.where("component is not null").select("content", "cluster_id").join(linked, "cluster_id").select("content", "cluster_id", "low", "high"))
-    repeated = clusters.where("low <> high").select("content", "cluster_id", "low")
-    hits = units.select("doc_id", "number", "at", (F.col("at") + F.col("words")).alias("to"), "start", "end", "content").join(repeated, "content")
-    runs = exact_runs(docs, marks, text).select("doc_id", F.lit(None).cast("int").alias("number"), "at", (F.col("at") + RUN).alias("to"), "start", "end", "content", F.lit(None).cast("long").alias("cluster_id"), "low")
-    hits = hits.select(runs.columns).union(runs).repartition("doc_id").dropDuplicates(["doc_id", "number", "at", "content"])
-    order = Window.partitionBy("doc_id").orderBy("at", "to", F.col("number").isNull(), "content")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    docs = docs.select("doc_id", F.col(text).alias("text"))
+    units = staged(scanned(docs, "text", tuned(least, recall)), "paragraphs")
+    clusters = clusters_of(docs, units, "text", least)
+    hits = staged(units.drop("sketches").join(small(clusters), "content"), "hits")
+    runs = verbatim(docs, hits, "text")
+    # edited passages: neighbouring paragraphs that the same other document shares
+    other = F.when(F.col("low") < F.col("doc_id"), F.col("low")).otherwise(F.col("high"))
+    beside = hits.where("low <> high").select("doc_id", other.alias("other"), "at", (F.col("at") + F.col("words")).alias("to"), "cluster_id", "low")
+    chains = _chains(beside, ["doc_id", "other"], BETWEEN).groupBy("doc_id", "other", "passage")
+    chains = chains.agg(F.min("at").alias("at"), F.max("to").alias("to"), F.sum(_fresh("seen")).alias("n"), F.min_by("cluster_id", "at").alias("cluster_id"), F.min("low").alias("low"))
+    chains = chains.where(F.col("n") >= RUN).select("doc_id", "at", "to", "cluster_id", "low")
+    found = _chains(runs.select("doc_id", "at", "to", "cluster_id", "low").union(chains).distinct(), ["doc_id"], BETWEEN)
     lost = F.col("low") < F.col("doc_id")
-    hits = hits.withColumns({"last": F.max("number").over(before), "seen": F.max("to").over(before), "gone": F.max(F.when(lost, F.col("to"))).over(before)})
-    # an edited part may stand between: of paragraphs one, of verbatim runs BETWEEN words
-    near = F.when(F.col("number").isNull(), F.col("at") <= F.col("seen") + BETWEEN).otherwise((F.col("at") <= F.col("seen")) | F.coalesce(F.col("number") - F.col("last") <= 2, F.lit(False)))
-    hits = hits.withColumn("passage", F.sum((~F.coalesce(near, F.lit(False))).cast("int")).over(order))
-    fresh = lambda since: F.greatest(F.lit(0), F.col("to") - F.greatest("at", since))
-    return (
-        hits.groupBy("doc_id", "passage")
-        .agg(
-            F.min("start").alias("start"), F.max("end").alias("end"), F.sum(fresh("seen")).alias("n_words"), F.sum(F.when(lost, fresh("gone")).otherwise(0)).alias("removed_words"),
-            F.coalesce(F.min_by("cluster_id", F.when(F.col("number").isNotNull(), F.col("at"))), F.min("content")).alias("cluster_id"),
-        )
-        .where(F.col("n_words") >= min_words)
-        .select("doc_id", "start", "end", "n_words", "removed_words", "cluster_id", (F.col("removed_words") == 0).alias("kept"))
+    before = Window.partitionBy("doc_id").orderBy("at", "to", "cluster_id").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("gone", F.max(F.when(lost, F.col("to"))).over(before))
+    passages = found.groupBy("doc_id", "passage").agg(
+        F.min("at").alias("at"), F.max("to").alias("to"), F.sum(_fresh("seen")).alias("n_words"),
+        F.sum(F.when(lost, _fresh("gone")).otherwise(0)).alias("removed_words"), F.min_by("cluster_id", F.struct("at", "cluster_id")).alias("cluster_id"),
     )
+    passages = staged(passages.where(F.col("n_words") >= min_words), "passages")
+    return _placed(docs, passages, "text").select("doc_id", "start", "end", "n_words", "removed_words", "cluster_id", (F.col("removed_words") == 0).alias("kept"))
 
 
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
