@@ -93,16 +93,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 LEADERS, BLOCK, BLOCK_BYTES = 8, 128, 2 << 20
 
 
-def bucket_links(reps: DataFrame, runs_of, alike, agree: int) -> DataFrame:
+def bucket_links(reps: DataFrame, runs_of, alike, agree: int, opened=lambda x: x) -> DataFrame:
     """Verified links (a, b) among texts that share a sketch, enough of them to connect whatever is
     connected; a bucket of any size neither meets in one task nor makes all its pairs.
 
     reps: (rep, sketches), one row a text; sketches is an array of longs of which equal numbers at one
     place make a bucket. runs_of(ids (rep)) -> (rep, runs binary) of those texts. alike(x, y) decides on
-    two runs. agree: equal sketches that two similar texts have all but surely.
+    two runs, each as `opened` makes it of an array of uint64. agree: equal sketches that two similar texts have all but surely.
 
     1. Each member is held against up to LEADERS members of its bucket.
-    2. Of buckets whose members aren't all connected by that, the members outside the bucket's first
+    2. Of buckets that have more members than leaders and aren't all connected by that, the members outside the bucket's first
        component are held against all others, in pairs of blocks; only what links two components that
        the block has not yet joined comes out.
     """
@@ -124,17 +124,17 @@ def bucket_links(reps: DataFrame, runs_of, alike, agree: int) -> DataFrame:
     def holds(x, y):
         import pandas as pd
 
-        return pd.Series([alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)], dtype=bool)
+        return pd.Series([alike(opened(np.frombuffer(p, np.uint64)), opened(np.frombuffer(q, np.uint64))) for p, q in zip(x, y, strict=True)], dtype=bool)
 
     both = pairs.join(runs.select(F.col("rep").alias("a"), F.col("runs").alias("of_a")), "a").join(runs.select(F.col("rep").alias("b"), F.col("runs").alias("of_b")), "b")
     links = staged(both.where(holds("of_a", "of_b")).select("a", "b"), "links")
 
     # what is still apart within a bucket
     known = staged(connected_components(links), "components")
-    placed = shared.select("band", "bucket", "n", "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = shared.where(F.col("n") > F.size("leaders")).select("band", "bucket", "n", "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
     split = placed.groupBy("band", "bucket").agg(F.min("component").alias("first"), F.max("component").alias("last"))
-    apart = placed.where(F.col("n") > 2).join(split.where("first <> last"), ["band", "bucket"])
+    apart = placed.join(split.where("first <> last"), ["band", "bucket"])
     apart = apart.join(reps, "rep").join(runs, "rep")
     apart = staged(apart, "apart")
     weight = apart.groupBy("band", "bucket").agg(F.sum(F.octet_length("runs")).alias("bytes"))
@@ -155,7 +155,7 @@ def bucket_links(reps: DataFrame, runs_of, alike, agree: int) -> DataFrame:
         data = rows.field("runs")
         sketch = rows.field("sketches")
         return (rows.field("rep"), rows.field("component").to_pylist(), rows.field("outer").to_pylist(),
-                sketch.flatten().to_numpy().reshape(len(rows), -1), [np.frombuffer(x.as_buffer(), np.uint64) for x in data])
+                sketch.flatten().to_numpy().reshape(len(rows), -1), [opened(np.frombuffer(x.as_buffer(), np.uint64)) for x in data])
 
     def compare(batches):
         for batch in batches:

@@ -39,13 +39,35 @@ def tuned(similarity: float = SIMILARITY, recall: float = RECALL, rows: int = 1)
     return int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
 
 
-def hashed(text: str) -> tuple[np.ndarray, ...]:
-    """(bytes, folded bytes, starts, ends and hashes of the words) of a text."""
-    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+def hashed(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """(bytes, folded bytes, starts, ends and hashes of the words, number of the first word of each text and of
+    all words) of texts, one after the other."""
+    data = [t.encode("utf-8", "replace") for t in texts]
+    raw = np.frombuffer(b"\n".join(data), np.uint8)
     folded = np.frombuffer(raw.tobytes().translate(FOLD), np.uint8)
     starts, ends = spans(folded)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * _power("up", len(folded))[: len(folded)], dtype=np.uint64)))
-    return raw, folded, starts, ends, mixed((sums[ends] - sums[starts]) * _power("down", len(folded))[starts])
+    sums = np.zeros(len(folded) + 1, np.uint64)
+    np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * _power("up", len(folded))[: len(folded)], dtype=np.uint64, out=sums[1:])
+    word = mixed((sums[ends] - sums[starts]) * _power("down", len(folded))[starts])
+    return raw, folded, starts, ends, word, np.searchsorted(starts, np.cumsum([0, *(len(d) + 1 for d in data)]))
+
+
+#: Bytes of texts that are hashed at once; a longer text goes alone.
+AT_ONCE = 1 << 18
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """(number of the first row, `hashed` of the texts) for groups of neighbouring rows."""
+    held, size, since = [], 0, 0
+    for k, t in enumerate(batch["text"]):
+        t = t.as_py() or ""
+        if held and size + len(t) > AT_ONCE:
+            yield since, hashed(held)
+            held, size, since = [], 0, k
+        held.append(t)
+        size += len(t)
+    if held:
+        yield since, hashed(held)
 
 
 def _between(word: np.ndarray):
@@ -74,15 +96,20 @@ def _sliding(of, x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def sentences(raw: np.ndarray, folded: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first words, words) of the sentences. A cut counts if a sentence beside it has WORDS words, so it
-    depends on its two neighbours only."""
+def sentences(raw: np.ndarray, folded: np.ndarray, starts: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first words, words) of the sentences of texts that begin at those words. A cut counts if a sentence
+    beside it has WORDS words, so it depends on its two neighbours only."""
     mark = (raw == 46) | (raw == 33) | (raw == 63)  # . ! ?
-    cut = np.flatnonzero((raw == 10) | (np.concatenate(([False], mark[:-1])) & (folded == 32)))
-    of = np.searchsorted(cut, starts)
+    cut = raw == 10
+    cut[1:] |= mark[:-1] & (folded[1:] == 32)
+    of = np.searchsorted(np.flatnonzero(cut), starts)
+    new = np.zeros(len(starts) + 1, bool)
+    new[begin] = True
     first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
     large = np.diff(np.append(first, len(starts))) >= WORDS
-    at = first[np.concatenate(([True], large[1:] | large[:-1]))]
+    kept = new[first]
+    kept[1:] |= large[1:] | large[:-1]
+    at = first[kept]
     return at, np.diff(np.append(at, len(starts)))
 
 
@@ -103,12 +130,12 @@ def parts(word: np.ndarray, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarr
 
 
 def paragraphs(known: tuple[np.ndarray, ...]) -> dict[str, np.ndarray] | None:
-    """at, words and content (a hash of all words) of the paragraphs of a hashed text, sentences first, and
+    """at, words and content (a hash of all words) of the paragraphs of hashed texts, sentences first, and
     `sentences`, their number; None where there are none."""
-    raw, folded, starts, _, word = known
+    raw, folded, starts, _, word, begin = known
     if len(starts) < WORDS:
         return None
-    at, words = sentences(raw, folded, starts)
+    at, words = sentences(raw, folded, starts, begin)
     more, content = parts(word, at, words)
     at, words = at[words >= WORDS], words[words >= WORDS]
     own = mixed(_between(word)(at, at + words) + words.astype(np.uint64))
@@ -127,39 +154,36 @@ def scanned(docs: DataFrame, text: str = "text", bands: int = 5) -> DataFrame:
     hashes of the first and the last run of RUN words around it, since and until their places, null in shorter
     texts and for longer paragraphs. sketches is null for those that can be similar to none but equal ones."""
 
+    marks = mixed(np.arange(1, bands + 1, dtype=np.uint64))
+
+    def sketched(word: np.ndarray, at: np.ndarray, words: np.ndarray) -> np.ndarray:
+        shingle, first = shingles_of(word, at, words)
+        order = (shingle ^ marks[:, None]) * np.uint64(0x9E3779B97F4A7C15)
+        order ^= order >> np.uint64(32)
+        return mixed(np.minimum.reduceat(order, first, axis=1) + marks[:, None]).T.ravel().view(np.int64)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, cols, sketch, has = [], {c: [] for c in ("at", "words", "content", "since", "until", "left", "right")}, [], []
-            for k, t in enumerate(batch["text"]):
-                known = hashed(t.as_py() or "")
+            for row, known in _groups(batch):
                 p = paragraphs(known)
                 if p is None or not len(p["at"]):
                     continue
-                word, at, words = known[4], p["at"], p["words"]
+                word, begin, at, words = known[4], known[5], p["at"], p["words"]
+                of = np.searchsorted(begin, at, "right") - 1
                 run = runs_of(word, RUN)
-                since, until = np.maximum(0, at + words - RUN), np.minimum(at, len(word) - RUN)
-                held = (words <= RUN) & (len(run) > 0)
-                around = lambda place: run[np.where(held, place, 0)].view(np.int64) if len(run) else np.zeros(len(at), np.int64)  # noqa: B023, E731
-                owner.append(np.full(len(at), k))
-                for c, x in (("at", at), ("words", words), ("since", np.where(held, since, -1)), ("until", np.where(held, until, -1))):
-                    cols[c].append(x.astype(np.int32))
-                for c, x in (("content", p["content"].view(np.int64)), ("left", around(since)), ("right", around(until))):
-                    cols[c].append(x)
+                since, until = np.maximum(begin[of], at + words - RUN), np.minimum(at, begin[of + 1] - RUN)
+                lost = (words > RUN) | (begin[of + 1] - begin[of] < RUN)
+                around = lambda place: pa.array(run[np.where(lost, 0, place)].view(np.int64) if len(run) else np.zeros(len(at), np.int64), mask=lost)  # noqa: B023, E731
                 banded = np.flatnonzero(words[: p["sentences"]] >= LEAST)
-                has.append(np.isin(np.arange(len(at)), banded))
-                if len(banded):
-                    shingle, first = shingles_of(word, at[banded], words[banded])
-                    least = [np.minimum.reduceat(mixed(shingle ^ mixed(np.array([b + 1], np.uint64))), first) for b in range(bands)]
-                    sketch.append(np.stack([mixed(x + np.uint64(b)) for b, x in enumerate(least)], 1).view(np.int64))
-            if owner:
-                cols = {c: np.concatenate(x) for c, x in cols.items()}
-                lost = cols["since"] < 0
-                has_ = np.concatenate(has)
-                sizes = np.where(has_, bands, 0)
-                flat = pa.array(np.concatenate(sketch).ravel() if sketch else np.zeros(0, np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), flat, mask=pa.array(~has_))
-                arrays = [pa.array(cols[c], mask=lost if c in ("since", "until", "left", "right") else None) for c in cols]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(np.concatenate(owner))), *arrays, lists], ["doc_id", *cols, "sketches"])
+                has = np.zeros(len(at), bool)
+                has[banded] = True
+                flat = pa.array(sketched(word, at[banded], words[banded]) if len(banded) else np.zeros(0, np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(has * bands))).astype(np.int32)), flat, mask=pa.array(~has))
+                number = lambda x, mask=None: pa.array(x.astype(np.int32), mask=mask)
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"].take(pa.array(row + of)), number(at - begin[of]), number(words), pa.array(p["content"].view(np.int64)), number(since - begin[of], lost), number(until - begin[of], lost), around(since), around(until), lists],
+                    ["doc_id", "at", "words", "content", "since", "until", "left", "right", "sketches"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col(text).alias("text")).where("doc_id is not null and text is not null").mapInArrow(
@@ -180,17 +204,16 @@ def _contents(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contents, shingles = [], []
-            for t, own in zip(batch["text"], batch["marks"], strict=True):
-                known = hashed(t.as_py())
+            for row, known in _groups(batch):
                 p = paragraphs(known)
-                hit = np.flatnonzero(np.isin(p["content"].view(np.int64), own.values.to_numpy())) if p else []
+                begin = known[5]
+                own = batch["marks"].slice(row, len(begin) - 1).flatten().to_numpy()
+                hit = np.flatnonzero(np.isin(p["content"].view(np.int64), own)) if p else np.zeros(0, np.int64)
+                hit = hit[np.unique(p["content"][hit], return_index=True)[1]] if len(hit) else hit
                 if len(hit):
                     shingle, first = shingles_of(known[4], p["at"][hit], p["words"][hit])
-                    bounds = np.append(first, len(shingle))
-                    contents += p["content"].view(np.int64)[hit].tolist()
-                    shingles += [np.unique(shingle[a:b]).tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(contents, pa.int64()), pa.array(shingles, pa.binary())], ["rep", "runs"])
+                    shingles = [np.unique(x).tobytes() for x in np.split(shingle, first[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(p["content"][hit].view(np.int64)), pa.array(shingles, pa.binary())], ["rep", "runs"])
 
     found = _marked(docs, wanted.select(F.col("low").alias("doc_id"), F.col("rep").alias("mark")), text).select("text", "marks").mapInArrow(look_up, "rep long, runs binary")
     return found.groupBy("rep").agg(F.first("runs").alias("runs"))
@@ -201,17 +224,17 @@ def _windows(docs: DataFrame, ranges: DataFrame, text: str) -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, ats, runs = [], [], []
-            for k, (t, own) in enumerate(zip(batch["text"], batch["marks"], strict=True)):
-                run = runs_of(hashed(t.as_py())[4], RUN)
-                mark = own.values.to_numpy()
-                opened = np.bincount(mark >> 32, minlength=len(run) + 1) - np.bincount((mark & 0xFFFFFFFF) + 1, minlength=len(run) + 1)
+            for row, known in _groups(batch):
+                run, begin = runs_of(known[4], RUN), known[5]
+                own = batch["marks"].slice(row, len(begin) - 1)
+                ahead = np.repeat(begin[:-1], own.value_lengths().to_numpy())
+                mark = own.flatten().to_numpy()
+                since, until = ahead + (mark >> 32), ahead + (mark & 0xFFFFFFFF)
+                fits = until + RUN <= np.repeat(begin[1:], own.value_lengths().to_numpy())  # a repeated id may have a shorter text too
+                opened = np.bincount(since[fits], minlength=len(run) + 1) - np.bincount(until[fits] + 1, minlength=len(run) + 1)
                 at = np.flatnonzero(np.cumsum(opened)[: len(run)] > 0)
-                owner.append(np.full(len(at), k))
-                ats.append(at.astype(np.int32))
-                runs.append(run[at].view(np.int64))
-            if owner:
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(ats)), pa.array(np.concatenate(runs))], ["doc_id", "at", "run"])
+                of = np.searchsorted(begin, at, "right") - 1
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(row + of)), pa.array((at - begin[of]).astype(np.int32)), pa.array(run[at].view(np.int64))], ["doc_id", "at", "run"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     mark = F.shiftleft(F.col("since").cast("long"), 32) + F.col("until")
@@ -244,9 +267,9 @@ def _placed(docs: DataFrame, passages: DataFrame, text: str) -> DataFrame:
     return passages.join(where.dropDuplicates(["doc_id", "at", "to"]), ["doc_id", "at", "to"])
 
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Of two sets of shingles, each sorted and without repeats."""
-    common = len(np.intersect1d(x, y, assume_unique=True))
+def jaccard(x: set, y: set) -> float:
+    """Of two sets of shingles."""
+    common = len(x & y)
     return common / (len(x) + len(y) - common)
 
 
@@ -262,7 +285,7 @@ def clusters_of(docs: DataFrame, units: DataFrame, text: str, least: float) -> D
     met = staged(met.groupBy("content").agg(F.first("sketches").alias("sketches"), F.min("doc_id").alias("low")), "met")
     reps = met.select(F.col("content").alias("rep"), "sketches")
     wanted = met.select(F.col("content").alias("rep"), "low")
-    links = bucket_links(reps, lambda ids: _contents(docs, wanted.join(ids, "rep", "left_semi"), text), lambda x, y: jaccard(x, y) >= least, agree=1)
+    links = bucket_links(reps, lambda ids: _contents(docs, wanted.join(ids, "rep", "left_semi"), text), lambda x, y: jaccard(x, y) >= least, agree=1, opened=lambda x: set(x.tolist()))
     linked = staged(connected_components(links).withColumnRenamed("node", "content"), "linked")
     alone = contents.where("low <> high").join(small(linked.select("content")), "content", "left_anti").select("content", F.col("content").alias("cluster_id"), "low", "high")
     inside = contents.join(small(linked), "content")
