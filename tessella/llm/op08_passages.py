@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SMALL, bounded_batches, bucket_links, connected_components, read, small, staged
+from .common import SMALL, bounded_batches, bucket_links, connected_components, forget, read, small, staged
 from .words import FOLD, _power, mixed, spans
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -293,22 +293,32 @@ def clusters_of(docs: DataFrame, units: DataFrame, text: str, least: float) -> D
     return staged(alone.union(inside.select("content", "component").join(ends, "component").select("content", F.col("component").alias("cluster_id"), "low", "high")), "clusters")
 
 
+def _ranges(runs: DataFrame) -> DataFrame:
+    """(doc_id, at, to, cluster_id, low) of what runs of RUN words (doc_id, at, cluster_id, low) cover: those of
+    RUN neighbouring places overlap, so they are one range."""
+    found = runs.groupBy("doc_id", "low", F.floor(F.col("at") / RUN).alias("block")).agg(F.min("at").alias("at"), (F.max("at") + RUN).alias("to"), F.min("cluster_id").alias("cluster_id"))
+    return found.select("doc_id", "at", "to", "cluster_id", "low")
+
+
 def verbatim(docs: DataFrame, hits: DataFrame, text: str) -> DataFrame:
-    """(doc_id, at, to, cluster_id, low) of runs of RUN words that another document has too, around hits, the
-    clustered paragraphs. A paragraph without such a run at its first and last place is looked at in all."""
+    """(doc_id, at, to, cluster_id, low) of ranges of words whose runs of RUN words another document has too,
+    around hits, the clustered paragraphs. A paragraph without such a run at its first and last place is looked
+    at in all of them."""
     near = hits.where("since is not null")
     ends = near.select("doc_id", F.explode(F.array("left", "right")).alias("run"))
     both = staged(ends.groupBy("run").agg(F.min("doc_id").alias("of"), F.max("doc_id").alias("high")).where("of <> high").select("run", "of"), "ends")
     ends = small(both)
     known = near.join(ends.select(F.col("run").alias("left"), F.col("of").alias("of_left")), "left", "left").join(ends.select(F.col("run").alias("right"), F.col("of").alias("of_right")), "right", "left")
-    known = staged(known.select("doc_id", "content", "cluster_id", "since", "until", "of_left", "of_right"), "known")
-    first = known.where("of_left is not null").select("doc_id", F.col("since").alias("at"), "cluster_id", F.col("of_left").alias("low"))
-    last = known.where("of_right is not null").select("doc_id", F.col("until").alias("at"), "cluster_id", F.col("of_right").alias("low"))
+    known = staged(known.select("doc_id", "content", "cluster_id", "since", "until", "of_left", "of_right").repartition("doc_id"), "known")
+    side = F.explode(F.array(F.struct(F.col("since").alias("at"), F.col("of_left").alias("low")), F.struct(F.col("until").alias("at"), F.col("of_right").alias("low")))).alias("side")
+    outer = _ranges(known.select("doc_id", "cluster_id", side).select("doc_id", "side.at", "cluster_id", "side.low").where("low is not null"))
     open_ = staged(known.where("of_left is null and of_right is null").select("content").distinct(), "open")
-    inner = staged(_windows(docs, known.join(small(open_), "content", "left_semi"), text), "windows")
-    shared = inner.groupBy("run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("run", "low")
-    inner = inner.join(shared, "run").select("doc_id", "at", F.col("run").alias("cluster_id"), "low")
-    return first.union(last).union(inner).select("doc_id", "at", (F.col("at") + RUN).alias("to"), "cluster_id", "low")
+    windows = staged(_windows(docs, known.join(small(open_), "content", "left_semi"), text), "windows")
+    shared = windows.groupBy("run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("run", "low")
+    inner = _ranges(windows.join(shared, "run").select("doc_id", "at", F.col("run").alias("cluster_id"), "low"))
+    out = staged(outer.union(inner), "verbatim")
+    forget(windows, known, both)
+    return out
 
 
 def _chains(hits: DataFrame, keys: list[str], between: int) -> DataFrame:
@@ -339,6 +349,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", min_words: int = RUN,
     units = staged(scanned(docs, "text", tuned(least, recall)), "paragraphs")
     clusters = clusters_of(docs, units, "text", least)
     hits = staged(units.drop("sketches").join(small(clusters), "content"), "hits")
+    forget(units)
     runs = verbatim(docs, hits, "text")
     # edited passages: neighbouring paragraphs that the same other document shares
     other = F.when(F.col("low") < F.col("doc_id"), F.col("low")).otherwise(F.col("high"))
