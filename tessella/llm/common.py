@@ -53,8 +53,8 @@ def forget(*tables: DataFrame) -> None:
             place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
-#: Rows that a broadcast may have at most (of a few numbers each: some 16 MB); more rows go by a shuffle.
-SMALL = 1_000_000
+#: Rows that a broadcast may have at most (of a few numbers each: some 10 MB); more rows go by a shuffle.
+SMALL = 200_000
 
 
 def small(df: DataFrame, most: int = SMALL) -> DataFrame:
@@ -71,9 +71,9 @@ def _with_least(both: DataFrame, ends: int) -> DataFrame:
     are joined by broadcast, so that no task gathers a hub's neighbours."""
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     many = max(HUB, ends // HUBS)
-    hubs = F.broadcast(least.where(F.col("n") >= many).select("u", "m"))
-    if ends < many:
+    if ends < many or least.agg(F.max("n")).first()[0] < many:
         return both.join(least.select("u", "m"), "u")
+    hubs = F.broadcast(least.where(F.col("n") >= many).select("u", "m"))
     others = both.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") < many).select("u", "m"), "u")
     return both.join(hubs, "u").union(others)
 

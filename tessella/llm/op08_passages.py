@@ -196,7 +196,7 @@ def _marked(docs: DataFrame, marks: DataFrame, text: str) -> DataFrame:
     ends = staged(marks.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "marks")
     total = ends.agg(F.sum(F.size("marks") + 4)).first()[0] or 0
     docs = docs.select("doc_id", F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    return docs.join(F.broadcast(ends) if total <= 2 * SMALL else ends, "doc_id")
+    return docs.join(F.broadcast(ends) if total <= 4 * SMALL else ends, "doc_id")
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
