@@ -2,8 +2,8 @@
 
 A word is a run of ASCII letters or digits (A-Z lower-cased) or of characters beyond ASCII. An item's
 windows are its runs of `window` words; an item of fewer words is one window. Texts are scanned once,
-as bytes in which every separator run is one blank, so a match's offset maps to word numbers and from
-there to the original text.
+as strings of word codes of one length, so a match's offset gives a word's number and maps from there to the original
+text.
 """
 
 from __future__ import annotations
@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, read
+from .common import bounded_batches, read, staged
 from .words import FOLD, spans
 
 WINDOW = 10
-#: Bytes of item text in one automaton; more items go to further automata, one after the other over
-#: the same rows.
-SHARD_BYTES = 16 << 20
+#: Words of the items of one automaton, which takes some 210 MB at most; more go to further automata, one
+#: staged pass over the rows each.
+SHARD_WORDS = 100_000
 
 
 def normalised(text: str | None) -> list[bytes]:
@@ -35,8 +35,16 @@ def item_windows(text: str | None, window: int) -> set[bytes]:
     return {b" ".join(words[k : k + window]) for k in range(max(1, len(words) - window + 1))} if words else set()
 
 
+def coded(number: int, width: int) -> str:
+    """A word's number as `width` characters, the first of them below 128 and the others from 128 on, so
+    that codes are met at the beginnings of words only."""
+    digits = [number >> 7 * k & 127 for k in range(width)]
+    return chr(digits[0]) + "".join(chr(128 + d) for d in digits[1:])
+
+
 def automaton(items: list[tuple[str | None, str]], window: int):
-    """The automaton of all windows, each with its items and number of words; None without windows."""
+    """(codes of the items' words, automaton of all windows, each with its words and items); None without
+    windows. Words that no item has share the code of number 0."""
     import ahocorasick
 
     found: dict[bytes, set] = {}
@@ -45,11 +53,15 @@ def automaton(items: list[tuple[str | None, str]], window: int):
             found.setdefault(w, set()).add(item_id)
     if not found:
         return None
+    words = sorted({x for w in found for x in w.split(b" ")})
+    width = 1 + max(1, -(-(len(words) + 1).bit_length() // 7) - 1)
+    code = {w: coded(k, width) for k, w in enumerate(words, 1)}
     out = ahocorasick.Automaton()
     for w, ids in found.items():
-        out.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, frozenset(ids)))
+        key = w.split(b" ")
+        out.add_word("".join([code[x] for x in key]), (len(key), frozenset(ids)))
     out.make_automaton()
-    return out
+    return code, out
 
 
 _built: dict = {}
@@ -67,14 +79,14 @@ def scan(text: str | None, machine) -> tuple[int, list[tuple[int, int]], set]:
     words = normalised(text)
     if not words or machine is None:
         return len(words), [], set()
-    line = b" " + b" ".join(words) + b" "
-    found = list(machine.iter(line.decode("latin-1")))
+    code, windows = machine
+    width = len(next(iter(code.values())))
+    known, other = code.get, coded(0, width)
+    found = list(windows.iter("".join([known(w, other) for w in words])))
     if not found:
         return len(words), [], set()
-    blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-    last = np.searchsorted(blanks, [end for end, _ in found])  # the blank after word k is blank k + 1
     ranges: list[tuple[int, int]] = []
-    for to, since in sorted((int(b), int(b) - n) for b, (_, (n, _)) in zip(last, found, strict=True)):
+    for to, since in sorted(((end + 1) // width, (end + 1) // width - n) for end, (n, _) in found):
         while ranges and ranges[-1][1] >= since:
             since = min(since, ranges.pop()[0])
         ranges.append((since, to))
@@ -95,14 +107,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
 
     Null and empty texts have no words and no hits, null or empty items no windows; an item without an id
     hits but isn't listed; repeated rows give repeated rows; columns of docs named as a new one give way; an empty benchmark hits nothing. The
-    benchmark goes to the executors in shards of at most SHARD_BYTES, each one pass over the rows in
-    the same stage, so neither the driver nor a task holds more than one automaton.
+    benchmark goes to the executors in shards of some SHARD_WORDS words (an item goes whole), each one
+    pass over the rows; passes are staged, so neither the driver nor a Python worker holds more than one
+    automaton. A text of any length is scanned whole; so are ties and overlaps: each item that occurs is listed.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("string").alias("id"), "text").where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = -(-size // SHARD_BYTES) or 1
+    size = items.agg(F.sum(F.size(F.split("text", "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")))).first()[0] or 0
+    shards = -(-size // SHARD_WORDS) or 1
     kept = [c for c in (docs.columns if passed is None else passed) if c not in ("n_words", "hits", "items")]
     out = docs.select(F.struct(*kept).alias("row"), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<since:int,to:int>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
     for k in range(shards):
@@ -110,6 +123,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
         shared = spark.sparkContext.broadcast((uuid.uuid4().hex, [tuple(r) for r in own.collect()]))
         after = [f for f in out.schema if f.name != "text" or k + 1 < shards]  # the last pass drops the text
         out = out.mapInArrow(_pass(shared, window, k + 1 < shards), T.StructType(after))
+        out = staged(out, "scanned") if k + 1 < shards else out
     return out.select("row.*", "n_words", "hits", "items")
 
 
