@@ -3,7 +3,8 @@
 Texts are lower-cased and every run of other characters than letters becomes one blank; n-grams of 1 to
 `max_n` characters fall into `buckets` hash buckets. Counts per language come from Spark aggregation
 over a sample of labelled texts, and the log-probability matrix (buckets x languages) is broadcast in
-shards of LANGUAGES columns, as many as there are languages. A text is scored piece by piece as a sum of matrix rows.
+shards of LANGUAGES columns, as many as there are languages. A batch's texts are one sparse matrix of counts
+(text, bucket, count), which is multiplied with the log-probabilities shard by shard.
 """
 
 from __future__ import annotations
@@ -35,29 +36,31 @@ def _is_letter() -> np.ndarray:
 
 
 def grams(text: str | None, buckets: int = BUCKETS, max_n: int = MAX_N) -> Iterator[np.ndarray]:
-    """Bucket numbers of the text's n-grams, a piece of the text at a time."""
-    for at in range(0, len(text or ""), PIECE):
-        # a piece starts with the end of the one before, whose n-grams are then left out
-        back = min(at, max_n - 1)
-        points = np.frombuffer(text[at - back : at + PIECE].lower().encode("utf-32-le", "replace"), "<u4")
+    """Bucket numbers of the text's n-grams, a piece of the text at a time; the same for pieces of any length.
+    A text without letters has none."""
+    text = (text or "").lower()
+    held, after = np.array([32], np.uint64), False  # the last characters so far, and whether the last was a letter
+    any_ = told = False
+    for at in range(0, len(text), PIECE):
+        points = np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "replace"), "<u4")
         letters = _is_letter()[points]
-        kept = np.where(letters, points, 32).astype(np.uint64)
-        fresh = letters | np.concatenate(([True], letters[:-1]))
-        kept = kept[fresh]
-        if at == 0:
-            kept = np.concatenate((np.array([32], np.uint64), kept[1:] if kept[0] == 32 else kept))
-        if at + PIECE >= len(text) and kept[-1] != 32:
+        any_ |= bool(letters.any())
+        kept = np.where(letters, points, 32).astype(np.uint64)[letters | np.concatenate(([after], letters[:-1]))]
+        after = bool(letters[-1])
+        if at + PIECE >= len(text) and after:
             kept = np.concatenate((kept, np.array([32], np.uint64)))
-        if not letters.any():
-            continue
-        key = np.zeros(len(kept), np.uint64)
+        if not any_:
+            continue  # blanks ahead of the first letter, of which `held` has one
+        own = np.concatenate((held, kept))
+        key = np.zeros(len(own), np.uint64)
         for n in range(1, max_n + 1):
-            if len(kept) < n:
+            if len(own) < n:
                 break
-            key = key[: len(kept) - n + 1] * np.uint64(0x100000001B3) + kept[n - 1 :]
-            own = key[max(0, back - n + 1) :] if back else key
-            own = own * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)
-            yield ((own * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) % buckets
+            key = key[: len(own) - n + 1] * np.uint64(0x100000001B3) + own[n - 1 :]
+            fresh = key[max(0, len(held) - n + 1) if told else 0 :]
+            fresh = fresh * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)
+            yield ((fresh * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) % buckets
+        told, held = True, own[max(0, len(own) - max_n + 1) :]
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, max_n: int = MAX_N) -> tuple[list[str], list[np.ndarray], np.ndarray]:
@@ -105,6 +108,29 @@ def train(labelled: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, max
     return langs, matrices, np.log(prior / prior.sum())
 
 
+#: N-grams of a sparse matrix at most, but for one piece of a text.
+ENTRIES = 1 << 20
+
+
+def sparse(texts, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text number, bucket, count) of the texts' n-grams, in order of both, some ENTRIES n-grams at a time."""
+    held, size = [], 0
+
+    def summed():
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        return key // buckets, key % buckets, n.astype(float)
+
+    for k, text in enumerate(texts):
+        for ids in grams(text, buckets) if isinstance(text, str) else ():
+            held.append(ids + k * buckets)
+            size += len(ids)
+            if size >= ENTRIES:
+                yield summed()
+                held, size = [], 0
+    if size:
+        yield summed()
+
+
 def predict(docs: DataFrame, model: tuple, text: str = "text") -> DataFrame:
     """docs with lang_pred and score, the probability of that language. A null text, one without
     letters, and any text under a model of no languages give `und` and 0. Columns of docs named as the
@@ -118,19 +144,18 @@ def predict(docs: DataFrame, model: tuple, text: str = "text") -> DataFrame:
     @F.pandas_udf("lang_pred string, score double")
     def score(texts: pd.Series) -> pd.DataFrame:
         langs, prior = shared.value
-        matrices = [s.value for s in shards]
-        out = []
-        for text in texts:
-            total, seen = prior.astype(float), 0
-            for ids in grams(text, buckets) if isinstance(text, str) and langs else ():
-                total = total + np.concatenate([m[ids].sum(0, dtype=float) for m in matrices])
-                seen += len(ids)
-            if not seen:
-                out.append((UNKNOWN, 0.0))
-                continue
-            best = int(total.argmax())
-            out.append((langs[best], float(1 / np.exp(total - total[best]).sum())))
-        return pd.DataFrame(out, columns=["lang_pred", "score"])
+        total = np.tile(prior.astype(float), (len(texts), 1))
+        seen = np.zeros(len(texts))
+        for row, bucket, n in sparse(texts, buckets):
+            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            seen[row[first]] += np.add.reduceat(n, first)
+            sums = [np.add.reduceat(n[:, None] * m.value[bucket], first, axis=0) for m in shards]
+            total[row[first]] += np.concatenate(sums, axis=1)
+        if not langs:
+            return pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0})
+        best = total.argmax(1)
+        score = 1 / np.exp(total - total.max(1)[:, None]).sum(1)
+        return pd.DataFrame({"lang_pred": np.where(seen > 0, np.array(langs, object)[best], UNKNOWN), "score": np.where(seen > 0, score, 0.0)})
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.select(*kept, score(text).alias("predicted_")).select(*kept, "predicted_.*")

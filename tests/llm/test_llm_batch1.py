@@ -9,10 +9,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessella.llm import op01_embeddings, op02_warc, op03_decontamination, op04_packing, op05_language
 
 public = pytest.importorskip("public_tokenizers")
+SF = "/root/testdata/sf0.001"
 
 
 # embeddings
@@ -133,10 +135,10 @@ def test_decontamination_against_brute_force(spark):
     docs = [(1, "x " + "--".join(words) + " y", 9), (2, "short item SHORT ITEM; short", 9), (3, None, 9), (4, "", 9), (5, "... !!", 9), (None, " ".join(words[:11]), 9), (6, "a " * 3000 + " ".join(words[4:17]), 9), (2, "short item SHORT ITEM; short", 9)]
     d = spark.createDataFrame(docs, "doc_id long, text string, n_words int")
     b = spark.createDataFrame(items, "item_id long, text string")
-    for shard in (op03_decontamination.SHARD_BYTES, 60):
-        op03_decontamination.SHARD_BYTES, old = shard, op03_decontamination.SHARD_BYTES
+    for shard in (op03_decontamination.SHARD_WORDS, 8):
+        op03_decontamination.SHARD_WORDS, old = shard, op03_decontamination.SHARD_WORDS
         got = op03_decontamination.decontaminate(d, b).collect()
-        op03_decontamination.SHARD_BYTES = old
+        op03_decontamination.SHARD_WORDS = old
         want = [(i, *brute_hits(t, items)) for i, t, _ in docs]
         key = lambda r: (str(r[0]), r[1])
         assert sorted(((r["doc_id"], r["n_words"], sum(h["to"] - h["since"] for h in r["hits"]), r["items"]) for r in got), key=key) == sorted(want, key=key)
@@ -222,10 +224,46 @@ def test_more_languages_than_a_shard(spark):
     assert all(r["lang_pred"] == r["lang"] and 0.5 < r["score"] <= 1 for r in got)
 
 
-def test_grams_do_not_depend_on_pieces():
-    text = "Ein langer Text, mit Zeichen und 12 Zahlen  " * 50
+@pytest.mark.parametrize("text", ["Ein langer Text, mit Zeichen und 12 Zahlen  " * 50, "a", " .a", "123 456 " * 40 + "b c", "ab" * 60 + " ", "ΑΣ ΟΔΟΣ " * 30])
+@pytest.mark.parametrize("piece", [1, 2, 3, 5, 97])
+def test_grams_do_not_depend_on_pieces(text, piece, monkeypatch):
     whole = np.sort(np.concatenate(list(op05_language.grams(text))))
-    old, op05_language.PIECE = op05_language.PIECE, 97
+    monkeypatch.setattr(op05_language, "PIECE", piece)
     cut = np.sort(np.concatenate(list(op05_language.grams(text))))
-    op05_language.PIECE = old
-    assert abs(len(whole) - len(cut)) <= len(text) // 20
+    assert whole.tolist() == cut.tolist()
+
+
+def brute_language(texts, langs_of, text):
+    """Plain multinomial naive Bayes over the same n-grams, in exact counts."""
+    import math
+    from collections import Counter
+
+    def counted(t):
+        s = " " + "".join(c if c.isalpha() else " " for c in t.lower()) + " "
+        s = __import__("re").sub(" +", " ", s)
+        return Counter(s[k : k + n] for n in range(1, 5) for k in range(len(s) - n + 1))
+
+    langs = sorted(set(langs_of))
+    sums = {x: sum((counted(t) for t, y in zip(texts, langs_of, strict=True) if y == x), Counter()) for x in langs}
+    score = {x: math.log(langs_of.count(x) / len(langs_of)) + sum(n * math.log((sums[x][g] + 0.5) / (sum(sums[x].values()) + 0.5 * op05_language.BUCKETS)) for g, n in counted(text).items()) for x in langs}
+    best = max(score.values())
+    return max(score, key=score.get), 1 / sum(math.exp(s - best) for s in score.values())
+
+
+def test_language_against_brute_force(spark, tmp_path):
+    """The query on a small table: plain naive Bayes gives the same languages and, but for hash collisions, scores."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000").limit(120).select("doc_id", "text", "lang").withColumn("text", F.substring("text", 1, 300)).toPandas()
+    table = spark.createDataFrame([(int(r.doc_id), r.text, r.lang) for r in docs.itertuples()], "doc_id long, text string, lang string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op05_language.op5_language_id(spark, str(tmp_path)).collect()}
+    held = {int(d): zlib.crc32(str(d).encode()) % 3 == 1 for d in docs.doc_id}
+    known = [(t, x) for d, t, x in zip(docs.doc_id, docs.text, docs.lang, strict=True) if not held[int(d)] and isinstance(x, str)]
+    right = 0
+    for d, t, lang in zip(docs.doc_id, docs.text, docs.lang, strict=True):
+        r = got[int(d)]
+        assert r["held_out"] == held[int(d)]
+        want = brute_language([k[0] for k in known], [k[1] for k in known], t)
+        if any(c.isalpha() for c in t):
+            assert r["lang_pred"] == want[0] and abs(r["score"] - want[1]) < 0.05
+        right += held[int(d)] and r["lang_pred"] == lang
+    assert right >= 0.9 * sum(held.values())
