@@ -4,9 +4,8 @@ P(grade > k) = 1 / (1 + exp(-(w . x - threshold_k))), the weights w shared by al
 kept in order. x holds the words of a text and their beginnings (each once) among those that the
 labelled sample ties to toxic texts. The score is the expected severity, the sum of P(grade > k) over k.
 
-The labels have one toxic flag; grades come from it and the text: 0 for clean, and for toxic 1, 2 or 3
-by the number of occurrences of tell-tale words (those that occur in toxic texts only, by and large),
-cut at the sample's terciles.
+The labels have two flags, toxic and quality; grades come from both: 0 for clean, 1 for toxic texts of good
+quality, 2 for toxic ones of bad quality (those of unknown quality count as good).
 """
 
 from __future__ import annotations
@@ -18,14 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read
+from .common import bounded_batches, read, staged
 from .words import FOLD
 
-#: Labelled documents in the training sample at most, in expectation; words in the model at most.
-SAMPLE, FEATURES = 20_000, 4096
-GRADES = 4
-#: Toxic texts of the sample that a word must occur in, as a share: rarer ones tie to single authors.
-SUPPORT = 0.02
+#: Labelled documents in the training sample at most, in expectation.
+SAMPLE, GRADES = 20_000, 3
+#: Toxic texts of the sample that a word must occur in, as a share (rarer ones tie to single authors), and
+#: standard deviations above chance. All such words are features.
+SUPPORT, ABOVE = 0.02, 5
 
 
 def words(text: str | None) -> list[bytes]:
@@ -42,15 +41,20 @@ def features_of(distinct: set[bytes]) -> set[bytes]:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of about `sample` labelled documents at most, chosen by a hash of the id. Only the
-    sampled labels, whose number is bounded, are broadcast; no text is shuffled. Repeated labels of a
-    document count once, toxic if any says so; labels without id or flag don't count."""
-    flags = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic_"))
+    """(text, grade) of about `sample` labelled documents at most, chosen by a hash of the id. Only the
+    sampled labels and ids, whose number is bounded, are broadcast; of texts only hashes are shuffled. Repeated
+    labels of a document count once, with the worst flags; labels without id or toxic flag don't count. A text
+    that many documents copy counts once, with the worst grade."""
+    quality = F.col("quality") if "quality" in labels.columns else F.lit(None).cast("int")
+    grade = F.when(F.col("toxic") > 0, F.when(quality == 0, 2).otherwise(1)).otherwise(0)
+    flags = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(grade).alias("grade_"))
     share = min(1.0, sample / max(1, flags.count()))
     chosen = flags.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    # a text that many documents copy counts once
-    return rows.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"), F.max("toxic_").cast("int").alias("toxic")).select("text", "toxic")
+    rows = docs.select("doc_id", "text").where("text is not null")
+    keys = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade_", F.xxhash64("text").alias("key"))
+    keys = keys.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.max("grade_").alias("grade"))
+    found = rows.withColumn("key", F.xxhash64("text")).join(F.broadcast(keys), ["doc_id", "key"])
+    return staged(found.dropDuplicates(["doc_id", "key"]).select("text", "grade"), "labelled")
 
 
 def fit(x: list[np.ndarray], grade: np.ndarray, width: int, grades: int, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +84,7 @@ def fit(x: list[np.ndarray], grade: np.ndarray, width: int, grades: int, steps:
     return theta[:width], theta[width] + np.concatenate(([0], np.cumsum(np.exp(theta[width + 1 :]))))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> dict:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """{words: {word: number}, weights, thresholds}. Without labels of both kinds the model has no words
     and rates every text 0."""
     bounded_batches(docs.sparkSession)
@@ -89,12 +93,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found: dict[bytes, list[int]] = {}
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+            for text, grade in zip(batch["text"], batch["grade"], strict=True):
                 for word in features_of(set(words(text))):
-                    found.setdefault(word, [0, 0])[int(toxic > 0)] += 1
+                    found.setdefault(word, [0, 0])[int(grade > 0)] += 1
             yield pd.DataFrame([(w, *n) for w, n in found.items()], columns=["word", "clean", "toxic"])
 
-    totals = {r["t"]: r["n"] for r in chosen.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
+    totals = {r["t"]: r["n"] for r in chosen.groupBy((F.col("grade") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return {"words": {}, "weights": np.zeros(0), "thresholds": np.full(GRADES - 1, 30.0)}
     rate = F.lit(totals[True] / (totals[True] + totals[False]))
@@ -102,28 +106,23 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     n = F.col("clean") + F.col("toxic")
     z = (F.col("toxic") - n * rate) / F.sqrt(n * rate * (1 - rate))  # how far from what chance gives
     support = max(5, SUPPORT * totals[True])
-    top = counts.where(F.col("toxic") >= support).withColumn("z", z).where("z >= 5").orderBy(F.desc("z"), "word").limit(features).collect()
-    number = {bytes(r["word"]): k for k, r in enumerate(top)}
-    # in next to no clean text, and far more often in toxic ones than chance gives
-    telling = {bytes(r["word"]) for r in top if r["toxic"] / totals[True] >= 20 * (r["clean"] + 0.5) / totals[False]}
+    telling = counts.where((F.col("toxic") >= support) & (z >= ABOVE)).select("word").collect()  # words of the bounded sample
+    number = {w: k for k, w in enumerate(sorted(bytes(r["word"]) for r in telling))}
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            split = [words(t) for t in batch["text"]]
-            yield pd.DataFrame({"x": [sorted(number[w] for w in number.keys() & features_of(set(s))) for s in split], "hits": [sum(not telling.isdisjoint(features_of({w})) for w in s) for s in split], "toxic": batch["toxic"]})
-
-    rows = chosen.mapInPandas(featured, "x array<int>, hits long, toxic int").toPandas()  # the bounded sample
-    toxic, hits = rows["toxic"].to_numpy() > 0, rows["hits"].to_numpy()
-    cuts = np.quantile(hits[toxic], [1 / 3, 2 / 3])
-    grade = np.where(toxic, 1 + (hits > cuts[0]).astype(int) + (hits > cuts[1]), 0)
-    weights, thresholds = fit([np.array(r, int) for r in rows["x"]], grade, len(number), GRADES)
+            yield pd.DataFrame({"x": [sorted(number[w] for w in number.keys() & features_of(set(words(t)))) for t in batch["text"]], "grade": batch["grade"]})
+
+    rows = chosen.mapInPandas(featured, "x array<int>, grade int").toPandas()  # the bounded sample
+    weights, thresholds = fit([np.array(r, int) for r in rows["x"]], rows["grade"].to_numpy(), len(number), GRADES)
     return {"words": number, "weights": weights, "thresholds": thresholds}
 
 
 def rate(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """docs with severity (expected grade, 0 to 3), grade (the most probable one) and toxic (whether any
+    """docs with severity (expected grade, 0 to 2), grade (the most probable one) and toxic (whether any
     grade over 0 is more probable than 0). Null and empty texts have severity 0 and aren't toxic;
-    columns of docs named as a new one give way; all else passes through."""
+    columns of docs named as a new one give way; all else, repeated rows and null ids too, passes through. A
+    very long text counts by its distinct words."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
