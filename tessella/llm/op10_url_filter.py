@@ -3,7 +3,8 @@
 DataFrame functions only. The trees (Spark ML's) are trained on URLs that rules label, a bounded
 sample of them; the features say nothing of the host's or path's exact words, so what the trees learn
 carries over to other hosts: lengths, depth, digit and letter shares, entropy, counts of parameters,
-separators and labels, and per suffix how often the rules block a URL of it, over all URLs that they label.
+separators and labels, and per suffix how often the rules block a URL of it, over all URLs that they label
+(for a URL in training, over those of the other FOLDS - 1 folds: a rate doesn't know the label it predicts).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 #: URLs in the training sample at most, in expectation; trees and their depth.
-SAMPLE, TREES, DEPTH = 50_000, 20, 4
+SAMPLE, TREES, DEPTH, FOLDS = 50_000, 20, 4, 5
 FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "digit_share", "host_digit_share", "letter_share", "hyphens", "dots", "entropy", "parameters", "query_length", "has_fragment", "is_https", "ends_in_slash", "has_extension", "suffix_rate"]
 
 
@@ -67,10 +68,18 @@ def lexical(df: DataFrame, url: str = "url") -> DataFrame:
     })
 
 
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit(3)), F.lit(FOLDS)).cast("int")
+
+
 def suffix_rates(urls: DataFrame, mean: float) -> DataFrame:
-    """(suffix, suffix_rate) of all suffixes of labelled URLs (host, label), drawn to the mean by five URLs."""
+    """(suffix, fold, suffix_rate) of all suffixes of labelled URLs (url, host, label), drawn to the mean by five
+    URLs: of fold -1 over all of them, of the others over the URLs outside that fold."""
     suffix = F.substring_index("host", ".", -1).alias("suffix")
-    return urls.groupBy(suffix).agg(((F.sum("label") + 5 * mean) / (F.count("*") + 5)).alias("suffix_rate"))
+    each = urls.groupBy(suffix, fold_of(F.col("url")).alias("of")).agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
+    folds = F.explode(F.array(*(F.lit(k) for k in range(-1, FOLDS)))).alias("fold")
+    beside = each.select("*", folds).groupBy("suffix", "fold").agg(F.sum(F.when(F.col("of") != F.col("fold"), F.col("bad")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("of") != F.col("fold"), F.col("n")).otherwise(0)).alias("n"))
+    return beside.select("suffix", "fold", ((F.col("bad") + 5 * mean) / (F.col("n") + 5)).alias("suffix_rate"))
 
 
 def judge(pages: DataFrame, rules=RULES, url: str = "url", sample: int = SAMPLE) -> DataFrame:
@@ -99,11 +108,11 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", sample: int = SAMPLE)
     train = staged(lexical(urls.where(F.pmod(F.xxhash64("url"), F.lit(1_000_003)) < share * 1_000_003)), "urls")
     mean = totals[1.0] / sum(totals.values())
     rates = staged(suffix_rates(urls, mean), "rates")
-    rated = lambda df: df.join(rates, "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(mean)))
+    rated = lambda df, fold: df.withColumn("fold", fold).join(rates, ["suffix", "fold"], "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(mean)))
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
     gbt = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, checkpointInterval=-1, cacheNodeIds=False, maxMemoryInMB=128)
-    model = gbt.fit(assembler.transform(rated(train)).select("features", "label"))
-    scored = model.transform(assembler.transform(rated(lexical(rows))))
+    model = gbt.fit(assembler.transform(rated(train, fold_of(F.col("url")))).select("features", "label"))
+    scored = model.transform(assembler.transform(rated(lexical(rows), F.lit(-1))))
     p = F.when(F.col("fit").isNull(), vector_to_array("probability")[1])
     return scored.select("row.*", "host", "path", "fit.rule", p.alias("p_block"), F.coalesce("fit.verdict", F.when(p > 0.5, "block").otherwise("allow")).alias("verdict"))
 

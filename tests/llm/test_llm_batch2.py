@@ -242,9 +242,15 @@ def test_entropy_of_any_length(spark):
 
 
 def test_every_suffix_has_its_rate(spark):
-    rows = [(f"h.s{k}", float(k % 2)) for k in range(1500) for _ in range(5)]
-    got = {r["suffix"]: r["suffix_rate"] for r in op10_url_filter.suffix_rates(spark.createDataFrame(rows, "host string, label double"), 0.5).collect()}
-    assert got == {f"s{k}": 0.75 if k % 2 else 0.25 for k in range(1500)}
+    rows = [(f"u{k}-{j}", f"h.s{k}", float(k % 2)) for k in range(1500) for j in range(5)]
+    urls = spark.createDataFrame(rows, "url string, host string, label double")
+    got = {(r["suffix"], r["fold"]): r["suffix_rate"] for r in op10_url_filter.suffix_rates(urls, 0.5).collect()}
+    assert {k: v for (k, fold), v in got.items() if fold == -1} == {f"s{k}": 0.75 if k % 2 else 0.25 for k in range(1500)}
+    fold = {r["url"]: r["fold"] for r in urls.select("url", op10_url_filter.fold_of(urls["url"]).alias("fold")).collect()}
+    for k in (0, 1, 7):
+        for f in range(op10_url_filter.FOLDS):
+            own = [x for u, _, x in rows[5 * k : 5 * k + 5] if fold[u] != f]
+            assert got[f"s{k}", f] == (sum(own) + 2.5) / (len(own) + 5)
 
 
 def test_pipeline_stages(spark):
