@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, read, shared_dir
+from .common import SMALL, bounded_batches, read, shared_dir, staged
 
 #: Bytes of a block before it is segmented, of a chunk, payload from which equal ones are revisits,
 #: and records of one file.
@@ -112,9 +112,15 @@ def write(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMEN
     rows = pages.select(F.col("page_id").cast("string").alias("page"), "page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     long = F.octet_length("html") >= least
-    # only digests that repeat come back, so most tables join them to the pages by broadcast
+    # only digests that repeat come back, and of the pages only ids: no html goes to its digest's task
     repeated = rows.where(long).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    rows = rows.join(repeated, "digest", "left").withColumn("refers", F.when(long & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first").cast("string")))
+    repeated = staged(repeated, "repeated")
+    if repeated.count() <= SMALL:
+        rows = rows.join(F.broadcast(repeated), "digest", "left")
+    else:
+        first = rows.where(long).select("page_id", "digest").distinct().join(repeated, "digest")
+        rows = rows.join(first, ["page_id", "digest"], "left")
+    rows = rows.withColumn("refers", F.when(long & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first").cast("string")))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
