@@ -68,6 +68,35 @@ def test_pii_redaction(spark):
         assert r["out"] == (None if text is None else out + text[at:])
 
 
+def test_pii_long_texts_and_loose_spans(spark):
+    """Loose spans that labelers agree on are added wherever no base span stands; long texts take seconds."""
+    import time
+
+    long = " ".join(f"a{k}@x{k}.org 4{k:09d}" for k in range(6000))
+    rows = [(k, f"{' '.join(prose(k, 20))} call me at 555-{k:03d}-{4000 + k} or mail p{k}@gmail.com please") for k in range(200)]
+    rows += [(1000 + k, f"{' '.join(prose(k, 20))} order no {k:09d} of the year {k}") for k in range(200)] + [(5000, long)]
+    began = time.time()
+    found = op06_pii.find(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id", "text"])
+    got = {r["doc_id"]: r for r in found.select("doc_id", op06_pii.listed(found["spans"]).alias("spans"), op06_pii.redacted(found["text"], found["spans"]).alias("out")).collect()}
+    assert time.time() - began < 60
+    texts = dict(rows)
+    for k in range(200):
+        at = texts[k].index("555-")
+        assert f"number:{at}:{at + 12}" in got[k]["spans"] and got[1000 + k]["spans"] == ""
+        assert got[k]["out"].endswith("call me at [number] or mail [email] please")
+    assert [x for x in got[5000]["spans"].split(",") if x.startswith("email")] == brute_spans(long)
+
+
+def test_prefixes(spark):
+    from pyspark.sql import functions as F
+
+    for n in (0, 1, 2, 3, 10, 97, 100):
+        v = [(7 * k) % 13 for k in range(n)]
+        df = spark.createDataFrame([(v,)], "v array<int>")
+        total, most = df.select(op06_pii.prefixes(F.col("v"), F.lit(0), lambda a, b: a + b), op06_pii.prefixes(F.col("v"), F.lit(0), lambda a, b: F.greatest(a, b))).first()
+        assert total == [sum(v[:k]) for k in range(n)] and most == [max([0, *v[:k]]) for k in range(n)]
+
+
 def test_reliabilities_find_the_better_labeler():
     rng = np.random.default_rng(3)
     counts = {}
@@ -172,6 +201,41 @@ def test_passages_cut_anywhere(spark):
         assert r["n_words"] == 50 and r["kept"] == (r["doc_id"] in (0, 3)) and r["removed_words"] == (0 if r["kept"] else 50)
 
 
+@pytest.mark.parametrize("sf", [SF])
+def test_passages_against_brute_force(spark, sf):
+    """All documents that share a run of 50 words with another one, and none that doesn't come near."""
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = {r["doc_id"]: r["text"] for r in table.collect()}
+    words = {d: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.translate({c: c + 32 for c in range(65, 91)})) for d, t in docs.items()}
+    owners, shingle = {}, {}
+    for d, w in words.items():
+        shingle[d] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        for k in range(len(w) - 49):
+            owners.setdefault(tuple(w[k : k + 50]), set()).add(d)
+    want = {d for o in owners.values() if len(o) > 1 for d in o}
+    got = op08_passages.repeated_passages(table).collect()
+    found = {r["doc_id"] for r in got}
+    assert want <= found
+    for r in got:
+        own = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", docs[r["doc_id"]][r["start"] : r["end"]].translate({c: c + 32 for c in range(65, 91)}))
+        assert len(own) >= 50
+        mine = {tuple(own[k : k + 5]) for k in range(len(own) - 4)}
+        # an edited passage shares most of its shingles with one other document
+        assert r["doc_id"] in want or max(len(mine & s) for d, s in shingle.items() if d != r["doc_id"]) >= 0.6 * len(mine)
+
+
+def test_passages_clashing_columns(spark):
+    shared = " ".join(prose(70, 60))
+    df = spark.createDataFrame([(k, f"{' '.join(prose(k, 30))} {shared} x", 1, 2, 3) for k in range(3)], "doc_id long, text string, start int, content int, sketches int")
+    assert {r["doc_id"] for r in op08_passages.repeated_passages(df).collect()} == {0, 1, 2}
+
+
+def test_passages_of_repeated_words(spark):
+    """Ties: every run of a text of one word is equal; a text of any length is one row."""
+    df = spark.createDataFrame([(0, "a " * 300), (1, "b a " * 2 + "a " * 60), (2, "c " * 200), (3, "d " * 49), (4, "d " * 49)], "doc_id long, text string")
+    assert {r["doc_id"] for r in op08_passages.repeated_passages(df).collect()} == {0, 1}
+
+
 def test_bands():
     assert op08_passages.tuned(0.8, 0.95, 1) == 2 and op08_passages.tuned(0.5, 0.95, 2) == 11
 
