@@ -107,12 +107,13 @@ def runs_of(docs: DataFrame, ids: DataFrame, text: str = "text", words: int = WO
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", words: int = WORDS, least: float = SIMILARITY, count: int = SKETCHES) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of exactly equal word sequences), n_links (other classes
-    that this one's was directly linked with, as many as its component takes), component_id (the smallest doc_id that links reach), kept (whether
+    """doc_id, class_id (the smallest doc_id of exactly equal word sequences), n_verified (other classes
+    that this one was held against and found alike; not all that it is like), component_id (the smallest doc_id that links reach), kept (whether
     the document stands for its component).
 
     One row per row of docs. Texts without words (null, empty, blanks) and rows without id link with
-    nothing: class and component are their own id, and they are kept. Repeated ids share a class row.
+    nothing: class and component are their own id, and they are kept. Repeated ids share a class row, and other
+    columns are ignored. A very long text is one row: its runs take 8 bytes a word.
     """
     bounded_batches(docs.sparkSession)
     signed = signatures(docs, text, words, count).withColumn("class", F.when(F.col("doc_id").isNotNull(), F.col("class")))
@@ -127,7 +128,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = WORDS, lea
     known = classes.select("class", "rep").join(by_rep, "rep", "left")
     return (
         signed.select("doc_id", "class").join(known, "class", "left")
-        .select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
+        .select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_verified"),
                 F.coalesce("component", "rep", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )

@@ -267,3 +267,24 @@ def test_language_against_brute_force(spark, tmp_path):
             assert r["lang_pred"] == want[0] and abs(r["score"] - want[1]) < 0.05
         right += held[int(d)] and r["lang_pred"] == lang
     assert right >= 0.9 * sum(held.values())
+
+
+@pytest.mark.parametrize("strips", ["1", "7", "40"])
+def test_embedding_links_across_strips(spark, strips):
+    """Whatever the number of strips, pairs beside their edges meet: one pass over vectors that all lie along a line."""
+    rng = np.random.default_rng(4)
+    x = np.stack([np.cos(np.arange(300) * 0.3), np.sin(np.arange(300) * 0.3)], 1) @ rng.standard_normal((2, 8))
+    df = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", strips)
+    try:
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in op01_embeddings.near_duplicates(df, passes=3).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    unit = op01_embeddings.unit(x)
+    links = op01_embeddings.alike(unit, unit, op01_embeddings.COSINE)
+    assert [got[k][0] for k in range(300)] == (links.sum(1) - 1).tolist()
+    component = np.arange(300)
+    for _ in range(300):
+        component = np.where(links, component[None, :], 300).min(1)
+    assert [got[k][1] for k in range(300)] == component.tolist()
