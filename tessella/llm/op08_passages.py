@@ -281,7 +281,8 @@ def clusters_of(docs: DataFrame, units: DataFrame, text: str, least: float) -> D
     bucket = F.explode("sketches").alias("bucket")
     shared = banded.select("content", bucket).groupBy("bucket").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a <> b").select("bucket")
     shared = staged(shared, "shared")
-    met = banded.select("content", "sketches", "doc_id", bucket).join(small(shared), "bucket", "left_semi")
+    ids = staged(banded.select("content", bucket).join(small(shared, 5 * SMALL), "bucket", "left_semi").select("content").distinct(), "ids")
+    met = banded.select("content", "sketches", "doc_id").join(small(ids, 5 * SMALL), "content", "left_semi")
     met = staged(met.groupBy("content").agg(F.first("sketches").alias("sketches"), F.min("doc_id").alias("low")), "met")
     reps = met.select(F.col("content").alias("rep"), "sketches")
     wanted = met.select(F.col("content").alias("rep"), "low")
