@@ -108,7 +108,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 #: Members that a bucket holds others against first; members and bytes of a block, in the mean.
-LEADERS, BLOCK, BLOCK_BYTES = 8, 128, 2 << 20
+LEADERS, BLOCK, BLOCK_BYTES = 8, 2048, 2 << 20
 
 
 def bucket_links(reps: DataFrame, runs_of, alike, agree: int, opened=lambda x: x) -> DataFrame:
