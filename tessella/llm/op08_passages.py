@@ -194,9 +194,8 @@ def scanned(docs: DataFrame, text: str = "text", bands: int = 5) -> DataFrame:
 def _marked(docs: DataFrame, marks: DataFrame, text: str) -> DataFrame:
     """(doc_id, text, marks) of the texts with marks (doc_id, mark): the others aren't read on."""
     ends = staged(marks.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "marks")
-    total = ends.agg(F.sum(F.size("marks") + 4)).first()[0] or 0
     docs = docs.select("doc_id", F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    return docs.join(F.broadcast(ends) if total <= 4 * SMALL else ends, "doc_id")
+    return docs.join(ends.hint("merge"), "doc_id")  # by shuffle at every size: marks grow with the texts
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:

@@ -174,15 +174,26 @@ def test_plan_places_every_piece_once(lengths):
 
 
 def test_long_runs_of_blanks_fall_back():
-    text = "a" + " " * 600_000 + "\n \n" * 100_000 + "b"
-    assert op04_packing.token_ids(text, "byte_bpe_50k.tiktoken").tolist() == [*op04_packing._plain_ids(text, "byte_bpe_50k.tiktoken"), 2]
+    from tokenizers import Tokenizer
+
+    text = "a" + " " * 600_000 + "\n \n" * 100_000 + "<|endoftext|>b"
+    want = Tokenizer.from_file(public.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert op04_packing.token_ids(text, "byte_bpe_50k.json").tolist() == [*want, 2]
+
+
+def test_grouping_comes_near_the_bound():
+    rng = np.random.default_rng(5)
+    for lengths in (rng.integers(1, 1025, 20000), rng.integers(300, 700, 20000), np.minimum(1024, rng.geometric(0.004, 20000))):
+        histogram = {int(k): int(n) for k, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
+        used = max(first + n for _, _, n, first, _ in op04_packing.best_plan(histogram))
+        bound = max(-(-int(lengths.sum()) // 1024), int((lengths > 512).sum()))
+        assert used <= 1.03 * bound + 2
 
 
 def test_packing_ids_equal_the_tokenizers(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     texts = ["", None, "Hello  world\n\n it's", "<|endoftext|> x", "é" * 3000, "a b " * 2000, "   \t", "日本語 12345 ٣", " " * 3000, "x" * 5000]
     df = spark.createDataFrame([(k if k else None, t, 1) for k, t in enumerate(texts)] + [(3, texts[3], 1)], "doc_id long, text string, length int")
     got = op04_packing.pack(df).collect()
