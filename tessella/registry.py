@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import fitting, pixels, selection, series, shapes, signals, streams, surfaces
+from .plans import candidates, fitting, pixels, selection, series, shapes, signals, streams, surfaces
 
 FLAGSHIP = "dsi_histogram"
-_ALL = (fitting, pixels, selection, series, shapes, signals, streams, surfaces)
+_ALL = (candidates, fitting, pixels, selection, series, shapes, signals, streams, surfaces)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
