@@ -195,7 +195,8 @@ def _marked(docs: DataFrame, marks: DataFrame, text: str) -> DataFrame:
     """(doc_id, text, marks) of the texts with marks (doc_id, mark): the others aren't read on."""
     ends = staged(marks.groupBy("doc_id").agg(F.collect_set("mark").alias("marks")), "marks")
     docs = docs.select("doc_id", F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    return docs.join(ends.hint("merge"), "doc_id")  # by shuffle at every size: marks grow with the texts
+    # by shuffle at every size: marks grow with the texts; a row for each id is hashed, so that texts aren't sorted
+    return docs.join(ends.hint("shuffle_hash"), "doc_id")
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -307,13 +308,13 @@ def verbatim(docs: DataFrame, hits: DataFrame, text: str) -> DataFrame:
     near = hits.where("since is not null")
     ends = near.select("doc_id", F.explode(F.array("left", "right")).alias("run"))
     both = staged(ends.groupBy("run").agg(F.min("doc_id").alias("of"), F.max("doc_id").alias("high")).where("of <> high").select("run", "of"), "ends")
-    ends = both.hint("merge")  # as many as the input has: by shuffle at every size
+    ends = both.hint("shuffle_hash")  # as many as the input has: by shuffle at every size
     known = near.join(ends.select(F.col("run").alias("left"), F.col("of").alias("of_left")), "left", "left").join(ends.select(F.col("run").alias("right"), F.col("of").alias("of_right")), "right", "left")
     known = staged(known.select("doc_id", "content", "cluster_id", "since", "until", "of_left", "of_right").repartition("doc_id"), "known")
     side = F.explode(F.array(F.struct(F.col("since").alias("at"), F.col("of_left").alias("low")), F.struct(F.col("until").alias("at"), F.col("of_right").alias("low")))).alias("side")
     outer = _ranges(known.select("doc_id", "cluster_id", side).select("doc_id", "side.at", "cluster_id", "side.low").where("low is not null"))
     open_ = staged(known.where("of_left is null and of_right is null").select("content").distinct(), "open")
-    windows = staged(_windows(docs, known.join(open_.hint("merge"), "content", "left_semi"), text), "windows")
+    windows = staged(_windows(docs, known.join(open_.hint("shuffle_hash"), "content", "left_semi"), text), "windows")
     shared = windows.groupBy("run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("run", "low")
     inner = _ranges(windows.join(shared, "run").select("doc_id", "at", F.col("run").alias("cluster_id"), "low"))
     out = staged(outer.union(inner), "verbatim")
@@ -348,7 +349,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", min_words: int = RUN,
     docs = docs.select("doc_id", F.col(text).alias("text"))
     units = staged(scanned(docs, "text", tuned(least, recall)), "paragraphs")
     clusters = clusters_of(docs, units, "text", least)
-    hits = staged(units.drop("sketches").join(clusters.hint("merge"), "content"), "hits")
+    hits = staged(units.drop("sketches").join(clusters.hint("shuffle_hash"), "content"), "hits")
     forget(units)
     runs = verbatim(docs, hits, "text")
     # edited passages: neighbouring paragraphs that the same other document shares
