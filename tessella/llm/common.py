@@ -188,11 +188,17 @@ def bucket_links(reps: DataFrame, runs_of, alike, agree: int, opened=lambda x: x
 
                 (ids_i, component_i, outer_i, sketch_i, runs_i), (ids_j, component_j, outer_j, sketch_j, runs_j) = members(mine), members(others)
                 hits: tuple[list, list] = ([], [])
+                # those of the first component meet only the others
+                everyone, others_j = np.arange(len(ids_j)), np.flatnonzero(outer_j)
+                sketch_others = sketch_j[others_j]
                 for p in range(len(ids_i)):
-                    same = sketch_j == sketch_i[p]
+                    pool, sketches = (everyone, sketch_j) if outer_i[p] else (others_j, sketch_others)
+                    if not len(pool):
+                        continue
+                    same = sketches == sketch_i[p]
                     # a pair is compared in the first band that both share, once
-                    for q in np.flatnonzero((same.sum(1) >= agree) & (same.argmax(1) == band.as_py())):
-                        if (i == j and q <= p) or not (outer_i[p] or outer_j[q]) or root(component_i[p]) == root(component_j[q]):
+                    for q in pool[(same.sum(1) >= agree) & (same.argmax(1) == band.as_py())]:
+                        if (i == j and q <= p) or root(component_i[p]) == root(component_j[q]):
                             continue
                         if alike(runs_i[p], runs_j[q]):
                             hits[0].append(p)

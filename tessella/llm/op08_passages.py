@@ -286,7 +286,7 @@ def clusters_of(docs: DataFrame, units: DataFrame, text: str, least: float) -> D
     met = staged(met.groupBy("content").agg(F.first("sketches").alias("sketches"), F.min("doc_id").alias("low")), "met")
     reps = met.select(F.col("content").alias("rep"), "sketches")
     wanted = met.select(F.col("content").alias("rep"), "low")
-    links = bucket_links(reps, lambda ids: _contents(docs, wanted.join(ids, "rep", "left_semi"), text), lambda x, y: jaccard(x, y) >= least, agree=1, opened=lambda x: set(x.tolist()))
+    links = bucket_links(reps, lambda ids: _contents(docs, wanted.join(ids, "rep", "left_semi"), text), lambda x, y: min(len(x), len(y)) >= least * max(len(x), len(y)) and jaccard(x, y) >= least, agree=1, opened=lambda x: set(x.tolist()))
     linked = staged(connected_components(links).withColumnRenamed("node", "content"), "linked")
     alone = contents.where("low <> high").join(small(linked.select("content")), "content", "left_anti").select("content", F.col("content").alias("cluster_id"), "low", "high")
     inside = contents.join(small(linked), "content")
