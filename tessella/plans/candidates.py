@@ -275,7 +275,7 @@ def merge_by_overlap(spark, sf_dir):
 
 @query(f"""WITH {MEAS}, k AS (SELECT n_tile, strength AS w, target AS u, target + resid AS v FROM meas WHERE strength > 0.1), s AS (SELECT n_tile, count(*) AS n, sum(w) AS sw, sum(w * u) / sum(w) AS mu, sum(w * v) / sum(w) AS mv FROM k GROUP BY n_tile),
 f AS (SELECT n_tile, sum(w * (u - mu) * (v - mv)) AS cov, sum(w * (u - mu) * (u - mu)) AS var FROM k JOIN s USING (n_tile) GROUP BY n_tile), l AS (SELECT n_tile, n, sw, cov / var AS slope, mv - cov / var * mu AS shift FROM s JOIN f USING (n_tile) WHERE var > 1e-6)
-SELECT n_tile, any_value(n) AS n, round(any_value(sw), 4) AS weight, round(any_value(slope), 5) AS slope, round(any_value(shift), 4) AS intercept, round(sqrt(sum(w * (v - slope * u - shift) ** 2) / any_value(sw)), 4) AS rms FROM k JOIN l USING (n_tile) GROUP BY n_tile""")
+SELECT n_tile, any_value(n) AS n, round(any_value(sw), 4) AS weight, round(any_value(slope), 5) AS slope, round(any_value(shift), 4) + 0.0 AS intercept, round(sqrt(sum(w * (v - slope * u - shift) ** 2) / any_value(sw)), 4) AS rms FROM k JOIN l USING (n_tile) GROUP BY n_tile""")
 def scan_regression(spark, sf_dir):
     """Weighted line of measured over programmed disparity by tile, with what it leaves: moments in one shuffle, about
     a fixed middle so that little cancels."""
@@ -284,7 +284,7 @@ def scan_regression(spark, sf_dir):
     s = meas(spark, sf_dir).where("strength > 0.1").groupBy("n_tile").agg(F.count("*").alias("n"), *(F.sum(m).alias(k) for k, m in moments.items()))
     s = s.selectExpr("n_tile", "n", "sw", "su / sw as mu", "sv / sw as mv", "suu - su * su / sw as var", "suv - su * sv / sw as cov", "svv - sv * sv / sw as left_over").where("var > 1e-6")
     s = s.withColumn("slope", F.col("cov") / F.col("var"))
-    return s.select("n_tile", "n", F.round("sw", 4).alias("weight"), F.round("slope", 5).alias("slope"), F.round(F.expr("mv + 25 - slope * (mu + 25)"), 4).alias("intercept"), F.round(F.sqrt(F.expr("greatest(left_over - slope * cov, 0) / sw")), 4).alias("rms"))
+    return s.select("n_tile", "n", F.round("sw", 4).alias("weight"), F.round("slope", 5).alias("slope"), (F.round(F.expr("mv + 25 - slope * (mu + 25)"), 4) + F.lit(0.0)).alias("intercept"), F.round(F.sqrt(F.expr("greatest(left_over - slope * cov, 0) / sw")), 4).alias("rms"))
 
 
 @query(f"""WITH {TILE}, s AS (SELECT CASE WHEN x % 17 = 0 THEN -1 WHEN y % 13 = 0 THEN -2 WHEN strength < 0.75 THEN 0 ELSE 1 + floor(disparity / 10)::INT END AS state FROM tile)
@@ -334,10 +334,7 @@ def trusted_density(spark, sf_dir):
     return s.select("n_tile", F.round(F.when(den > 0, num / den).otherwise(0), 6).alias("density"))
 
 
-_NORTH = ((0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1))
-
-
-@query(f"""WITH {MEAS}, t AS (SELECT n_tile, x, y, avg(target) AS d, max(strength) AS w FROM meas WHERE pass_id = 3 GROUP BY ALL), k AS (SELECT * FROM (VALUES (0, 0, 0), {', '.join(str((i + 1, *d)) for i, d in enumerate(_NORTH))}) v(mask, ux, uy)),
+@query(f"""WITH {MEAS}, t AS (SELECT n_tile, x, y, avg(target) AS d, max(strength) AS w FROM meas WHERE pass_id = 3 GROUP BY ALL), k AS (SELECT * FROM (VALUES (0, 0, 0), {', '.join(str((i + 1, *d)) for i, d in enumerate(grid.RING8))}) v(mask, ux, uy)),
 p AS (SELECT a.n_tile, mask, sum(b.w) AS sw, sum(b.w * b.d) AS sd, sum(b.w * b.d * b.d) AS sdd FROM t a JOIN t b ON abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 CROSS JOIN k WHERE (b.x - a.x) * ux + (b.y - a.y) * uy >= 0 AND b.w >= 0.2 GROUP BY ALL),
 v AS (SELECT n_tile, mask, sd / sw AS mean, round(sdd / sw - (sd / sw) ** 2, 5) AS var FROM p)
 SELECT n_tile, min_by(mask, (var, mask)) AS mask, round(min_by(mean, (var, mask)), 5) AS mean FROM v WHERE mean BETWEEN 5 AND 27 GROUP BY n_tile""")
@@ -348,7 +345,7 @@ def far_masks(spark, sf_dir):
     around = F.explode(grid.offsets([(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3)]))
     sent = t.where("w >= 0.2").select("d", "w", "x", "y", around.alias("o")).select((F.col("x") - F.col("o.dx")).alias("x"), (F.col("y") - F.col("o.dy")).alias("y"), "o.dx", "o.dy", "d", "w")
     sums = []
-    for k, (ux, uy) in enumerate(((0, 0), *_NORTH)):
+    for k, (ux, uy) in enumerate(((0, 0), *grid.RING8)):
         inside = F.col("dx") * ux + F.col("dy") * uy >= 0
         sums += [F.sum(F.when(inside, v)).alias(f"{n}{k}") for n, v in (("sw", F.col("w")), ("sd", F.col("w") * F.col("d")), ("sdd", F.col("w") * F.col("d") * F.col("d")))]
     p = t.select("n_tile", "x", "y").join(sent, ["x", "y"]).groupBy("n_tile").agg(*sums)
