@@ -1,9 +1,11 @@
-"""Transforms of fixed-length tiles (8 x 8 values in an array, row by row) as array expressions."""
+"""Transforms of fixed-length tiles (8 x 8 values in an array, row by row), as column functions."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,15 +27,21 @@ def dst_basis() -> list[list[float]]:
 
 
 def applied(tile: Column, rows: list[list[float]], cols: list[list[float]]) -> Column:
-    """rows x tile x transposed(cols): a separable transform of the tile, as an array of 64."""
-    left = F.array(*(F.array(*(F.lit(v) for v in r)) for r in rows))
-    right = F.array(*(F.array(*(F.lit(v) for v in r)) for r in cols))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    lines = F.transform(F.sequence(F.lit(0), F.lit(SIZE - 1)), lambda i: F.slice(tile, i * SIZE + 1, SIZE))
-    by_row = F.transform(lines, lambda line: F.transform(right, lambda c: dot(line, c)))
-    turned = F.transform(F.sequence(F.lit(1), F.lit(SIZE)), lambda k: F.transform(by_row, lambda line: F.element_at(line, k)))
-    done = F.transform(turned, lambda column: F.transform(left, lambda r: dot(column, r)))
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(SIZE)), lambda k: F.transform(done, lambda column: F.element_at(column, k))))
+    """rows x tile x transposed(cols): a separable transform of the tile, as an array of 64. Two matrix
+    products for each Arrow batch of tiles; a tile that is null, or hasn't 64 values, gives null."""
+    left, right = np.array(rows), np.array(cols).T
+
+    @F.arrow_udf("array<double>")
+    def product(tiles: pa.Array) -> pa.Array:
+        whole = np.flatnonzero(tiles.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) == SIZE * SIZE)
+        values = tiles.take(pa.array(whole)).flatten().to_numpy(zero_copy_only=False).reshape(-1, SIZE, SIZE)
+        done = (left @ values @ right).ravel()
+        there = np.zeros(len(tiles), bool)
+        there[whole] = True
+        ends = np.concatenate(([0], np.cumsum(there * SIZE * SIZE))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(done), mask=pa.array(~there))
+
+    return product(tile.cast("array<double>"))
 
 
 def position_of_max(tile: Column, least: float) -> Column:

@@ -88,7 +88,8 @@ def clusters(selection: DataFrame, steps=RING4) -> DataFrame:
         if now == before:
             break
         before = now
-    return label.select((F.col("a") % (1 << 32)).alias("x"), F.shiftright("a", 32).alias("y"), F.col("l").alias("cluster"))
+    above = F.col("a") + F.lit(1 << 31)  # x may be negative, from -2^31 on
+    return label.select((above.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).alias("x"), F.shiftright(above, 32).alias("y"), F.col("l").alias("cluster"))
 
 
 def closed(selection: DataFrame, steps: int, grid: DataFrame, poison: DataFrame | None = None) -> DataFrame:

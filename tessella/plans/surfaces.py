@@ -11,6 +11,9 @@ from .views import FRAME, MEAS, TILE, frame, meas, table, tile
 Q: dict = {}
 SQL: dict[str, str] = {}
 
+#: Rows of a block of calibration rows, in the mean.
+BLOCK = 1000
+
 
 def query(sql: str):
     def add(f):
@@ -173,10 +176,13 @@ def second_offsets(spark, sf_dir):
 @query(f"""WITH {MEAS}, c AS (SELECT pass_id, avg(target) AS t, avg(price) AS p FROM meas GROUP BY pass_id)
 SELECT m.n_tile, m.src, m.pass_id, min_by(c.pass_id, (round((m.target - c.t) ** 2 + ((m.price - c.p) / 10000) ** 2, 6), c.pass_id)) AS nearest FROM meas m, c WHERE m.strength >= 0.78 GROUP BY m.n_tile, m.src, m.pass_id, m.target, m.price""")
 def nearest_calibration(spark, sf_dir):
-    """The calibration row of least weighted squared error; that table has a row for each pass and goes
-    into the plan as an array."""
+    """The calibration row of least weighted squared error. Calibration rows are dealt to blocks of some
+    BLOCK rows; each measurement meets every block, and the least of its blocks' nearest rows counts."""
     m = meas(spark, sf_dir)
-    c = m.groupBy("pass_id").agg(F.avg("target").alias("t"), F.avg("price").alias("p")).agg(F.collect_list(F.struct("pass_id", "t", "p")).alias("c"))
+    c = m.groupBy("pass_id").agg(F.avg("target").alias("t"), F.avg("price").alias("p"))
+    blocks = -(-c.count() // BLOCK) or 1
+    c = c.groupBy(F.pmod(F.xxhash64("pass_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("pass_id", "t", "p")).alias("c"))
     error = lambda r: F.struct(F.round(F.pow(F.col("target") - r["t"], 2) + F.pow((F.col("price") - r["p"]) / 10000, 2), 6).alias("e"), r["pass_id"].alias("k"))
-    found = m.where("strength >= 0.78").join(F.broadcast(c)).select("n_tile", "src", "pass_id", "target", "price", F.array_min(F.transform("c", error))["k"].alias("nearest"))
-    return found.groupBy("n_tile", "src", "pass_id", "target", "price").agg(F.min("nearest").alias("nearest")).drop("target", "price")
+    met = m.where("strength >= 0.78").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(c, "block")
+    near = met.select("n_tile", "src", "pass_id", "target", "price", F.array_min(F.transform("c", error)).alias("near"))
+    return near.groupBy("n_tile", "src", "pass_id", "target", "price").agg(F.min("near")["k"].alias("nearest")).drop("target", "price")

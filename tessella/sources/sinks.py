@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed
+
 
 def mesh_lines(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """(cluster, part, number, line) of a Wavefront mesh.
 
     vertices (cluster, k, x, y, z) and faces (cluster, a, b, c) count vertices from 0 within their
-    cluster; the file counts all from 1. Clusters, not vertices, meet in the one running total.
+    cluster; the file counts all from 1. Clusters are counted within ranges, each a task's own; only the
+    ranges' totals, as many as shuffle partitions, meet in one running total.
     """
-    sizes = vertices.groupBy("cluster").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("cluster").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("cluster", "before")
+    sizes = vertices.groupBy("cluster").agg(F.count("*").alias("n")).repartitionByRange("cluster")
+    sizes = checkpointed(sizes.withColumn("range", F.spark_partition_id()))
+    so_far = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = sizes.groupBy("range").agg(F.sum("n").alias("n")).select("range", so_far(Window.orderBy("range")).alias("ahead"))
+    within = sizes.withColumn("own", so_far(Window.partitionBy("range").orderBy("cluster")))
+    before = within.join(F.broadcast(ranges), "range").select("cluster", (F.col("own") + F.col("ahead")).alias("before"))
     v = vertices.join(before, "cluster").select("cluster", F.lit(0).alias("part"), (F.col("before") + F.col("k") + 1).alias("number"), F.format_string("v %.5f %.5f %.5f", "x", "y", "z").alias("line"))
     at = lambda c: F.col("before") + F.col(c) + 1
     f = faces.join(before, "cluster").select("cluster", F.lit(1).alias("part"), at("a").alias("number"), F.format_string("f %d %d %d", at("a"), at("b"), at("c")).alias("line"))

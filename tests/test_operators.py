@@ -173,3 +173,43 @@ def test_streams_of_many_unordered_files(spark, tmp_path):
     assert key(streams.stream_alignment(spark, folder)) == key(pairs.select("a.user_id", "a.event_id", "b.event_id")) != []
     averages = events.groupBy("user_id", F.to_date("ts")).agg(F.count("*").alias("n"))
     assert sorted(r["n"] for r in streams.stream_window_average(spark, folder).collect()) == sorted(r["n"] for r in averages.collect())
+
+
+def test_clusters_left_of_and_above_the_origin(spark):
+    got = grid.clusters(spark.createDataFrame([(-1, -1), (0, -1), (0, 0), (5, -3), (-7, 2)], "x long, y long")).collect()
+    assert {(r["x"], r["y"]) for r in got} == {(-1, -1), (0, -1), (0, 0), (5, -3), (-7, 2)}
+    assert len({r["cluster"] for r in got}) == 3
+
+
+def test_transform_of_tiles_without_64_values(spark):
+    basis = signal.dct_basis(2)
+    rows = [(0, None), (1, [1.0] * 63), (2, [1.0] * 64), (3, [])]
+    got = {r["i"]: r["v"] for r in spark.createDataFrame(rows, "i int, t array<double>").select("i", signal.applied(F.col("t"), basis, basis).alias("v")).collect()}
+    assert got[0] is None and got[1] is None and got[3] is None
+    assert np.allclose(got[2], [8.0] + [0.0] * 63)
+    none = spark.createDataFrame([], "t array<double>").select(signal.applied(F.col("t"), basis, basis).alias("v"))
+    assert none.collect() == []
+
+
+def test_mesh_numbers_over_many_ranges(spark):
+    sizes = {c: c % 3 + 1 for c in range(60)}
+    v = spark.createDataFrame([(c, k, 0.0, 0.0, 0.0) for c, n in sizes.items() for k in range(n)], "cluster long, k long, x double, y double, z double")
+    f = spark.createDataFrame([(c, 0, 0, 0) for c in sizes], "cluster long, a long, b long, c long")
+    lines = sinks.mesh_lines(v, f).orderBy("part", "cluster", "number").collect()
+    assert [r["number"] for r in lines if r["part"] == 0] == list(range(1, sum(sizes.values()) + 1))
+    firsts = [1 + sum(sizes[d] for d in range(c)) for c in range(60)]
+    assert [r["number"] for r in lines if r["part"] == 1] == firsts
+
+
+def test_nearest_calibration_over_many_blocks(spark, monkeypatch):
+    import os
+
+    from tessella import registry
+    from tessella.plans import surfaces
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    whole = registry.queries()["nearest_calibration"](spark, sf).collect()
+    monkeypatch.setattr(surfaces, "BLOCK", 2)
+    assert sorted(registry.queries()["nearest_calibration"](spark, sf).collect()) == sorted(whole)
