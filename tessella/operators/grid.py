@@ -6,7 +6,7 @@ coordinates, so they hash-partition like any join, whatever the grid's size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import checkpointed
@@ -71,23 +71,36 @@ def prune_few_neighbours(selection: DataFrame, least: int, rounds: int | None =
 
 
 def clusters(selection: DataFrame, steps=RING4) -> DataFrame:
-    """(x, y, cluster) with cluster the smallest (y, x) code of the connected tiles. Labels spread over
-    edges and jump to their own label's label, so rounds grow with the logarithm of the diameter."""
-    nodes = selection.select("x", "y").distinct()
+    """(x, y, cluster) with cluster the smallest (y, x) code of the connected tiles. Where neighbours of a
+    row are steps, its runs are contracted to their first tiles at once, so that only links between rows
+    are left. Labels then spread over links and jump twice to their own label's label, so rounds grow with
+    the logarithm of the diameter."""
     code = F.col("y") * F.lit(1 << 32) + F.col("x")
-    other = (F.col("y") + F.col("dy")) * F.lit(1 << 32) + F.col("x") + F.col("dx")
-    edges = checkpointed(pairs(nodes, [], steps).select(code.alias("a"), other.alias("b")))
-    label = checkpointed(nodes.select(code.alias("a"), code.alias("l")))
+    row = Window.partitionBy("y").orderBy("x")
+    nodes = selection.select("x", "y").distinct()
+    if (1, 0) in steps:
+        begins = F.when(F.lag("x").over(row).eqNullSafe(F.col("x") - 1), F.lit(None)).otherwise(code)
+        nodes = nodes.withColumn("begins", begins).withColumn("r", F.last("begins", True).over(row)).drop("begins")
+        steps = [s for s in steps if s[1]]
+    else:
+        nodes = nodes.withColumn("r", code)
+    nodes = checkpointed(nodes)
+    edges = pairs(nodes, ["r"], steps).join(nodes, ["x", "y"]).select(F.col("r").alias("a"), F.col("n_r").alias("b")).where("a <> b")
+    edges = checkpointed(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("l"))
     before = None
     while True:
-        near = edges.join(label.withColumnRenamed("a", "b").withColumnRenamed("l", "m"), "b").groupBy("a").agg(F.min("m").alias("m"))
-        least = label.join(near, "a", "left").select("a", F.least("l", F.coalesce("m", "l")).alias("l"))
-        hop = least.select(F.col("a").alias("l"), F.col("l").alias("j"))
-        label = checkpointed(least.join(hop, "l", "left").select("a", F.least("l", F.coalesce("j", "l")).alias("l")))
+        for _ in range(2):
+            hop = label.select(F.col("a").alias("l"), F.col("l").alias("j"))
+            label = label.join(hop, "l").select("a", F.col("j").alias("l"))
+        label = checkpointed(label)
         now = label.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()[0]
         if now == before:
             break
         before = now
+        near = edges.join(label.select(F.col("a").alias("b"), F.col("l").alias("m")), "b").groupBy("a").agg(F.min("m").alias("m"))
+        label = label.join(near, "a").select("a", F.least("l", "m").alias("l"))
+    label = nodes.join(label.withColumnRenamed("a", "r"), "r", "left").select(code.alias("a"), F.coalesce("l", "r").alias("l"))
     above = F.col("a") + F.lit(1 << 31)  # x may be negative, from -2^31 on
     return label.select((above.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).alias("x"), F.shiftright(above, 32).alias("y"), F.col("l").alias("cluster"))
 
