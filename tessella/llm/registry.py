@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import op02_warc as op02
 from . import op03_decontamination as op03
+from . import op11_prefix_trie as op11
+from . import op12_ranked_search as op12
+from . import op13_suffix_repeats as op13
 from .op01_embeddings import op1_embedding_neardup
 from .op04_packing import op4_best_fit_packing
 from .op05_language import op5_language_id
@@ -31,8 +34,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repeated_passages": op8_repeated_passages,
         "op9_toxicity_severity": op9_toxicity_severity,
         "op10_url_filter": op10_url_filter,
+        "op11_prefix_trie": op11.op11_prefix_trie,
+        "op12_ranked_search": op12.op12_ranked_search,
+        "op13_suffix_repeats": op13.op13_suffix_repeats,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_segments": op02.ORACLE_SQL, "op3_benchmark_decontamination": op03.ORACLE_SQL}
+    return {
+        "op2_warc_segments": op02.ORACLE_SQL,
+        "op3_benchmark_decontamination": op03.ORACLE_SQL,
+        "op11_prefix_trie": op11.ORACLE_SQL,
+        "op12_ranked_search": op12.ORACLE_SQL,
+        "op13_suffix_repeats": op13.ORACLE_SQL,
+    }
