@@ -40,8 +40,12 @@ def test_query(spark, name):
     assert rows(got) == rows(want)
 
 
-def test_every_query_has_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+#: Fits by steps, which tests/test_marquardt.py holds against plain ones.
+WITHOUT_SQL = {"peak_fits", "joint_focus"}
+
+
+def test_every_other_query_has_sql():
+    assert set(registry.queries()) - WITHOUT_SQL == set(registry.oracle_sql())
 
 
 def test_entry_without_the_corpus_operators():
