@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df.checkpoint() in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: unlike a checkpoint it carries no constraints along, which
+    grow with each round of a loop over joins. Whoever owns the folder clears it."""
+    path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
