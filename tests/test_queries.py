@@ -40,8 +40,8 @@ def test_query(spark, name):
     assert rows(got) == rows(want)
 
 
-#: Fits by steps, which tests/test_marquardt.py holds against plain ones.
-WITHOUT_SQL = {"peak_fits", "joint_focus"}
+#: Work by steps, which tests/test_marquardt.py and tests/test_surfaces.py hold against plain versions.
+WITHOUT_SQL = {"peak_fits", "joint_focus", "split_layers", "front_growth"}
 
 
 def test_every_other_query_has_sql():
