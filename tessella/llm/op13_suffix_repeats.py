@@ -212,7 +212,7 @@ def chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield row()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return staged(rows.mapInArrow(pack, f"chunk long, ids array<{kind}>, ends array<long>, data binary"), "chunks")
+    return staged(rows.mapInArrow(pack, f"chunk long, ids array<{kind}>, ends array<long>, data binary"), "chunks", "zstd")
 
 
 def _opened(batch: pa.RecordBatch, ranges: int):
