@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import surfaces
+from ..operators import planes, surfaces
 from ..shared import written
 from .views import MEAS, meas
 
@@ -114,3 +114,48 @@ def front_growth(spark, sf_dir):
     forbidden = nodes.groupBy("tile").agg(F.max("surface").alias("top")).where("top < 20").select("tile", F.lit(None).cast("long").alias("node"))
     taken, wanted = surfaces.fronts(strong.join(forbidden, "tile", "left_anti").union(forbidden), nodes, links, 0.6, 0.7, 20.0, 20.0, 20.0)
     return taken.join(wanted, "tile", "left")
+
+
+_PLANES = f"""{_LINKS}, plane AS (SELECT node, surface AS d, (disparity - 25) / 100 AS tx, strength - 0.4 AS ty, 1 + strength AS weight FROM layer), l AS (SELECT * FROM link WHERE dir % 2 = 0)"""
+_MID = "(a.d + a.tx * s.dx / 2 + a.ty * s.dy / 2 - b.d + b.tx * s.dx / 2 + b.ty * s.dy / 2)"
+
+
+def _planes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Planes of the layers, and their links across and along columns."""
+    nodes, links = _scene(spark, sf_dir)
+    found = nodes.select("node", F.col("surface").cast("double").alias("d"), ((F.col("disparity") - 25) / 100).alias("tx"), (F.col("strength") - 0.4).alias("ty"), (1 + F.col("strength")).alias("weight"))
+    return found, links.where("dir % 2 = 0")
+
+
+@query(f"""WITH {_PLANES}, sq AS (SELECT p.a AS p, p.b AS q, r.b AS r, s.b AS s FROM l p JOIN l r ON r.a = p.a AND r.dir = 4 JOIN l s ON s.a = p.b AND s.dir = 4 JOIN l t ON t.a = r.b AND t.dir = 2 AND t.b = s.b WHERE p.dir = 2),
+w AS (SELECT p AS a, s AS b, 3 AS dir FROM sq UNION SELECT q, r, 5 FROM sq), ways AS (SELECT * FROM w UNION SELECT b, a, (dir + 4) % 8 FROM w),
+priced AS (SELECT w.a, w.b, w.dir, round({_MID} ** 2 + (a.tx - b.tx) ** 2 + (a.ty - b.ty) ** 2, 9) AS cost FROM ways w JOIN step s USING (dir) JOIN plane a ON a.node = w.a JOIN plane b ON b.node = w.b),
+cheap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, dir ORDER BY cost, least(a, b), greatest(a, b)) AS k FROM priced WHERE cost <= 0.5) WHERE k = 1)
+SELECT a, b, dir::INT AS dir FROM l UNION ALL SELECT x.a, x.b, x.dir::INT FROM cheap x JOIN cheap y ON y.a = x.b AND y.b = x.a AND y.dir = (x.dir + 4) % 8""")
+def square_links(spark, sf_dir):
+    """Links of planes, and the diagonals of the squares that they make."""
+    found, links = _planes(spark, sf_dir)
+    return planes.fill_squares(links, found, 0.5)
+
+
+@query(None)
+def corner_links(spark, sf_dir):
+    """Links of planes, and those that close corners until none is left to close."""
+    found, links = _planes(spark, sf_dir)
+    return planes.cut_corners(links, found, 0.5)
+
+
+def _step(k: int) -> str:
+    p = f"s{k - 1}" if k > 1 else "plane"
+    carried = {"d": "b.d - b.tx * s.dx - b.ty * s.dy", "tx": "b.tx", "ty": "b.ty"}
+    near = ", ".join(f"sum(b.weight * ({v})) AS {c}" for c, v in carried.items())
+    goal = ", ".join(f"0.5 * p.{c} + 0.5 * coalesce((0.5 * m.weight * m.{c} + n.{c}) / (0.5 * m.weight + n.w), m.{c}) AS {c}" for c in carried)
+    return f"n{k} AS (SELECT l.a AS node, sum(b.weight) AS w, {near} FROM l JOIN step s USING (dir) JOIN {p} b ON b.node = l.b GROUP BY l.a), s{k} AS (SELECT p.node, {goal}, p.weight FROM {p} p JOIN plane m USING (node) LEFT JOIN n{k} n USING (node))"
+
+
+@query(f"WITH {_PLANES}, {_step(1)}, {_step(2)} SELECT node, round(d, 6) + 0 AS d, round(tx, 6) + 0 AS tx, round(ty, 6) + 0 AS ty FROM s2")
+def smoothed_planes(spark, sf_dir):
+    """Two steps of smoothing linked planes."""
+    found, links = _planes(spark, sf_dir)
+    now, _ = planes.smoothed(found, links, 0.5, 2)
+    return now.select("node", *((F.round(c, 6) + 0).alias(c) for c in ("d", "tx", "ty")))
