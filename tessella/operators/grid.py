@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import checkpointed
+from ..shared import checkpointed, written
 
 RING4 = ((0, -1), (1, 0), (0, 1), (-1, 0))
 RING8 = ((0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1))
@@ -84,16 +84,16 @@ def clusters(selection: DataFrame, steps=RING4) -> DataFrame:
         steps = [s for s in steps if s[1]]
     else:
         nodes = nodes.withColumn("r", code)
-    nodes = checkpointed(nodes)
+    nodes = written(nodes)
     edges = pairs(nodes, ["r"], steps).join(nodes, ["x", "y"]).select(F.col("r").alias("a"), F.col("n_r").alias("b")).where("a <> b")
-    edges = checkpointed(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    edges = written(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("l"))
     before = None
     while True:
         for _ in range(2):
             hop = label.select(F.col("a").alias("l"), F.col("l").alias("j"))
             label = label.join(hop, "l").select("a", F.col("j").alias("l"))
-        label = checkpointed(label)
+        label = written(label)
         now = label.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()[0]
         if now == before:
             break
@@ -138,3 +138,33 @@ def spread(seeds: DataFrame, tiles: DataFrame, absolute: float, relative: float,
         front = checkpointed(step.join(reached, ["x", "y"], "left_anti"))
         reached = checkpointed(reached.union(front))
     return reached
+
+
+def background(tiles: DataFrame, near: float, sure: float, maybe: float, most: float, least_seed: int = 1, least_block: int = 1) -> DataFrame:
+    """(x, y) of background tiles, of tiles (x, y, disparity, strength, differences).
+
+    Seeds have an absolute disparity below near and a strength of at least sure. Tiles of a positive disparity from near on and a
+    strength above maybe are foreground. A tile whose second largest of its channels' differences exceeds `most`
+    blocks: one channel may be wrong alone, two aren't. Clusters (eight ways) of fewer than least_seed seeds or of fewer than
+    least_block foreground tiles don't count. Seeds spread up, down and sideways through what neither is foreground nor blocks, as
+    far as it reaches: all of a cluster that holds a seed, so rounds don't follow its length. Tiles of null disparity or
+    strength are neither seeds nor foreground; fewer than two differences don't block.
+    """
+    close, positive = F.abs("disparity") < near, F.col("disparity") > 0
+    flags = {
+        "seed": close & (F.col("strength") >= sure),
+        "front": ~close & positive & (F.col("strength") > maybe),
+        "block": F.get(F.sort_array("differences", asc=False), F.lit(1)) > most,
+    }
+    marked = written(tiles.select("x", "y", *(F.coalesce(v, F.lit(False)).alias(k) for k, v in flags.items())))
+
+    def large(flag: str, least: int) -> DataFrame:
+        found = marked.where(flag).select("x", "y", F.lit(0.0).alias("weight"))
+        return (without_small_clusters(found, least, steps=RING8) if least > 1 else found).select("x", "y", F.lit(True).alias(f"large_{flag}"))
+
+    kept = marked.join(written(large("seed", least_seed)), ["x", "y"], "left").join(written(large("front", least_block)), ["x", "y"], "left")
+    kept = kept.select("x", "y", "block", *(F.coalesce(f"large_{k}", F.lit(False)).alias(k) for k in ("seed", "front")))
+    room = written(kept.where("seed or not (front or block)").select("x", "y", "seed"))
+    labelled = written(room.join(clusters(room.select("x", "y"), RING4), ["x", "y"]))
+    sown = labelled.where("seed").select("cluster").distinct()
+    return labelled.join(sown, "cluster", "left_semi").select("x", "y")

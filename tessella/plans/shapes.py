@@ -119,3 +119,22 @@ def clusters_of_weight(spark, sf_dir):
     """Tiles of clusters of enough tiles and weight."""
     t = tile(spark, sf_dir).where("disparity >= 50 and strength >= 0.8").select("x", "y", F.round(F.col("resid") + 0.05, 4).alias("weight"))
     return grid.without_small_clusters(t, 2)
+
+
+def _bigger(flag: str, least: int, out: str) -> str:
+    """Tiles of eight-way clusters of a flag with enough tiles."""
+    return f"""{out}_r AS (SELECT x, y, x AS tx, y AS ty FROM mark WHERE {flag} UNION SELECT r.x, r.y, n.x, n.y FROM {out}_r r JOIN mark n ON n.{flag} AND abs(n.x - r.tx) <= 1 AND abs(n.y - r.ty) <= 1),
+{out} AS (SELECT x, y FROM {out}_r GROUP BY x, y HAVING count(*) >= {least})"""
+
+
+@query(f"""WITH RECURSIVE {TILE}, mark AS (SELECT x, y, abs(disparity - 47) < 2 AND round(strength + resid, 4) >= 0.75 AS seed, disparity - 47 >= 2 AND round(strength + resid, 4) > 0.75 AS front,
+  list_sort([resid + 0.05, strength - weakest, (disparity * 7 + n_tile) % 11 / 11, (n * 5 + n_tile) % 13 / 13], 'DESC')[2] > 0.72 AS block FROM tile),
+{_bigger('seed', 3, 'seeds')}, {_bigger('front', 2, 'fronts')},
+room AS (SELECT m.x, m.y FROM mark m LEFT JOIN fronts f USING (x, y) LEFT JOIN seeds s USING (x, y) WHERE s.x IS NOT NULL OR NOT (f.x IS NOT NULL OR m.block)),
+reach AS (SELECT x, y FROM seeds UNION SELECT n.x, n.y FROM reach r JOIN room n ON abs(n.x - r.x) + abs(n.y - r.y) = 1) SELECT x, y FROM reach""")
+def background_mask(spark, sf_dir):
+    """Tiles that the background reaches from sure tiles, between foreground and what two channels deny."""
+    t = tile(spark, sf_dir)
+    differences = F.array(F.col("resid") + 0.05, F.col("strength") - F.col("weakest"), (F.col("disparity") * 7 + F.col("n_tile")) % 11 / 11, (F.col("n") * 5 + F.col("n_tile")) % 13 / 13)
+    seen = t.select("x", "y", (F.col("disparity") - 47).alias("disparity"), F.round(F.col("strength") + F.col("resid"), 4).alias("strength"), differences.alias("differences"))
+    return grid.background(seen, 2.0, 0.75, 0.75, 0.72, 3, 2)
