@@ -27,8 +27,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: unlike a checkpoint it carries no constraints along, which
-    grow with each round of a loop over joins. Whoever owns the folder clears it."""
+    """df written as Parquet in the shared folder and read again: for loops over joins, whose rounds took ever longer when
+    each built on a checkpoint. Whoever owns the folder clears it."""
     path = f"{shared_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
