@@ -147,6 +147,73 @@ def test_alignment(seed):
     assert (got >= 0.8) == (want >= 0.8) and (got == 0 or abs(got - want) < 0.03)
 
 
+def plain_common(a, b):
+    """Longest common subsequence by the table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_words_are_aligned_as_by_the_table(seed):
+    rng = np.random.default_rng(seed)
+    kinds = int(rng.choice([3, 30, 3000]))
+    a = rng.integers(0, kinds, int(rng.integers(1, 260))).tolist()
+    b = list(a)
+    for _ in range(int(len(a) * rng.uniform(0, 0.25))):
+        at, what = int(rng.integers(0, len(b) + 1)), int(rng.integers(0, 3))
+        b[at : at + (what > 0)] = [] if what == 2 else [int(rng.integers(0, kinds))]
+    n = plain_common(a, b)
+    want = n / (len(a) + len(b) - n)
+    got = op07_order_minhash.similarity(np.array(a, np.uint64), np.array(b, np.uint64))
+    assert (got >= 0.8) == (want >= 0.8) and got <= want + 1e-9
+    assert op07_order_minhash.aligned(np.array(a), np.array(b), max(len(a), len(b)), 0) == n
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_near_duplicates_against_all_pairs(spark, sf):
+    """Every pair of texts of 20 words and more that is alike by the plain table ends in one component, and every
+    component hangs together by such pairs."""
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "text")
+    words = {r["doc_id"]: word_hashes(r["text"] or "").tolist() for r in docs.collect()}
+    got = {r["doc_id"]: r["component_id"] for r in op07_order_minhash.near_duplicates(docs).collect()}
+    ids = sorted(words)
+    counts = {k: np.bincount(np.array(words[k], np.uint64) % np.uint64(1024), minlength=1024) if words[k] else np.zeros(1024, int) for k in ids}
+    table = np.array([counts[k] for k in ids])
+    size, parent = table.sum(1), {k: k for k in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r, a in enumerate(ids):
+        both = np.minimum(table[r], table[r + 1 :]).sum(1)
+        for q in np.flatnonzero((both > 0) & (both >= 0.8 * (size[r] + size[r + 1 :] - both))):
+            b = ids[r + 1 + q]
+            alike = words[a] == words[b] or op07_order_minhash.aligned(np.array(words[a]), np.array(words[b]), max(len(words[a]), len(words[b])), 0) * 1.8 >= 0.8 * (len(words[a]) + len(words[b]))
+            if alike:
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+                assert min(len(words[a]), len(words[b])) < 20 or got[a] == got[b]
+    assert all(root(k) == root(got[k]) for k in ids)
+
+
+def test_near_duplicates_by_edits(spark):
+    """Nine words of ten in order are alike, wherever the others are; the same words in another order aren't."""
+    base = prose(5, 400)
+    changed = [f"y{k}" if k % 11 == 5 else w for k, w in enumerate(base)]
+    cut = [w for k, w in enumerate(base) if k % 12 != 7]
+    turned = base[200:] + base[:200]
+    long = prose(6, 60_000)
+    texts = [(1, base), (2, changed), (3, cut), (4, turned), (5, long), (6, [w for k, w in enumerate(long) if k % 50])]
+    df = spark.createDataFrame([(k, " ".join(t), 1, 2) for k, t in texts], "doc_id long, text string, class int, rep int")
+    got = {r["doc_id"]: r["component_id"] for r in op07_order_minhash.near_duplicates(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
+
+
 def test_bucket_links_connect_what_hangs_together(spark):
     # one bucket of many, in which each is like its neighbours only: no leader is like all
     rows = [(k, [7, 100 + k // 40]) for k in range(400)]
