@@ -111,15 +111,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
 LEADERS, BLOCK, BLOCK_BYTES = 8, 2048, 2 << 20
 
 
-def bucket_links(reps: DataFrame, runs_of, alike, agree: int, opened=lambda x: x) -> DataFrame:
+def bucket_links(reps: DataFrame, runs_of, alike, agree: int, opened=lambda x: x, leaders: int = LEADERS, outline=None, may=None) -> DataFrame:
     """Verified links (a, b) among texts that share a sketch, enough of them to connect whatever is
     connected; a bucket of any size neither meets in one task nor makes all its pairs.
 
     reps: (rep, sketches), one row a text; sketches is an array of longs of which equal numbers at one
     place make a bucket. runs_of(ids (rep)) -> (rep, runs binary) of those texts. alike(x, y) decides on
     two runs, each as `opened` makes it of an array of uint64. agree: equal sketches that two similar texts have all but surely.
+    leaders: how many members of a bucket all are held against first; what is connected doesn't depend on it, but how many
+    redundant links come out does. outline(run) -> array and may(outline of one, outlines of many) -> booleans rule out
+    pairs of a block by numpy; they must let every pair through that alike accepts.
 
-    1. Each member is held against up to LEADERS members of its bucket.
+    1. Each member is held against up to `leaders` members of its bucket.
     2. Of buckets that have more members than leaders and aren't all connected by that, the members outside the bucket's first
        component are held against all others, in pairs of blocks; only what links two components that
        the block has not yet joined comes out.
@@ -128,11 +131,11 @@ def bucket_links(reps: DataFrame, runs_of, alike, agree: int, opened=lambda x: x
     import pyarrow as pa
 
     buckets = reps.select("rep", F.posexplode("sketches").alias("band", "bucket"))
-    slot = F.pmod(F.xxhash64("rep"), F.lit(LEADERS))
+    slot = F.pmod(F.xxhash64("rep"), F.lit(leaders))
     heads = buckets.groupBy("band", "bucket").agg(
-        F.count("*").alias("n"), *(F.min(F.when(slot == k, F.col("rep"))).alias(f"of_{k}") for k in range(LEADERS))
+        F.count("*").alias("n"), *(F.min(F.when(slot == k, F.col("rep"))).alias(f"of_{k}") for k in range(leaders))
     )
-    heads = heads.where("n > 1").select("band", "bucket", "n", F.array_compact(F.array(*(f"of_{k}" for k in range(LEADERS)))).alias("leaders"))
+    heads = heads.where("n > 1").select("band", "bucket", "n", F.array_compact(F.array(*(f"of_{k}" for k in range(leaders)))).alias("leaders"))
     shared = staged(buckets.join(heads, ["band", "bucket"]), "shared")
     pairs = shared.select("rep", F.explode("leaders").alias("leader")).where("rep <> leader")
     pairs = pairs.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
@@ -190,11 +193,15 @@ def bucket_links(reps: DataFrame, runs_of, alike, agree: int, opened=lambda x: x
                 hits: tuple[list, list] = ([], [])
                 # those of the first component meet only the others
                 everyone, others_j = np.arange(len(ids_j)), np.flatnonzero(outer_j)
+                shape_i, shape_j = ([np.array([outline(x) for x in r]) for r in (runs_i, runs_j)]) if may else (None, None)
                 sketch_others = sketch_j[others_j]
                 for p in range(len(ids_i)):
                     pool, sketches = (everyone, sketch_j) if outer_i[p] else (others_j, sketch_others)
                     if not len(pool):
                         continue
+                    if may:
+                        fit = may(shape_i[p], shape_j[pool])
+                        pool, sketches = pool[fit], sketches[fit]
                     same = sketches == sketch_i[p]
                     # a pair is compared in the first band that both share, once
                     for q in pool[(same.sum(1) >= agree) & (same.argmax(1) == band.as_py())]:

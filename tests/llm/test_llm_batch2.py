@@ -214,6 +214,15 @@ def test_near_duplicates_by_edits(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
 
 
+def test_outlines_let_all_alike_through():
+    rng = np.random.default_rng(1)
+    for seed in range(60):
+        a = word_hashes(" ".join(prose(seed, 60)))
+        b = np.delete(a, rng.integers(0, len(a), seed % 14))
+        if op07_order_minhash.similarity(a, b) >= 0.8:
+            assert op07_order_minhash.may_be_alike(op07_order_minhash.outline(a), np.array([op07_order_minhash.outline(b)]))[0]
+
+
 def test_bucket_links_connect_what_hangs_together(spark):
     # one bucket of many, in which each is like its neighbours only: no leader is like all
     rows = [(k, [7, 100 + k // 40]) for k in range(400)]
