@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import candidates, estimates, fitting, lapping, layered, optics, pixels, selection, series, shapes, signals, streams, surfaces
+from .plans import candidates, estimates, fitting, lapping, layered, optics, pixels, poles, selection, series, shapes, signals, streams, surfaces
 
 FLAGSHIP = "dsi_histogram"
-_ALL = (candidates, estimates, fitting, lapping, layered, optics, pixels, selection, series, shapes, signals, streams, surfaces)
+_ALL = (candidates, estimates, fitting, lapping, layered, optics, pixels, poles, selection, series, shapes, signals, streams, surfaces)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

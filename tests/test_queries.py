@@ -40,8 +40,8 @@ def test_query(spark, name):
     assert rows(got) == rows(want)
 
 
-#: Work by steps, which tests/test_marquardt.py, tests/test_surfaces.py and tests/test_planes.py hold against plain versions.
-WITHOUT_SQL = {"peak_fits", "joint_focus", "split_layers", "front_growth", "corner_links"}
+#: Work by steps, which tests/test_marquardt.py, tests/test_surfaces.py, tests/test_planes.py and tests/test_poles.py hold against plain versions.
+WITHOUT_SQL = {"peak_fits", "joint_focus", "split_layers", "front_growth", "corner_links", "pole_clusters", "merged_poles", "pole_layers", "periodic_tiles"}
 
 
 def test_every_other_query_has_sql():
