@@ -3,18 +3,24 @@
 The first three mind order, so they walk; what is walked together is cut down first. A mean lies between its members and
 a merged box within the hull of its parts, so rows on both sides of a gap wider than the limit never meet: `shards`
 numbers the parts between such gaps, axis by axis, and each is walked by itself with the result of one walk over all.
-A shard holds at most one scene's seeds, which are fewer than its tiles.
+A dense scene is one shard: Spark sorts it, and the walk streams through it, looking up only what lies in neighbouring
+cells, so its time goes with the rows. First fit forgets rows of cells that no later seed reaches, merging what later
+disparities leave behind; layers keep every box.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import product
+from math import floor
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import written
+
 #: Added to gaps, since sums of doubles may pass their hull by a rounding.
 SLACK = 1e-6
 #: Limits hold up to this, so that means that lie on one don't fall by the order of sums.
@@ -40,9 +46,35 @@ def shards(df: DataFrame, axes: list[tuple[str, str, float | None]]) -> tuple[Da
     return df, keys
 
 
-def _walked(df: DataFrame, axes: list, walk: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+def _walked(df: DataFrame, axes: list, columns: list[str], order: list, walk: Callable[[], tuple[Callable, Callable]], schema: str, ahead: Column | None = None) -> DataFrame:
+    """Shards of df, each in order, through a walk: walk() starts one and gives a function of a row (scene, columns...) and one
+    for the end; both yield rows of the schema. ahead, the least value that is still to come, is given as a last column."""
     df, keys = shards(df, axes)
-    return df.groupBy(*keys).applyInPandas(walk, schema)
+    # a number of partitions keeps small shards from being put together in a few tasks
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    if ahead is not None:
+        df, columns = df.withColumn("_ahead", F.min(ahead).over(Window.partitionBy(*keys).orderBy(F.col(order[0]).desc()))), [*columns, "_ahead"]
+    dealt = df.sortWithinPartitions(*keys, *order).select(*keys, *columns)
+    names, kinds = [c.split()[0] for c in schema.split(", ")], [pa.int64() if c.endswith("long") else pa.float64() for c in schema.split(", ")]
+
+    def walked(batches):
+        now, step, end = None, None, None
+        for batch in batches:
+            out = []
+            for key, row in zip(zip(*(batch[k].to_pylist() for k in keys)), zip(*(batch[c].to_pylist() for c in columns))):
+                if key != now:
+                    out.extend(end() if end else ())
+                    now, (step, end) = key, walk()
+                out.extend(step(now[0], *row))
+            yield _batch(out, names, kinds)
+        yield _batch(list(end()) if end else [], names, kinds)
+
+    return dealt.mapInArrow(walked, schema)
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    values = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
 
 
 def first_fit(seeds: DataFrame, max_dx: float | None, max_dy: float | None, max_dd: float | None) -> DataFrame:
@@ -50,28 +82,60 @@ def first_fit(seeds: DataFrame, max_dx: float | None, max_dy: float | None, max_
     cluster whose weighted mean lies within the limits (None: no limit), or starts one, named by its first tile.
     Seeds with null or NaN, or without positive strength, belong nowhere; of a repeated tile the strongest row,
     then the one of least disparity, counts."""
-    near = tuple(np.inf if m is None else m + ROUNDING for m in (max_dx, max_dy, max_dd))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tile")
-        at, weight = pdf[["x", "y", "disparity"]].to_numpy(float), pdf["strength"].to_numpy(float)
-        mean, mass, first, count = np.empty((len(pdf), 3)), np.zeros(len(pdf)), np.empty(len(pdf), int), 0
-        of = np.empty(len(pdf), int)
-        for i in range(len(pdf)):
-            fits = (np.abs(mean[:count] - at[i]) <= near).all(1)
-            c = int(fits.argmax()) if fits.any() else count
-            if c == count:
-                mean[c], first[c], count = at[i], i, count + 1
-            mass[c] += weight[i]
-            mean[c] += (at[i] - mean[c]) * (weight[i] / mass[c])
-            of[i] = c
-        tiles = pdf["tile"].to_numpy()
-        return pd.DataFrame({"scene": pdf["scene"], "tile": tiles, "cluster": tiles[first[of]]})
+    inf = float("inf")
+    near_x, near_y, near_d = (inf if m is None else m + ROUNDING for m in (max_dx, max_dy, max_dd))
+    # cells are wider than the limit, so what fits lies in a cell or next to it
+    wide_x, wide_y, wide_d = (inf if m is None else max(m + 2 * ROUNDING, 1e-3) for m in (max_dx, max_dy, max_dd))
+    around = list(product(*((0,) if m is None else (-1, 0, 1) for m in (max_dx, max_dd))))
+    rows_around = (0,) if max_dy is None else (-1, 0, 1)
+
+    def cell(v: float, wide: float) -> int:
+        return 0 if wide == inf else floor(v / wide)
+
+    def walk():
+        lines: dict[int, dict] = defaultdict(lambda: defaultdict(list))
+        count = 0
+
+        def step(scene, tile, x, y, d, w, ahead) -> Iterator[tuple]:
+            nonlocal count
+            line, cx, cd = cell(y, wide_y), cell(x, wide_x), cell(d, wide_d)
+            best = None
+            for k in rows_around:
+                cells = lines.get(line + k)
+                if cells is None:
+                    continue
+                for dx, dd in around:
+                    for c in cells.get((cx + dx, cd + dd), ()):
+                        if abs(c[2] - x) <= near_x and abs(c[3] - y) <= near_y and abs(c[4] - d) <= near_d and (best is None or c[0] < best[0]):
+                            best = c
+            if best is None:
+                best = [count, tile, x, y, d, w]
+                count += 1
+                lines[line][cx, cd].append(best)
+            else:
+                old = cell(best[3], wide_y), (cell(best[2], wide_x), cell(best[4], wide_d))
+                best[5] += w
+                share = w / best[5]
+                best[2] += (x - best[2]) * share
+                best[3] += (y - best[3]) * share
+                best[4] += (d - best[4]) * share
+                new = cell(best[3], wide_y), (cell(best[2], wide_x), cell(best[4], wide_d))
+                if new != old:
+                    lines[old[0]][old[1]].remove(best)
+                    lines[new[0]][new[1]].append(best)
+            if wide_y != inf and len(lines) > 8:
+                least = cell(ahead, wide_y) - 1
+                for k in [k for k in lines if k < least]:
+                    del lines[k]
+            yield scene, tile, best[1]
+
+        return step, lambda: ()
 
     good = seeds.select("scene", "tile", "x", "y", "disparity", "strength").dropna().where("strength > 0 and not isnan(strength) and not isnan(disparity)")
     best = F.max_by(F.struct("x", "y", "disparity", "strength"), F.struct("strength", -F.col("disparity"))).alias("s")
-    good = good.groupBy("scene", "tile").agg(best).select("scene", "tile", "s.*")
-    return _walked(good, [("x", "x", max_dx), ("y", "y", max_dy), ("disparity", "disparity", max_dd)], walk, "scene long, tile long, cluster long")
+    good = written(good.groupBy("scene", "tile").agg(best).select("scene", "tile", "s.*"))
+    axes = [("x", "x", max_dx), ("y", "y", max_dy), ("disparity", "disparity", max_dd)]
+    return _walked(good, axes, ["tile", "x", "y", "disparity", "strength"], ["tile"], walk, "scene long, tile long, cluster long", F.col("y"))
 
 
 def boxes(seeds: DataFrame, members: DataFrame, side: int = 0, up: int = 0, down: int = 0) -> DataFrame:
@@ -84,53 +148,108 @@ def boxes(seeds: DataFrame, members: DataFrame, side: int = 0, up: int = 0, down
     )
 
 
-def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.assign(_near=pdf["disparity"].round(9)).sort_values(["_near", "cluster"]).reset_index(drop=True)
+#: Columns and rows of a cell of boxes.
+CELL = 8, 16
+BOX = ["left", "right", "top", "bottom"]
+
+
+class _Boxes:
+    """Numbered boxes by the cells that they cover."""
 
+    def __init__(self):
+        self.cells: dict[tuple[int, int], list[int]] = defaultdict(list)
 
-def _crossing(box: np.ndarray, others: np.ndarray) -> np.ndarray:
-    return (others[:, 0] <= box[1]) & (others[:, 1] >= box[0]) & (others[:, 2] <= box[3]) & (others[:, 3] >= box[2])
+    @staticmethod
+    def _range(box) -> tuple[int, int, int, int]:
+        return floor(box[0] / CELL[0]), floor(box[1] / CELL[0]), floor(box[2] / CELL[1]), floor(box[3] / CELL[1])
+
+    def add(self, number: int, box, before=None) -> None:
+        """Number a box; of one that grew, give the box before."""
+        l, r, t, b = self._range(box)
+        old = self._range(before) if before else None
+        for y in range(t, b + 1):
+            inner = old and old[2] <= y <= old[3]
+            for x in (*range(l, old[0]), *range(old[1] + 1, r + 1)) if inner else range(l, r + 1):
+                self.cells[x, y].append(number)
+
+    def near(self, box) -> Iterator[int]:
+        """Numbers, some more than once, of boxes that share a cell."""
+        l, r, t, b = self._range(box)
+        for y in range(t, b + 1):
+            for x in range(l, r + 1):
+                yield from self.cells.get((x, y), ())
+
+
+def _crossing(a, b) -> bool:
+    return a[0] <= b[1] and b[0] <= a[1] and a[2] <= b[3] and b[2] <= a[3]
 
 
 def merged(clusters: DataFrame, tolerance: float) -> DataFrame:
     """Clusters after merging, with n_merged: in order of disparity, then name, each goes into the earliest one before it
     whose box crosses its own and whose disparity differs by less than `tolerance`; means and boxes follow at once."""
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _ordered(pdf)
-        box, mean, mass = pdf[["left", "right", "top", "bottom"]].to_numpy(), pdf[["disparity", "x", "y"]].to_numpy(float), pdf["strength"].to_numpy(float)
-        tiles, parts, kept = pdf["n_tiles"].to_numpy().copy(), np.ones(len(pdf), int), np.empty(0, int)
-        box, mean, mass = box.copy(), mean.copy(), mass.copy()
-        for i in range(len(pdf)):
-            fits = _crossing(box[i], box[kept]) & (np.abs(mean[kept, 0] - mean[i, 0]) < tolerance - ROUNDING)
-            if not fits.any():
-                kept = np.append(kept, i)
-                continue
-            c = kept[fits.argmax()]
-            mean[c] = (mean[c] * mass[c] + mean[i] * mass[i]) / (mass[c] + mass[i])
-            mass[c], tiles[c], parts[c] = mass[c] + mass[i], tiles[c] + tiles[i], parts[c] + 1
-            box[c] = np.where([True, False, True, False], np.minimum(box[c], box[i]), np.maximum(box[c], box[i]))
-        out = {"scene": pdf["scene"].to_numpy()[kept], "cluster": pdf["cluster"].to_numpy()[kept]}
-        out |= {c: mean[kept, k] for k, c in enumerate(("disparity", "x", "y"))} | {"strength": mass[kept], "n_tiles": tiles[kept]}
-        out |= {c: box[kept, k] for k, c in enumerate(("left", "right", "top", "bottom"))} | {"n_merged": parts[kept]}
-        return pd.DataFrame(out)
-
-    return _walked(clusters, [("left", "right", 0.0), ("top", "bottom", 0.0), ("disparity", "disparity", tolerance)], walk, CLUSTER + ", n_merged long")
+    def walk():
+        kept: dict[int, list] = {}
+        index, count, since = _Boxes(), 0, 0
+
+        def step(scene, cluster, d, x, y, w, tiles, left, right, top, bottom) -> Iterator[tuple]:
+            nonlocal index, count, since
+            box, into = (left, right, top, bottom), None
+            for k in index.near(box):
+                c = kept[k]
+                if (into is None or k < into) and abs(c[2] - d) < tolerance - ROUNDING and _crossing(c[7:11], box):
+                    into = k
+            since += 1
+            if into is None:
+                kept[count] = [scene, cluster, d, x, y, w, tiles, *box, 1]
+                index.add(count, box)
+                count += 1
+            else:
+                c = kept[into]
+                whole = c[5] + w
+                for k, v in ((2, d), (3, x), (4, y)):
+                    c[k] = (c[k] * c[5] + v * w) / whole
+                c[5], c[6], c[11], old = whole, c[6] + tiles, c[11] + 1, c[7:11]
+                c[7:11] = min(old[0], left), max(old[1], right), min(old[2], top), max(old[3], bottom)
+                if c[7:11] != old:
+                    index.add(into, c[7:11], old)
+            if since > max(4096, len(kept)):  # those left behind by disparity take no more; rows come within 1e-9 of its order
+                since, over = 0, [k for k, c in kept.items() if c[2] < d - tolerance - SLACK]
+                for k in over:
+                    yield tuple(kept.pop(k))
+                if over:
+                    index = _Boxes()
+                    for k, c in kept.items():
+                        index.add(k, c[7:11])
+
+        return step, lambda: [tuple(c) for c in kept.values()]
+
+    clusters = written(clusters.withColumn("_near", F.round("disparity", 9)))
+    columns = ["cluster", "disparity", "x", "y", "strength", "n_tiles", *BOX]
+    axes = [("left", "right", 0.0), ("top", "bottom", 0.0), ("disparity", "disparity", tolerance)]
+    return _walked(clusters, axes, columns, ["_near", "cluster"], walk, CLUSTER + ", n_merged long")
 
 
 def layered(clusters: DataFrame) -> DataFrame:
     """(scene, cluster, layer): in order of disparity, then name, each takes the lowest layer none of whose boxes crosses its own."""
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _ordered(pdf)
-        box, layer = pdf[["left", "right", "top", "bottom"]].to_numpy(), np.zeros(len(pdf), int)
-        for i in range(len(pdf)):
-            taken = np.unique(layer[:i][_crossing(box[i], box[:i])])
-            free = np.flatnonzero(taken != np.arange(len(taken)))
-            layer[i] = free[0] if free.size else len(taken)
-        return pd.DataFrame({"scene": pdf["scene"], "cluster": pdf["cluster"], "layer": layer})
+    def walk():
+        boxes, layers, index = [], [], _Boxes()
+
+        def step(scene, cluster, *box) -> Iterator[tuple]:
+            taken = {layers[k] for k in index.near(box) if _crossing(boxes[k], box)}
+            layer = 0
+            while layer in taken:
+                layer += 1
+            index.add(len(boxes), box)
+            boxes.append(box)
+            layers.append(layer)
+            yield scene, cluster, layer
+
+        return step, lambda: ()
 
-    return _walked(clusters, [("left", "right", 0.0), ("top", "bottom", 0.0)], walk, "scene long, cluster long, layer long")
+    clusters = written(clusters.withColumn("_near", F.round("disparity", 9)))
+    return _walked(clusters, [("left", "right", 0.0), ("top", "bottom", 0.0)], ["cluster", *BOX], ["_near", "cluster"], walk, "scene long, cluster long, layer long")
 
 
 def cuts(clusters: DataFrame, measured: DataFrame, apart: int, through_zero: bool) -> DataFrame:
@@ -139,9 +258,11 @@ def cuts(clusters: DataFrame, measured: DataFrame, apart: int, through_zero: boo
 
     measured: (scene, x, y, strength). The profile sums the strengths in the box by column. A gap is a run of columns
     between maxima that are none themselves; of those at least `apart` long, and with an empty column if through_zero, the
-    first one counts, cut in the middle of its lowest run. Boxes meet measurements by column, with rows compared there."""
+    first one counts, cut in the middle of its lowest run. Boxes meet measurements by column and stretch of 8 rows."""
     columns = clusters.select("scene", "cluster", "left", "top", "bottom", F.explode(F.sequence("left", "right")).alias("x"))
-    inside = measured.join(columns, ["scene", "x"]).where("y between top and bottom").groupBy("scene", "cluster", "x").agg(F.sum("strength").alias("h"))
+    stretch = lambda y: F.floor(F.col(y) / 8)
+    reached = columns.where("top <= bottom").withColumn("part", F.explode(F.sequence(stretch("top"), stretch("bottom"))))
+    inside = measured.withColumn("part", stretch("y")).join(reached, ["scene", "x", "part"]).where("y between top and bottom").groupBy("scene", "cluster", "x").agg(F.sum("strength").alias("h"))
     profile = columns.join(inside, ["scene", "cluster", "x"], "left").select("scene", "cluster", (F.col("x") - F.col("left")).alias("at"), F.coalesce("h", F.lit(0.0)).alias("h"))
     w = Window.partitionBy("scene", "cluster").orderBy("at")
     h = F.round("h", 9)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import periods, poles
+from ..shared import written
 from .views import MEAS, meas
 
 Q: dict = {}
@@ -37,7 +38,7 @@ def seeds(tiles: DataFrame) -> DataFrame:
 
 
 def _clusters(spark, sf_dir) -> DataFrame:
-    found = seeds(_tiles(spark, sf_dir))
+    found = written(seeds(_tiles(spark, sf_dir)))
     return poles.boxes(found, poles.first_fit(found, 1.5, 4.0, 3.0), side=1, up=1, down=6)
 
 
@@ -73,7 +74,7 @@ SELECT b.scene::BIGINT AS scene, b.cluster, ((low + coalesce(min(pos) FILTER (WH
 FROM good b JOIN p ON p.scene = b.scene AND p.cluster = b.cluster GROUP BY b.scene, b.cluster, low, r""")
 def pole_cuts(spark, sf_dir):
     """Where boxes around seeds fall into two by their profile of strengths across."""
-    t = _tiles(spark, sf_dir)
+    t = written(_tiles(spark, sf_dir))
     box = seeds(t).select("scene", F.col("tile").alias("cluster"), (F.col("x") - 3).alias("left"), (F.col("x") + 3).alias("right"), (F.col("y") - 1).alias("top"), (F.col("y") + 6).alias("bottom"))
     return poles.cuts(box, t.select("scene", "x", "y", "strength"), 2, False)
 

@@ -215,3 +215,43 @@ def test_queries_on_the_tables(spark):
     rows = [tuple(r) for r in meas(spark, SF).select("x", "y", "target", "resid", "strength").collect()]
     want = plain_periods(rows, trusted=0.05, floor=0.1, over=0.3, join=1.0, apart=4.0, repeats=2, tolerance=1.0)
     assert found(plan.periodic_tiles(spark, SF)) == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def long_scene(n=2500, width=6):
+    rng = np.random.default_rng(8)
+    return [(1, t, t % width, t // width, float(rng.choice([3.0, 3.5, 9.0])), float(rng.uniform(0.1, 1))) for t in range(0, n) if rng.random() < 0.6]
+
+
+def test_a_long_dense_scene_streams_through_its_walk(spark):
+    rows = long_scene()
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "100")  # state goes on from one batch to the next
+    try:
+        seeds = spark.createDataFrame(rows, SEED)
+        found = poles.first_fit(seeds, 1.5, 4.0, 1.0)
+        assert {k: v[0] for k, v in as_dict(found, "cluster").items()} == walked(rows, 1.5, 4.0, 1.0)
+        boxes = poles.boxes(seeds, found, 1, 1, 3).localCheckpoint()
+        for df in (found, poles.merged(boxes, 0.5), poles.layered(boxes)):
+            assert "FlatMapGroupsInPandas" not in plan_of(df) and "MapInArrow" in plan_of(df)
+        given, layer = {r["cluster"]: r for r in boxes.collect()}, as_dict(poles.layered(boxes), "layer")
+        by = {}
+        for (_, c), (k,) in layer.items():
+            by.setdefault(k, []).append(given[c])
+        cross = lambda a, b: a["left"] <= b["right"] and b["left"] <= a["right"] and a["top"] <= b["bottom"] and b["top"] <= a["bottom"]
+        assert not any(cross(a, b) for rows in by.values() for i, a in enumerate(rows) for b in rows[:i])
+        assert poles.merged(boxes, 0.5).agg({"n_tiles": "sum"}).first()[0] == len(rows)
+    finally:
+        spark.conf.set(batch, before)
+
+
+def test_boxes_meet_only_the_stretches_that_they_reach(spark):
+    rows = [(1, x, y, (1.0, 0.3, 0.1, 0.3, 1.0)[x]) for x in range(5) for y in range(-20, 200)]
+    boxes = spark.createDataFrame([(1, 7, 0, 4, -9, 30), (1, 8, 0, 4, 90, 91)], "scene long, cluster long, left long, right long, top long, bottom long")
+    found = poles.cuts(boxes, spark.createDataFrame(rows, "scene long, x long, y long, strength double"), 2, False)
+    assert {r["cluster"]: r["cut"] for r in found.collect()} == {7: 3, 8: 3}
+    assert "part#" in plan_of(found)
