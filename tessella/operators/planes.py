@@ -42,14 +42,14 @@ def cost(turn: float) -> Column:
 
 
 def _accepted(wanted: DataFrame, links: DataFrame, planes: DataFrame, most: float, turn: float) -> DataFrame:
-    """New links both ways: of wanted (a, b, dir), those that cost no more than `most`, whose both ends have no link in that
+    """New links both ways: of wanted (a, b, dir), those that cost no more than `most`, to nine decimals, whose both ends have no link in that
     direction, and that are the cheapest (then of the least numbers) for both ends."""
     back = lambda df: df.select(F.col("b").alias("a"), F.col("a").alias("b"), ((F.col("dir") + 4) % 8).alias("dir"))
     wanted = wanted.select("a", "b", "dir")
     both = wanted.unionByName(back(wanted)).distinct().join(links.select("a", "dir"), ["a", "dir"], "left_anti")
-    priced = _ends(both, planes).select("a", "b", "dir", cost(turn).alias("cost")).where(F.col("cost") <= most)
+    priced = _ends(both, planes).select("a", "b", "dir", F.round(cost(turn), 9).alias("cost")).where(F.col("cost") <= most)
     # ends count alike: the price of a pair is that of its lesser number's side
-    best = priced.groupBy("a", "dir").agg(F.min(F.struct(F.round("cost", 9).alias("cost"), F.least("a", "b"), F.greatest("a", "b"), "b"))["b"].alias("b"))
+    best = priced.groupBy("a", "dir").agg(F.min(F.struct("cost", F.least("a", "b"), F.greatest("a", "b"), "b"))["b"].alias("b"))
     return best.select("a", "b", "dir").join(back(best), ["a", "b", "dir"])
 
 

@@ -96,3 +96,14 @@ def test_smoothing(spark):
     for r in got.collect():
         assert (r["d"], r["tx"], r["ty"]) == pytest.approx(now[r["node"]][:3])
     assert all(a > b for a, b in zip(changes, changes[1:], strict=False)) and changes[-1] > 0
+
+
+def test_a_diagonal_that_costs_the_limit_is_taken_whatever_the_last_bit(spark):
+    """The limit holds for the cost to nine decimals, as in the query's SQL."""
+    found = ((a / 100, b / 100) for a in range(1, 80) for b in range(1, 80))
+    d, ty = next((d, ty) for d, ty in found if (c := (d + ty * 0.5) ** 2 + ty**2) > 0.5 and round(c, 9) == 0.5)
+    given = [(0, d, 0.0, ty, 1.0), (1, 9.0, 0.0, 0.0, 1.0), (2, 0.0, 0.0, 0.0, 1.0), (3, 0.0, 0.0, 0.0, 1.0)]
+    ways = [(0, 1, 2), (0, 2, 4), (1, 3, 4), (2, 3, 2)]
+    links = spark.createDataFrame(ways + [(b, a, (w + 4) % 8) for a, b, w in ways], "a long, b long, dir int")
+    got = pl.fill_squares(links, spark.createDataFrame(given, "node long, d double, tx double, ty double, weight double"), 0.5)
+    assert {(r["a"], r["b"], r["dir"]) for r in got.where("dir % 2 = 1").collect()} == {(0, 3, 3), (3, 0, 7)}
