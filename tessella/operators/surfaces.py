@@ -6,6 +6,8 @@ where a function says so. All results are defined by the tables alone: ties go b
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,53 @@ from ..shared import written
 ACROSS, ALONG = (2, 6), (0, 4)
 
 
+#: Nodes whose numbers share all but so many last bits are joined in one task first; a link between them is no round's work.
+BLOCK_BITS = 16
+#: Most touching pairs of a cluster that is merged in one task.
+LOCAL_PAIRS = 100_000
+
+
+def _least(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links that have a lesser one in reach, and the least one."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, label = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while True:
+        now = label.copy()
+        np.minimum.at(now, a, label[b])
+        np.minimum.at(now, b, label[a])
+        np.minimum.at(now, label, now.copy())  # what a node learns, the node that names it learns too
+        now = now[now]
+        if (now == label).all():
+            break
+        label = now
+    lower = label < np.arange(len(ids))
+    return ids[lower], ids[label[lower]]
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, cluster): cluster is the least node that links reach. A round takes the least label among neighbours and
+    """(node, cluster): cluster is the least node that links reach. Links within a block of numbers are contracted first, a
+    block a task; what is left are the links between blocks. There a round takes the least label among neighbours and
     then that label's own label, so rounds grow with the logarithm of a cluster's width in most shapes."""
-    ends = written(links.select("a", "b").where("a <> b").distinct())
-    labels = written(nodes.select("node", F.col("node").alias("cluster")))
+    ends = written(links.select("a", "b").where("a <> b"))
+    block = lambda c: F.shiftright(F.col(c).cast("long"), BLOCK_BITS)
+
+    def contracted(pdf: pd.DataFrame) -> pd.DataFrame:
+        node, root = _least(pdf["a"].to_numpy(), pdf["b"].to_numpy())
+        return pd.DataFrame({"node": node, "root": root})
+
+    inner = ends.where(block("a") == block("b")).select(block("a").alias("block"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    roots = written(inner.groupBy("block").applyInPandas(contracted, "node long, root long"))
+    root_of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+    outer = ends.where(block("a") != block("b")).join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    outer = outer.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")).where("a <> b").distinct()
+    named = _spread_labels(written(outer)).select(F.col("node").alias("root"), F.col("cluster").alias("least"))
+    found = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return written(found.join(named, "root", "left").select("node", F.coalesce("least", "root").alias("cluster")))
+
+
+def _spread_labels(ends: DataFrame) -> DataFrame:
+    """(node, cluster) of the nodes of links (a, b), which go both ways."""
+    labels = written(ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct().select("node", F.col("node").alias("cluster")))
     before = None
     while True:
         near = ends.join(labels.select(F.col("node").alias("b"), "cluster"), "b").groupBy(F.col("a").alias("node")).agg(F.min("cluster").alias("near"))
@@ -50,6 +94,16 @@ def _edge_order(a: Column, b: Column) -> Column:
     return (F.least(a, b) * 7919 + F.greatest(a, b) * 104729) % 1000003
 
 
+def _pair(p: str, q: str) -> list[Column]:
+    return [F.least(p, q).alias("p"), F.greatest(p, q).alias("q")]
+
+
+def _clashing(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of parts that share a tile (and what else keys name)."""
+    layers = parts.select(*keys, "part").distinct()
+    return layers.withColumnRenamed("part", "p").join(layers.withColumnRenamed("part", "q"), keys).where("p < q").select(*keys[1:], "p", "q").distinct()
+
+
 def merged(parts: DataFrame, links: DataFrame, by: str = "links") -> DataFrame:
     """(node, tile, part): parts of nodes (node, tile, part) merged while they touch and share no tile.
 
@@ -59,37 +113,110 @@ def merged(parts: DataFrame, links: DataFrame, by: str = "links") -> DataFrame:
     none could be merged further. A tile has few layers, so the pairs that share one are few.
     """
     parts = written(parts.select("node", "tile", "part"))
-    ends = written(links.select("a", "b").where("a < b").distinct())
+    touching = written(_touching(parts, links.select("a", "b").where("a < b").distinct()))
+    size = parts.groupBy("part").agg(F.count("*").alias("n")) if by == "nodes" else None
+    return _renamed(parts, _merge_rounds(touching, written(_clashing(parts, ["tile"])), size))
+
+
+def _touching(parts: DataFrame, ends: DataFrame) -> DataFrame:
+    part_of = lambda end: parts.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))
+    pairs = ends.join(part_of("a"), "a").join(part_of("b"), "b").where("part_a <> part_b")
+    return pairs.groupBy(*_pair("part_a", "part_b")).agg(F.count("*").alias("links"))
+
+
+def _renamed(parts: DataFrame, renames: DataFrame) -> DataFrame:
+    """parts under the names that chains of (q, p), q becomes p, end with; each is the least of its chain."""
+    both = written(renames.select(F.col("q").alias("a"), F.col("p").alias("b")))
+    both = both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    last = components(both.select(F.col("a").alias("node")).distinct(), both).select(F.col("node").alias("part"), F.col("cluster").alias("into"))
+    return parts.join(last, "part", "left").select("node", "tile", F.coalesce("into", "part").alias("part"))
+
+
+def _merge_rounds(touching: DataFrame, clash: DataFrame, size: DataFrame | None) -> DataFrame:
+    """(p, q) of all rounds, q became p. Rounds go over pairs of parts, not over nodes: when parts become one, links between pairs
+    add up and a clash of either stays. A part that touches none without a clash never will, and leaves."""
+    renames = None
     while True:
-        part_of = lambda end: parts.select(F.col("node").alias(end), F.col("part").alias(f"part_{end}"))
-        touching = ends.join(part_of("a"), "a").join(part_of("b"), "b").where("part_a <> part_b")
-        pair = [F.least("part_a", "part_b").alias("p"), F.greatest("part_a", "part_b").alias("q")]
-        touching = touching.groupBy(*pair).agg(F.count("*").alias("links"))
-        layers = parts.select("tile", "part").distinct()
-        clash = layers.select("tile", F.col("part").alias("p")).join(layers.select("tile", F.col("part").alias("q")), "tile").where("p < q").select("p", "q").distinct()
-        free = touching.join(clash, ["p", "q"], "left_anti")
-        if by == "nodes":
-            size = parts.groupBy("part").agg(F.count("*").alias("n"))
-            free = free.join(size.select(F.col("part").alias("p"), F.col("n").alias("np")), "p").join(size.select(F.col("part").alias("q"), F.col("n").alias("nq")), "q")
-            free = free.select("p", "q", (F.col("np") + F.col("nq")).alias("links"))
-        both = free.union(free.select(F.col("q").alias("p"), F.col("p").alias("q"), "links"))
+        free = written(touching.join(clash, ["p", "q"], "left_anti"))
+        ranked = free
+        if size is not None:
+            of = lambda end: size.select(F.col("part").alias(end), F.col("n").alias(f"n{end}"))
+            ranked = free.join(of("p"), "p").join(of("q"), "q").select("p", "q", (F.col("np") + F.col("nq")).alias("links"))
+        both = ranked.union(ranked.select(F.col("q").alias("p"), F.col("p").alias("q"), "links"))
         choice = both.groupBy("p").agg(F.max(F.struct("links", -_edge_order(F.col("p"), F.col("q")), -F.least("p", "q"), -F.greatest("p", "q"), "q"))["q"].alias("q"))
+        choice = written(choice)
         agreed = choice.join(choice.select(F.col("q").alias("p"), F.col("p").alias("q")), ["p", "q"]).where("p < q")
         agreed = written(agreed)
+        renames = agreed if renames is None else renames.union(agreed)
         if agreed.isEmpty():
-            return parts
-        renamed = parts.join(agreed.select(F.col("q").alias("part"), F.col("p").alias("into")), "part", "left")
-        parts = written(renamed.select("node", "tile", F.coalesce("into", "part").alias("part")))
+            return renames
+        into = lambda end: agreed.select(F.col("q").alias(end), F.col("p").alias(f"into_{end}"))
+        names = [F.coalesce("into_p", "p"), F.coalesce("into_q", "q")]
+        rename = lambda df: df.join(into("p"), "p", "left").join(into("q"), "q", "left").where(names[0] != names[1])
+        alive = choice.select(F.col("p").alias("alive"))
+        clash = clash.join(alive, F.col("p") == F.col("alive"), "left_semi").join(alive, F.col("q") == F.col("alive"), "left_semi")
+        clash = written(rename(clash).select(*_pair(*names)).distinct())
+        touching = rename(free).groupBy(*_pair(*names)).agg(F.sum("links").alias("links"))
+        if size is not None:
+            size = written(size.join(into("p").withColumnRenamed("p", "part"), "part", "left").groupBy(F.coalesce("into_p", "part").alias("part")).agg(F.sum("n").alias("n")))
+
+
+def _merge_pairs(p: np.ndarray, q: np.ndarray, links: np.ndarray, cp: np.ndarray, cq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rounds of _merge_rounds on arrays: (p, q), all of which q ends as which p."""
+    ids, at = np.unique(np.concatenate([p, q, cp, cq]), return_inverse=True)
+    n, k = len(ids), np.cumsum([len(p), len(q), len(cp)])
+    p, q, cp, cq = np.split(at, k)
+    root, clash = np.arange(n), np.unique(cp * n + cq)
+    while True:
+        free = ~np.isin(p * n + q, clash)
+        p, q, links = p[free], q[free], links[free]
+        if not len(p):
+            return ids[root[root < np.arange(n)]], ids[root < np.arange(n)]
+        order = np.fmod(ids[p] * 7919 + ids[q] * 104729, 1000003)
+        u, v, twice = np.concatenate([p, q]), np.concatenate([q, p]), lambda w: np.concatenate([w, w])
+        ranked = np.lexsort((twice(q), twice(p), twice(order), -twice(links), u))
+        first = ranked[np.flatnonzero(np.diff(u[ranked], prepend=-1))]
+        choice = np.full(n, -1)
+        choice[u[first]] = v[first]
+        mine = np.flatnonzero(choice >= 0)
+        mine = mine[(choice[choice[mine]] == mine) & (mine < choice[mine])]
+        name = np.arange(n)
+        name[choice[mine]] = mine
+        root = name[root]
+        p, q = np.minimum(name[p], name[q]), np.maximum(name[p], name[q])
+        there = p < q
+        key, at = np.unique(p[there] * n + q[there], return_inverse=True)
+        links, p, q = np.bincount(at, links[there], len(key)).astype(np.int64), key // n, key % n
+        cp, cq = name[clash // n], name[clash % n]
+        clash = np.unique(np.minimum(cp, cq) * n + np.maximum(cp, cq))
 
 
 def split_conflicts(clusters: DataFrame, links: DataFrame) -> DataFrame:
     """(node, tile, part) of clusters (node, tile, cluster): those that hold two layers of a tile come apart into parts
-    that hold but one, as large as merging by links makes them; others stay. part is the least node of each."""
+    that hold but one, as large as merging by links makes them; others stay. part is the least node of each.
+
+    Clusters don't mind each other: those of at most LOCAL_PAIRS pairs are merged in tasks that hold some of them, larger ones by
+    rounds over all, to the same parts."""
     twice = clusters.groupBy("cluster", "tile").agg(F.count("*").alias("n")).where("n > 1").select("cluster").distinct()
-    bad = written(clusters.join(twice, "cluster", "left_semi"))
+    twice = written(twice)
+    bad = written(clusters.join(twice, "cluster", "left_semi").select("node", "tile", "cluster", F.col("node").alias("part")))
     whole = clusters.join(twice, "cluster", "left_anti").select("node", "tile", F.col("cluster").alias("part"))
-    inner = links.join(bad.select(F.col("node").alias("a"), F.col("cluster").alias("of")), "a").join(bad.select(F.col("node").alias("b"), F.col("cluster").alias("of")), ["b", "of"])
-    return whole.union(merged(bad.select("node", "tile", F.col("node").alias("part")), inner))
+    of = lambda end: bad.select(F.col("node").alias(end), "cluster")
+    inner = links.select("a", "b").where("a < b").distinct().join(of("a"), "a").join(of("b"), ["b", "cluster"])
+    pairs = written(inner.select("cluster", F.col("a").alias("p"), F.col("b").alias("q"), F.lit(1).cast("long").alias("links")))
+    clash = written(_clashing(bad, ["tile", "cluster"]))
+    large = written(pairs.select("cluster").union(clash.select("cluster")).groupBy("cluster").count().where(F.col("count") > LOCAL_PAIRS).select("cluster"))
+    small = lambda df: df.join(F.broadcast(large), "cluster", "left_anti").withColumn("block", F.shiftright("cluster", BLOCK_BITS)).drop("cluster").groupBy("block")
+
+    def merge(touching: pd.DataFrame, clash: pd.DataFrame) -> pd.DataFrame:
+        p, q = _merge_pairs(*(touching[c].to_numpy(np.int64) for c in ("p", "q", "links")), *(clash[c].to_numpy(np.int64) for c in ("p", "q")))
+        return pd.DataFrame({"p": p, "q": q})
+
+    renames = small(pairs).cogroup(small(clash)).applyInPandas(merge, "p long, q long")
+    if not large.isEmpty():
+        of_large = lambda df: df.join(F.broadcast(large), "cluster", "left_semi").drop("cluster")
+        renames = renames.union(_merge_rounds(of_large(pairs), of_large(clash), None))
+    return whole.union(_renamed(bad, renames))
 
 
 def assigned(candidates: DataFrame, most_apart: float, least_gap: float, norm: float) -> DataFrame:

@@ -165,3 +165,30 @@ def test_fronts(spark, parts, strong):
     want = plain_fronts(starts, nodes, links, 0.4, strong, 1.5, 0.5, 5.0)
     assert {r["tile"]: r["node"] for r in taken.collect()} == want[0]
     assert {r["tile"]: r["dirs"] for r in wanted.collect()} == want[1]
+
+
+@pytest.mark.parametrize("bits, most", [(3, 0)])
+def test_blocks_and_large_clusters_give_the_same(spark, monkeypatch, bits, most):
+    """Whatever is contracted or merged in one task, components and parts are those of the plain walks."""
+    monkeypatch.setattr(surfaces, "BLOCK_BITS", bits)
+    monkeypatch.setattr(surfaces, "LOCAL_PAIRS", most)
+    nodes, links = scene(6, side=4)
+    df, edges = frames(spark, nodes, links)
+    tile, cluster = {k: v[0] for k, v in nodes.items()}, plain_components(nodes, links)
+    found = surfaces.components(df, edges)
+    assert {r["node"]: r["cluster"] for r in found.collect()} == cluster
+    bad = {c for (c, _), n in Counter((cluster[k], tile[k]) for k in nodes).items() if n > 1}
+    inner = [(a, b) for a, b, _ in links if cluster[a] in bad]
+    want = {k: c for k, c in cluster.items() if c not in bad} | plain_merged({k: k for k in nodes if cluster[k] in bad}, tile, inner)
+    assert bad and {r["node"]: r["part"] for r in surfaces.split_conflicts(df.join(found, "node").select("node", "tile", "cluster"), edges).collect()} == want
+
+
+def test_pairs_merged_in_a_task_are_those_of_the_rounds():
+    rng = np.random.default_rng(1)
+    tile = {k: k // 3 for k in range(90)}
+    links = {tuple(sorted(rng.choice(90, 2, replace=False).tolist())) for _ in range(150)}
+    links = [(a, b) for a, b in links if tile[a] != tile[b]]
+    p, q = np.array(links).T
+    clash = np.array([(a, b) for a in tile for b in tile if a < b and tile[a] == tile[b]])
+    into = dict(zip(*(v.tolist() for v in surfaces._merge_pairs(p, q, np.ones(len(p), np.int64), *clash.T)[::-1])))
+    assert {k: into.get(k, k) for k in tile} == plain_merged({k: k for k in tile}, tile, links)
