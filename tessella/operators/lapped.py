@@ -18,7 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import sliced, small_batches
+
 SIZE, BLOCK = 8, 8
+#: Blocks that are transformed at once, some 1 MB each on the way.
+AT_ONCE = 64
 #: Pixels of a block's side, and with its margin.
 SPAN, SIDE = SIZE * BLOCK, SIZE * (BLOCK + 1)
 
@@ -68,8 +72,10 @@ def transformed(pixels: DataFrame, key: str, width: int, height: int, kind: str
     value = F.coalesce(F.col("v").cast("double"), F.lit(0.0))
     blocks = placed.groupBy(key, "by", "bx").agg(F.collect_list(F.struct(place.alias("at"), value.alias("v"))).alias("pixels"))
 
+    small_batches(pixels.sparkSession)
+
     def transform(batches):
-        for batch in batches:
+        for batch in sliced(batches, AT_ONCE):
             n = batch.num_rows
             pixels = batch["pixels"]
             row = np.repeat(np.arange(n), pixels.value_lengths().to_numpy(zero_copy_only=False))
@@ -98,8 +104,10 @@ def restored(tiles: DataFrame, key: str, width: int, height: int, kind: str = "s
     blocks = tiles.where("clt is not null").groupBy(key, F.floor(F.col("ty") / BLOCK).alias("by"), F.floor(F.col("tx") / BLOCK).alias("bx"))
     blocks = blocks.agg(F.collect_list(F.struct(number.alias("at"), F.col("clt").cast("array<double>").alias("clt"))).alias("tiles"))
 
+    small_batches(tiles.sparkSession)
+
     def restore(batches):
-        for batch in batches:
+        for batch in sliced(batches, AT_ONCE):
             n = batch.num_rows
             row = np.repeat(np.arange(n), batch["tiles"].value_lengths().to_numpy(zero_copy_only=False))
             flat = batch["tiles"].flatten()

@@ -13,9 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import small_batches
+
 
 @dataclass(frozen=True)
 class Steps:
@@ -44,6 +47,9 @@ def _solved(jtj: np.ndarray, jtr: np.ndarray, damping: np.ndarray) -> tuple[np.n
 
 # many small fits
 
+#: Samples, with padding, that are fitted at once; each takes some 500 bytes on the way.
+PADDED = 1 << 16
+
 
 def fitted(model: Callable, start: np.ndarray, samples: dict[str, np.ndarray], value: np.ndarray, weight: np.ndarray, steps: Steps = Steps(), pull: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """Fit every problem of a batch. start (n, p); samples, value and weight (n, m), weight 0 where there is no sample; pull (p)
@@ -99,25 +105,31 @@ def fit_groups(samples: DataFrame, key: list[str], model: Callable, columns: lis
     groups = sound.groupBy(*key).agg(F.sort_array(F.collect_list(given)).alias("samples"), start.cast("array<double>").alias("start"))
     pulls = None if pull is None else np.array(pull)
 
+    small_batches(samples.sparkSession)
+
     def fit(batches):
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            sizes = batch["samples"].value_lengths().to_numpy(zero_copy_only=False)
-            row, flat = np.repeat(np.arange(n), sizes), batch["samples"].flatten()
-            at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            padded = {}
-            for c in (*columns, "value", "weight"):
-                padded[c] = np.zeros((n, int(sizes.max())))
-                padded[c][row, at] = flat.field(c).to_numpy(zero_copy_only=False)
-            value, weight = padded.pop("value"), padded.pop("weight")
-            first = batch["start"].flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            got = fitted(model, first, padded, value, weight, steps, pulls)
-            ends = pa.array(np.arange(n + 1, dtype=np.int32) * first.shape[1])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch[k] for k in key), pa.ListArray.from_arrays(ends, pa.array(got["parameters"].ravel())), *(pa.array(got[c]) for c in ("rms", "first_rms", "steps", "success"))],
-                [*key, "parameters", "rms", "first_rms", "steps", "success"])
+            most = pc.max(batch["samples"].value_lengths()).as_py() if batch.num_rows else 0
+            at_once = max(PADDED // max(most, 1), 1)
+            for start in range(0, batch.num_rows, at_once):
+                yield fit_some(batch.slice(start, at_once))
+
+    def fit_some(batch):
+        n = batch.num_rows
+        sizes = batch["samples"].value_lengths().to_numpy(zero_copy_only=False)
+        row, flat = np.repeat(np.arange(n), sizes), batch["samples"].flatten()
+        at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        padded = {}
+        for c in (*columns, "value", "weight"):
+            padded[c] = np.zeros((n, int(sizes.max())))
+            padded[c][row, at] = flat.field(c).to_numpy(zero_copy_only=False)
+        value, weight = padded.pop("value"), padded.pop("weight")
+        first = batch["start"].flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        got = fitted(model, first, padded, value, weight, steps, pulls)
+        ends = pa.array(np.arange(n + 1, dtype=np.int32) * first.shape[1])
+        return pa.RecordBatch.from_arrays(
+            [*(batch[k] for k in key), pa.ListArray.from_arrays(ends, pa.array(got["parameters"].ravel())), *(pa.array(got[c]) for c in ("rms", "first_rms", "steps", "success"))],
+            [*key, "parameters", "rms", "first_rms", "steps", "success"])
 
     kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in key)
     return groups.mapInArrow(fit, f"{kinds}, parameters array<double>, rms double, first_rms double, steps long, success boolean")

@@ -90,3 +90,16 @@ def test_turned_by_a_shift(spark):
     rows = moved.select(lapped.by_shift(lapped.correlated(F.col("t"), F.col("m"), 0.0)).alias("c"), lapped.shifted(F.col("m"), -F.col("x"), -F.col("y")).alias("back")).collect()
     assert np.unravel_index(np.argmax(rows[0]["c"]), (15, 15)) == (5, 10) and np.allclose(rows[0]["back"], t)
     assert rows[1]["c"] is None and rows[1]["back"] is None
+
+
+def test_slices_keep_what_is_computed_at_once_small(spark):
+    """A batch of any size is transformed and restored in slices."""
+    import pyarrow as pa
+
+    from tessella.shared import sliced, small_batches
+
+    batch = pa.RecordBatch.from_pydict({"a": list(range(1000))})
+    got = list(sliced([batch, batch.slice(0, 0)], 64))
+    assert max(b.num_rows for b in got) == 64 and [v for b in got for v in b["a"].to_pylist()] == list(range(1000))
+    small_batches(spark)
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
