@@ -322,14 +322,25 @@ g AS (SELECT *, sum(good) OVER (PARTITION BY n_tile ORDER BY place) - good AS so
 SELECT n_tile, round(CASE WHEN 2 * r * r * s0 - sr > 0 THEN (2 * r * r * sd - sdr) / (2 * r * r * s0 - sr) ELSE 0 END, 6) AS density FROM s""")
 def trusted_density(spark, sf_dir):
     """Density of trusted tiles: outward along a spiral until enough are found or the reach ends, nearer cells count
-    more. Each tile goes to the cells within reach, a fixed number, and meets its own by one grouping."""
-    t = tile(spark, sf_dir).select("n_tile", "x", "y", ((F.col("strength") >= 0.8) & ((F.col("n_tile") * 13) % 7 < 3)).cast("int").alias("good"))
-    cells = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(c, ("place", "ring", "dx", "dy"), strict=True))) for c in _spiral(_REACH)))
-    sent = t.select("good", "x", "y", F.explode(cells).alias("o")).select((F.col("x") - F.col("o.dx")).alias("x"), (F.col("y") - F.col("o.dy")).alias("y"), "o.place", "o.ring", (F.col("o.dx") * F.col("o.dx") + F.col("o.dy") * F.col("o.dy")).alias("r2"), "good")
-    c = t.select("n_tile", "x", "y").join(sent, ["x", "y"])
-    g = c.withColumn("so_far", F.sum("good").over(Window.partitionBy("x", "y").orderBy("place")) - F.col("good")).where(F.col("so_far") < _NEED)
-    s = g.groupBy("x", "y", "n_tile").agg(F.sum("good").alias("sd"), F.sum(F.col("good") * F.col("r2")).alias("sdr"), F.count("*").alias("s0"), F.sum("r2").alias("sr"), F.max("ring").alias("r"))
-    s = s.withColumn("r", F.when(F.col("sd") >= _NEED, F.col("r")).otherwise(_REACH + 1))
+    more. Each tile goes to the cells within reach, a fixed number; a cell's tiles are bits by place on the spiral, so nothing
+    is sorted and a tile is two numbers."""
+    spiral = _spiral(_REACH)
+    t = tile(spark, sf_dir).select("n_tile", "x", "y", (F.coalesce((F.col("strength") >= 0.8) & ((F.col("n_tile") * 13) % 7 < 3), F.lit(False))).alias("good"))
+    cells = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip((1 << c[0], *c[2:]), ("bit", "dx", "dy"), strict=True))) for c in spiral))
+    sent = t.select("good", "x", "y", F.explode(cells).alias("o")).select((F.col("x") - F.col("o.dx")).alias("x"), (F.col("y") - F.col("o.dy")).alias("y"), F.col("o.bit").cast("long").alias("bit"), "good")
+    seen = sent.groupBy("x", "y").agg(F.bit_or("bit").alias("there"), F.bit_or(F.when(F.col("good"), F.col("bit")).otherwise(F.lit(0).cast("long"))).alias("good"))
+    c = t.select("n_tile", "x", "y").join(seen, ["x", "y"])
+    last = "good"  # less its lowest bits, so that the lowest one left is that of the last tile needed
+    for _ in range(_NEED - 1):
+        last = f"({last} & ({last} - 1))"
+    c = c.withColumn("last", F.expr(f"({last}) & -({last})"))
+    c = c.withColumn("part", F.expr("case when last = 0 then there else there & (last | (last - 1)) end"))
+    bits = lambda f, v: sum(1 << c[0] for c in spiral if f(c) == v)
+    r2 = lambda c: c[2] ** 2 + c[3] ** 2
+    by_r2 = lambda of: " + ".join(f"{v} * bit_count({of} & {bits(r2, v)}L)" for v in sorted({r2(c) for c in spiral}))
+    ring = " ".join(f"when part & {bits(lambda c: c[1], k)}L <> 0 then {k}" for k in range(_REACH, -1, -1))
+    sums = {"sd": "bit_count(part & good)", "sdr": by_r2("part & good"), "s0": "bit_count(part)", "sr": by_r2("part"), "r": f"case when last = 0 then {_REACH + 1} {ring} end"}
+    s = c.select("n_tile", *(F.expr(v).cast("long").alias(k) for k, v in sums.items()))
     num, den = F.expr("2 * r * r * sd - sdr"), F.expr("2 * r * r * s0 - sr")
     return s.select("n_tile", F.round(F.when(den > 0, num / den).otherwise(0), 6).alias("density"))
 
