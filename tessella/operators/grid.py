@@ -70,6 +70,11 @@ def prune_few_neighbours(selection: DataFrame, least: int, rounds: int | None =
     return left
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that never broadcasts it: written tables are small on disk and, round for round, pass the driver otherwise."""
+    return df.hint("merge")
+
+
 def clusters(selection: DataFrame, steps=RING4) -> DataFrame:
     """(x, y, cluster) with cluster the smallest (y, x) code of the connected tiles. Where neighbours of a
     row are steps, its runs are contracted to their first tiles at once, so that only links between rows
@@ -85,22 +90,22 @@ def clusters(selection: DataFrame, steps=RING4) -> DataFrame:
     else:
         nodes = nodes.withColumn("r", code)
     nodes = written(nodes)
-    edges = pairs(nodes, ["r"], steps).join(nodes, ["x", "y"]).select(F.col("r").alias("a"), F.col("n_r").alias("b")).where("a <> b")
+    edges = pairs(_shuffled(nodes), ["r"], steps).join(_shuffled(nodes), ["x", "y"]).select(F.col("r").alias("a"), F.col("n_r").alias("b")).where("a <> b")
     edges = written(edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("l"))
     before = None
     while True:
         for _ in range(2):
             hop = label.select(F.col("a").alias("l"), F.col("l").alias("j"))
-            label = label.join(hop, "l").select("a", F.col("j").alias("l"))
+            label = label.join(_shuffled(hop), "l").select("a", F.col("j").alias("l"))
         label = written(label)
         now = label.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()[0]
         if now == before:
             break
         before = now
-        near = edges.join(label.select(F.col("a").alias("b"), F.col("l").alias("m")), "b").groupBy("a").agg(F.min("m").alias("m"))
-        label = label.join(near, "a").select("a", F.least("l", "m").alias("l"))
-    label = nodes.join(label.withColumnRenamed("a", "r"), "r", "left").select(code.alias("a"), F.coalesce("l", "r").alias("l"))
+        near = edges.join(_shuffled(label.select(F.col("a").alias("b"), F.col("l").alias("m"))), "b").groupBy("a").agg(F.min("m").alias("m"))
+        label = label.join(_shuffled(near), "a").select("a", F.least("l", "m").alias("l"))
+    label = nodes.join(_shuffled(label.withColumnRenamed("a", "r")), "r", "left").select(code.alias("a"), F.coalesce("l", "r").alias("l"))
     above = F.col("a") + F.lit(1 << 31)  # x may be negative, from -2^31 on
     return label.select((above.bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).alias("x"), F.shiftright(above, 32).alias("y"), F.col("l").alias("cluster"))
 
@@ -118,10 +123,10 @@ def closed(selection: DataFrame, steps: int, grid: DataFrame, poison: DataFrame
 
 def without_small_clusters(tiles: DataFrame, least: int, least_sum: float = 0.0, least_max: float = 0.0, steps=RING4) -> DataFrame:
     """Tiles (x, y, weight) of clusters of enough tiles, weight in all and largest weight."""
-    labelled = tiles.join(clusters(tiles, steps), ["x", "y"])
+    labelled = written(tiles.join(_shuffled(clusters(tiles, steps)), ["x", "y"]))
     good = labelled.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("weight").alias("s"), F.max("weight").alias("m"))
     good = good.where((F.col("n") >= least) & (F.col("s") >= least_sum) & (F.col("m") >= least_max))
-    return labelled.join(good.select("cluster"), "cluster", "left_semi").select("x", "y", "weight")
+    return labelled.join(_shuffled(good.select("cluster")), "cluster", "left_semi").select("x", "y", "weight")
 
 
 def spread(seeds: DataFrame, tiles: DataFrame, absolute: float, relative: float, steps=RING8) -> DataFrame:
@@ -162,9 +167,9 @@ def background(tiles: DataFrame, near: float, sure: float, maybe: float, most: f
         found = marked.where(flag).select("x", "y", F.lit(0.0).alias("weight"))
         return (without_small_clusters(found, least, steps=RING8) if least > 1 else found).select("x", "y", F.lit(True).alias(f"large_{flag}"))
 
-    kept = marked.join(written(large("seed", least_seed)), ["x", "y"], "left").join(written(large("front", least_block)), ["x", "y"], "left")
+    kept = marked.join(_shuffled(written(large("seed", least_seed))), ["x", "y"], "left").join(_shuffled(written(large("front", least_block))), ["x", "y"], "left")
     kept = kept.select("x", "y", "block", *(F.coalesce(f"large_{k}", F.lit(False)).alias(k) for k in ("seed", "front")))
     room = written(kept.where("seed or not (front or block)").select("x", "y", "seed"))
-    labelled = written(room.join(clusters(room.select("x", "y"), RING4), ["x", "y"]))
+    labelled = written(room.join(_shuffled(clusters(room.select("x", "y"), RING4)), ["x", "y"]))
     sown = labelled.where("seed").select("cluster").distinct()
-    return labelled.join(sown, "cluster", "left_semi").select("x", "y")
+    return labelled.join(_shuffled(sown), "cluster", "left_semi").select("x", "y")

@@ -213,3 +213,16 @@ def test_nearest_calibration_over_many_blocks(spark, monkeypatch):
     whole = registry.queries()["nearest_calibration"](spark, sf).collect()
     monkeypatch.setattr(surfaces, "BLOCK", 2)
     assert sorted(registry.queries()["nearest_calibration"](spark, sf).collect()) == sorted(whole)
+
+
+def test_clusters_broadcast_nothing(spark):
+    tiles = spark.createDataFrame([(x, y, 1.0) for x in range(6) for y in range(6) if (x * y) % 3], "x long, y long, weight double")
+    for df in (grid.clusters(tiles), grid.without_small_clusters(tiles, 2)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trusted_density_sorts_no_spirals(spark):
+    from tessella.plans import candidates
+
+    plan = candidates.trusted_density(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
