@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, bucket_links, connected_components, read, staged
+from . import common
+from .common import bounded_batches, bucket_links, connected_components, outline, read, staged  # noqa: F401
 from .words import labelled, mixed, shingles, word_hashes
 
 WORDS, SIMILARITY, SKETCHES, MINIMA = 5, 0.8, 24, 2
@@ -117,19 +118,13 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return n / (total - n) if n >= need else 0.0
 
 
-#: Classes of words that an outline counts, and members of a bucket that all are held against first.
-OUTLINE, LEADERS = 64, 2
-
-
-def outline(words: np.ndarray) -> np.ndarray:
-    """How many words of each of OUTLINE classes a text has."""
-    return np.bincount((words >> np.uint64(58)).astype(np.int64), minlength=OUTLINE)
+#: Members of a bucket that all are held against first.
+LEADERS = 2
 
 
 def may_be_alike(one: np.ndarray, many: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
     """Whether the words in common, which are no more than the counts in common, can reach a similarity of `least`."""
-    total = one.sum() + many.sum(1)
-    return np.minimum(one, many).sum(1) >= least * total / (1 + least) - 1e-6
+    return common.may_be_alike(one, many, least)
 
 
 def _runs(words: np.ndarray, k: int) -> np.ndarray:
@@ -182,7 +177,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", words: int = WORDS, lea
     classes = usable.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("sketches").alias("sketches"))
     alike = lambda x, y: similarity(x, y, least) >= least
     links = bucket_links(staged(classes.select("rep", "sketches"), "classes"), lambda ids: words_of(docs, ids, text), alike, agree=1,
-        leaders=LEADERS, outline=outline, may=lambda one, many: may_be_alike(one, many, least))
+        leaders=LEADERS, least=least)
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n"))
     component = connected_components(links)
     by_rep = degree.join(component.withColumnRenamed("node", "rep"), "rep")

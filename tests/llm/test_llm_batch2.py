@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tessella.llm import op06_pii, op07_order_minhash, op08_passages, op09_toxicity, op10_url_filter
+from tessella.llm import common
 from tessella.llm.common import bucket_links, connected_components
 from tessella.llm.words import labelled, shingles, word_hashes
 
@@ -408,3 +409,14 @@ def test_pipeline_stages(spark):
     packed = p.STAGES[-1][1](spark, seen, SF)
     assert packed.select("doc_id").distinct().count() == seen.select("doc_id").distinct().count()
     assert hashlib.sha1(b"").hexdigest()
+
+
+def test_components_leave_no_shuffle_files(spark):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    rows = [(k, k + 1) for k in range(3000)] + [(f"{k:05}", f"{k + 1:05}") for k in range(5000, 5300)]
+    e = spark.createDataFrame([(f"{a:05}" if isinstance(a, int) else a, f"{b:05}" if isinstance(b, int) else b) for a, b in rows], "a string, b string").repartition(8)
+    before = files()
+    found = connected_components(e)
+    assert files() - before <= 20  # each round left some before
+    got = {r["node"]: r["component"] for r in found.collect()}
+    assert got == {**{f"{k:05}": "00000" for k in range(3001)}, **{f"{k:05}": "05000" for k in range(5000, 5301)}}
