@@ -286,12 +286,15 @@ def clusters_of(docs: DataFrame, units: DataFrame, text: str, least: float) -> D
     met = staged(met.groupBy("content").agg(F.first("sketches").alias("sketches"), F.min("doc_id").alias("low")), "met")
     reps = met.select(F.col("content").alias("rep"), "sketches")
     wanted = met.select(F.col("content").alias("rep"), "low")
-    links = bucket_links(reps, lambda ids: _contents(docs, wanted.join(ids, "rep", "left_semi"), text), lambda x, y: min(len(x), len(y)) >= least * max(len(x), len(y)) and jaccard(x, y) >= least, agree=1, opened=lambda x: set(x.tolist()))
+    links = bucket_links(reps, lambda ids: _contents(docs, wanted.join(ids, "rep", "left_semi"), text), lambda x, y: min(len(x), len(y)) >= least * max(len(x), len(y)) and jaccard(x, y) >= least, agree=1, opened=lambda x: set(x.tolist()), least=least)
     linked = staged(connected_components(links).withColumnRenamed("node", "content"), "linked")
-    alone = contents.where("low <> high").join(small(linked.select("content")), "content", "left_anti").select("content", F.col("content").alias("cluster_id"), "low", "high")
-    inside = contents.join(small(linked), "content")
-    ends = inside.groupBy("component").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
-    return staged(alone.union(inside.select("content", "component").join(ends, "component").select("content", F.col("component").alias("cluster_id"), "low", "high")), "clusters")
+    # contents are grouped once: what stands in one document and is like no other content goes
+    named = contents.join(small(linked), "content", "left").where("component is not null or low <> high")
+    named = staged(named, "contents")
+    ends = named.where("component is not null").groupBy("component").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most")
+    alone = named.where("component is null").select("content", F.col("content").alias("cluster_id"), "low", "high")
+    inside = named.join(ends, "component").select("content", F.col("component").alias("cluster_id"), F.col("least").alias("low"), F.col("most").alias("high"))
+    return staged(alone.union(inside), "clusters")
 
 
 def _ranges(runs: DataFrame) -> DataFrame:

@@ -420,3 +420,20 @@ def test_components_leave_no_shuffle_files(spark):
     assert files() - before <= 20  # each round left some before
     got = {r["node"]: r["component"] for r in found.collect()}
     assert got == {**{f"{k:05}": "00000" for k in range(3001)}, **{f"{k:05}": "05000" for k in range(5000, 5301)}}
+
+
+def test_outlines_rule_out_no_similar_pair(spark):
+    rng = np.random.default_rng(2)
+    base = [rng.integers(0, 1 << 63, 20, np.uint64) * np.uint64(2) for _ in range(40)]
+    texts = [np.unique(x) for b in base for x in (b, np.append(b[2:], rng.integers(0, 1 << 63, 2, np.uint64)))]
+    shapes = common.outlines(texts)
+    may = np.array([common.may_be_alike(s, shapes, 0.8) for s in shapes])
+    alike = np.array([[op08_passages.jaccard(set(x.tolist()), set(y.tolist())) >= 0.8 for y in texts] for x in texts])
+    assert alike.sum() > 80 and (may | ~alike).all() and may.sum() < 400  # 6,400 pairs
+    assert common.outlines([]).shape == (0, 64)
+    # one bucket, small blocks: the same components with and without the outlines
+    reps = spark.createDataFrame([(k, [1, 2]) for k in range(len(texts))], "rep long, sketches array<long>")
+    runs = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(texts)], "rep long, runs binary")
+    same = lambda x, y: op08_passages.jaccard(x, y) >= 0.8
+    got = [{r["node"]: r["component"] for r in connected_components(bucket_links(reps, lambda ids: runs.join(ids, "rep"), same, 1, lambda x: set(x.tolist()), **more)).collect()} for more in ({}, {"least": 0.8})]
+    assert got[0] == got[1] and len(got[0]) == 80 and len(set(got[0].values())) == 40
