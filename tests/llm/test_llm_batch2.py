@@ -411,7 +411,9 @@ def test_pipeline_stages(spark):
     assert hashlib.sha1(b"").hexdigest()
 
 
-def test_components_leave_no_shuffle_files(spark):
+@pytest.mark.parametrize("at_once", [500, 100_000])
+def test_components_leave_no_shuffle_files(spark, monkeypatch, at_once):
+    monkeypatch.setattr(common, "AT_ONCE", at_once)  # by rounds, and in one stretch
     files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
     rows = [(k, k + 1) for k in range(3000)] + [(f"{k:05}", f"{k + 1:05}") for k in range(5000, 5300)]
     e = spark.createDataFrame([(f"{a:05}" if isinstance(a, int) else a, f"{b:05}" if isinstance(b, int) else b) for a, b in rows], "a string, b string").repartition(8)
