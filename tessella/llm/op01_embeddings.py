@@ -3,9 +3,10 @@
 Each pass draws random hyperplanes, concatenates a vector's sign bits to a 63-bit key, sorts all vectors
 by it and compares each with its next neighbours, a bounded window. Vectors whose cosine reaches the
 threshold agree on nine bits in ten, so they stand close in some pass. Planes go through the mean of the
-vectors that share the key so far (LEVELS, means of a sample), so that a dense group's keys part its own
-members; the number of passes follows from that of the vectors and from how dense they lie. Verified pairs
-of all passes are united into components.
+vectors that share the key so far (LEVELS), so that a dense group's keys part its own members; the number of
+passes follows from that of the vectors and from how dense they lie. Means, counts and distances are those of
+all vectors: tasks add up whole numbers by cell, so that no order of adding matters. Verified pairs of all
+passes are united into components.
 
 Within a component every pair is then counted exactly, by matrix products of blocks that give out one
 number per vector: a dense group of any size has its whole number of links, without a row per pair.
@@ -14,19 +15,23 @@ number per vector: a dense group of any size has its whole number of links, with
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, read, staged
+from .common import cleaned, connected_components, read, staged
 
 #: Passes at least and at most.
 COSINE, PASSES, MOST, WINDOW, BITS = 0.95, 16, 64, 32, 63
-#: Bits of a key before planes are centred anew; vectors (and components) of the sample that gives the means,
-#: of a mean at least; share of pairs at the threshold that passes are to find.
-LEVELS, SAMPLE, COMPONENTS, FEW, RECALL = (6, 6, 51), 20_000, 2_000_000, 16, 0.999
+#: Bits of a key before planes are centred anew; vectors of a cell that has an own mean, at least: so many, and
+#: all vectors over CELLS (other cells take the mean of the cell they part); share of pairs at the threshold that
+#: passes are to find.
+LEVELS, FEW, CELLS, RECALL = (6, 6, 51), 16, 4096, 0.999
+#: Parts of one in sums, parts of an octave in counts of squared distances, bytes of sums that a task holds.
+GRAIN, OCTAVE, HELD = 1 << 20, 64, 32 << 20
 #: Vectors of a block in the exact count, in the mean, and of a matrix product.
 BLOCK, TILE = 2048, 512
 
@@ -70,77 +75,211 @@ def prepared(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", "embedding").where("vec_id is not null").mapInArrow(scale, f"vec_id {kind}, raw binary, dim int")
 
 
+@lru_cache(MOST)
 def planes_of(seed: int, dim: int, k: int) -> np.ndarray:
     return np.random.default_rng([seed, dim, k]).standard_normal((dim, BITS))
 
 
-def _coded(x: np.ndarray, planes: np.ndarray, tables: list) -> np.ndarray:
-    """Keys of unit vectors by the levels of one pass that `tables` has: per level the keys so far that have
-    an own mean, and each mean's place on the level's planes; other keys take the mean of all."""
-    at, code, place, rest = 0, np.zeros(len(x), np.int64), x @ planes, tables[0][2]
-    for known, offsets, _ in tables:
-        width = offsets.shape[1]
-        own = np.minimum(np.searchsorted(known, code), len(known) - 1)
-        lost = known[own] != code
-        bits = place[:, at : at + width] > np.where(lost[:, None], rest[:, at : at + width], offsets[own])
+def _among(code: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each code is one of the ordered `known`, its place there)."""
+    if not len(known):
+        return np.zeros(len(code), bool), np.zeros(len(code), np.int64)
+    at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+    return known[at] == code, at
+
+
+def _centres(code: np.ndarray, known: np.ndarray, own: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """A row for each code: its cell's own, where `known` has the cell, else that of `parent`."""
+    there, at = _among(code, known)
+    return np.where(there[:, None], own[at], parent) if there.any() else parent
+
+
+def _coded(x: np.ndarray, planes: np.ndarray, tables: list) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of unit vectors by the levels of one pass that `tables` has, their places on the planes). A level has
+    the cells with an own mean and each mean's place on the planes from that level on."""
+    at, code, place = 0, np.zeros(len(x), np.int64), x @ planes
+    centre = np.zeros((len(x), BITS), np.float32)
+    for (known, own), width in zip(tables, LEVELS, strict=False):
+        centre = _centres(code, known, own, centre[:, -own.shape[1] :])
+        bits = place[:, at : at + width] > centre[:, :width]
         code = (code << width) | (bits.astype(np.int64) << np.arange(width - 1, -1, -1)).sum(1)
         at += width
-    return code
-
-
-def centred(sample: np.ndarray, planes: np.ndarray) -> tuple[list, np.ndarray]:
-    """(tables of one pass for `_coded`, the sample's squared distances from their last means)."""
-    tables, at, whole = [], 0, (sample.mean(0) @ planes)[None, :]
-    means = np.repeat(sample.mean(0)[None, :], len(sample), 0)
-    code = np.zeros(len(sample), np.int64)
-    for width in LEVELS:
-        known, first, of, n = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-        sums = np.zeros((len(known), sample.shape[1]))
-        np.add.at(sums, of, sample)
-        own = np.where((n >= FEW)[:, None], sums / n[:, None], means[first])
-        means = own[of]
-        tables.append((known, (own @ planes[:, at : at + width]).astype(np.float32), whole))
-        code = _coded(sample, planes, tables)
-        at += width
-    return tables, ((sample - means) ** 2).sum(1)
+    return code, place
+
+
+def _vectors(batch: pa.RecordBatch, number: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dim, rows of the batch, unit vectors) for each length of vectors."""
+    dims = batch["dim"].to_numpy()
+    for dim in np.unique(dims).tolist():
+        own = np.flatnonzero(dims == dim)
+        yield dim, own, unit(np.frombuffer(b"".join(batch["raw"].take(pa.array(own)).to_pylist()), number).reshape(-1, dim))
+
+
+def added(cell: np.ndarray, n: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each cell once, in order, with what its rows add up to."""
+    order = np.argsort(cell, kind="stable")
+    first = np.flatnonzero(np.diff(cell[order], prepend=-1))
+    if len(first) == len(cell):
+        return cell[order], n[order], sums[order]
+    return cell[order][first], np.add.reduceat(n[order], first), np.add.reduceat(sums[order], first)
+
 
+def _added_up(parts: Iterator[tuple], whole: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (dim, cell, n, sums) of what parts (dim, cell, n, sums) add up to: each cell once if `whole`, else
+    again whenever the cells outgrow HELD."""
+    held: dict[int, list] = {}
+    size, most = 0, HELD
 
-def enough(rows: int, spread: np.ndarray, least: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> int:
+    def contract() -> int:
+        for dim, some in held.items():
+            held[dim] = [added(*(np.concatenate(x) for x in zip(*some, strict=True)))]
+        return sum(x.nbytes for some in held.values() for x in some[0])
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for dim, [(cell, n, sums)] in held.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([dim] * len(cell), pa.int32()), pa.array(cell, pa.int64()), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in sums], pa.binary())], ["dim", "cell", "n", "sums"])
+        held.clear()
+
+    for dim, *part in parts:
+        held.setdefault(dim, []).append(part)
+        size += sum(x.nbytes for x in part)
+        if size > most:
+            size = contract()
+            if whole:
+                most = max(HELD, 2 * size)
+            elif size > HELD // 2:
+                yield from rows()
+                size = 0
+    contract()
+    yield from rows()
+
+
+def _sums(reps: DataFrame, models: dict, level: int, since: int, seed: int, number: str, wanted: dict | None = None, count: bool = False) -> dict:
+    """{dim: (cells, n, sums)} over all vectors: for the passes from `since` on the cells (pass * CELLS + key so far) with
+    their vectors and, unless only those count, the sums of places on the planes from `level` on, times GRAIN; of
+    pass 0, which comes by itself, the sums of the vectors. `wanted`: the cells that are asked for, if not all."""
+    shared = reps.sparkSession.sparkContext.broadcast((models, wanted))
+    at = sum(LEVELS[:level])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        models, wanted = shared.value
+        for batch in batches:
+            for dim, _, x in _vectors(batch, number):
+                for k in range(since, len(models[dim])):
+                    code, place = _coded(x, planes_of(seed, dim, k), models[dim][k])
+                    cell, value = code + k * CELLS, place[:, :0] if count else x if k == 0 else place[:, at:]
+                    if wanted is not None:
+                        own = _among(cell, wanted.get(dim, cell[:0]))[0]
+                        cell, value = cell[own], value[own]
+                    if len(cell):
+                        yield dim, *added(cell, np.ones(len(cell), np.int64), np.rint(value * GRAIN).astype(np.int64))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            dims = batch["dim"].to_numpy()
+            for dim in np.unique(dims).tolist():
+                own = pa.array(np.flatnonzero(dims == dim))
+                cell, n, sums = (batch[c].take(own) for c in ("cell", "n", "sums"))
+                yield dim, cell.to_numpy(), n.to_numpy(), np.frombuffer(b"".join(sums.to_pylist()), np.int64).reshape(len(cell), -1)
+
+    kind = "dim int, cell long, n long, sums binary"
+    found = reps.select("raw", "dim").mapInArrow(lambda batches: _added_up(parts(batches), False), kind)
+    if count:
+        found = found.groupBy("dim", "cell").agg(F.sum("n").alias("n")).where(F.col("n") >= FEW).withColumn("sums", F.lit(b""))
+    else:
+        found = found.repartition("dim", "cell").mapInArrow(lambda batches: _added_up(again(batches), True), kind)
+    out: dict = {}
+    with cleaned(reps.sparkSession):
+        rows = found.toArrow()
+    for dim, *part in again(rows.to_batches()):
+        out.setdefault(dim, []).append(part)
+    shared.unpersist()
+    return {dim: added(*(np.concatenate(x) for x in zip(*some, strict=True))) for dim, some in out.items()}
+
+
+def _spread(reps: DataFrame, models: dict, means: dict, seed: int, number: str) -> dict:
+    """{dim: (squared distances, n)} of all vectors from the last means of pass 0, in steps of an octave's OCTAVE-th."""
+    shared = reps.sparkSession.sparkContext.broadcast((models, means))
+    least = 32 * OCTAVE
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        models, means = shared.value
+        for batch in batches:
+            for dim, _, x in _vectors(batch, number):
+                centre = np.zeros_like(x)
+                for level, (known, own) in enumerate(means[dim]):
+                    centre = _centres(_coded(x, planes_of(seed, dim, 0), models[dim][0][:level])[0], known, own, centre)
+                octave = np.log2(np.maximum(((x - centre) ** 2).sum(1), 1e-9))
+                yield dim, *added(np.floor(octave * OCTAVE).astype(np.int64) + least, np.ones(len(x), np.int64), np.zeros((len(x), 0), np.int64))
+
+    found = reps.select("raw", "dim").mapInArrow(lambda batches: _added_up(parts(batches), False), "dim int, cell long, n long, sums binary")
+    out: dict = {}
+    with cleaned(reps.sparkSession):
+        for r in found.groupBy("dim", "cell").agg(F.sum("n").alias("n")).orderBy("dim", "cell").collect():
+            out.setdefault(r["dim"], []).append((2.0 ** ((r["cell"] - least) / OCTAVE), r["n"]))
+    shared.unpersist()
+    return {dim: tuple(np.array(x) for x in zip(*some, strict=True)) for dim, some in out.items()}
+
+
+def enough(rows: int, spread: tuple[np.ndarray, np.ndarray], least: float = COSINE, window: int = WINDOW, recall: float = RECALL) -> int:
     """Passes that find a pair at the threshold with that probability, PASSES to MOST: among all rows, and
-    among those that lie densest around their means, where fewer bits agree."""
-    out = PASSES
+    among those that lie densest around their means, where fewer bits agree. spread: (squared distances, ascending, n)."""
+    out, (distance, n) = PASSES, spread
     for share in (0.02, 0.05, 0.1, 0.25, 0.5, 1.0):
-        around = max(float(np.quantile(spread, share / 2)), 1e-9)
+        around = max(float(distance[np.searchsorted(np.cumsum(n), share / 2 * n.sum())]), 1e-9)
         alike = 1 - np.arccos(max(-1.0, 1 - (1 - least) / around)) / np.pi
         found = alike ** max(0.0, np.log2(max(share * rows, 1) / window))
         out = max(out, MOST if found < 1e-6 else PASSES if found > 1 - 1e-9 else int(np.ceil(np.log(1 - recall) / np.log(1 - found))))
     return min(out, MOST)
 
 
+def models_of(reps: DataFrame, passes: int | None, window: int, seed: int, least: float, number: str) -> dict[int, list]:
+    """{dim: tables of each pass, for `_coded`} of reps (raw, dim)."""
+    with cleaned(reps.sparkSession):
+        total = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    few = {dim: max(FEW, n // CELLS) for dim, n in total.items()}
+    models: dict[int, list] = {dim: [[]] for dim in total}
+    means: dict[int, list] = {dim: [] for dim in total}
+
+    def deepen(level: int, since: int) -> None:
+        wanted, at = None, sum(LEVELS[:level])
+        if level > 1:
+            wanted = {dim: cell[n >= few[dim]] for dim, (cell, n, _) in _sums(reps, models, level, since, seed, number, count=True).items()}
+        found = _sums(reps, models, level, since, seed, number, wanted)
+        for dim, tables in models.items():
+            cell, n, sums = found.get(dim, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, BITS - at if since else dim))))
+            own = n >= (few[dim] if level else 1)
+            cell, mean = cell[own], sums[own] / (GRAIN * n[own, None])
+            for k in range(since, len(tables)):
+                i, j = np.searchsorted(cell, [k * CELLS, (k + 1) * CELLS])
+                known, places = cell[i:j] - k * CELLS, mean[i:j]
+                if not since:
+                    means[dim].append((known, places))
+                    places = places @ planes_of(seed, dim, k)[:, at:]
+                tables[k].append((known, places.astype(np.float32)))
+
+    for level in range(len(LEVELS)):
+        deepen(level, 0)
+    spread = {} if passes else _spread(reps, models, means, seed, number)
+    for dim, n in total.items():
+        count, whole = passes or enough(n, spread[dim], least, window), means[dim][0]
+        models[dim] += [[(whole[0], (whole[1] @ planes_of(seed, dim, k)).astype(np.float32))] for k in range(1, count)]
+    for level in range(1, len(LEVELS)):
+        deepen(level, 1)
+    return models
+
+
 def keyed(reps: DataFrame, passes: int | None, window: int, seed: int, least: float, number: str) -> DataFrame:
     """reps (vec_id, raw, dim) with their keys, one a pass."""
-    models = {}
-    for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect():
-        dim, n = r["dim"], r["n"]
-        share = min(1.0, max(1, min(SAMPLE, COMPONENTS // dim)) / n)
-        some = reps.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) < F.lit(share * 1_000_003))).select("raw").toPandas()["raw"]
-        sample = unit(np.frombuffer(b"".join(some), number).reshape(-1, dim)) if len(some) else np.zeros((1, dim))
-        first = centred(sample, planes_of(seed, dim, 0))
-        count = passes or enough(n, first[1], least, window)
-        models[dim] = [first[0], *(centred(sample, planes_of(seed, dim, k))[0] for k in range(1, count))]
-    shared = reps.sparkSession.sparkContext.broadcast(models)
+    shared = reps.sparkSession.sparkContext.broadcast(models_of(reps, passes, window, seed, least, number))
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            dims, keys = batch["dim"].to_numpy(), [None] * batch.num_rows
-            for dim in np.unique(dims).tolist():
-                tables = shared.value[dim]
-                if dim not in planes:
-                    planes[dim] = [planes_of(seed, dim, k) for k in range(len(tables))]
-                own = np.flatnonzero(dims == dim)
-                x = unit(np.frombuffer(b"".join(batch["raw"].take(pa.array(own)).to_pylist()), number).reshape(-1, dim))
-                for k, row in zip(own, np.stack([_coded(x, p, t) for p, t in zip(planes[dim], tables, strict=True)], 1), strict=True):
+            keys = [None] * batch.num_rows
+            for dim, own, x in _vectors(batch, number):
+                found = [_coded(x, planes_of(seed, dim, k), tables)[0] for k, tables in enumerate(shared.value[dim])]
+                for k, row in zip(own, np.stack(found, 1), strict=True):
                     keys[k] = row
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("vec_id", "raw", "dim")), pa.array(keys, pa.list_(pa.int64()))], ["vec_id", "raw", "dim", "keys"])
 

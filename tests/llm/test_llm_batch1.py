@@ -6,6 +6,8 @@ import zlib
 from urllib.parse import quote
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,6 +60,61 @@ def test_embeddings_empty(spark):
     assert op01_embeddings.near_duplicates(df).count() == 0
 
 
+def test_embedding_models_from_all_vectors(spark, tmp_path):
+    """A dense group is keyed by its own means whatever its ids; ids that a sample by their hash had left out."""
+    rng = np.random.default_rng(6)
+    turn = lambda x, cosine: cosine * x + np.sqrt(1 - cosine**2) * op01_embeddings.unit((d := rng.standard_normal(x.shape)) - (d * x).sum(1, keepdims=True) * x)
+    group = turn(np.repeat(op01_embeddings.unit(rng.standard_normal((1, 512))), 4000, 0), np.sqrt(0.8))
+    x = np.concatenate([group, turn(group[:400], 0.952), op01_embeddings.unit(rng.standard_normal((600, 512)))])
+    hashed = spark.range(40_000).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1_000_003)) >= 790_000).toPandas()
+    ids = np.concatenate([hashed["id"][hashed["h"]][:4400], hashed["id"][~hashed["h"]][:600]])
+    of = {k: v for v, k in enumerate(ids.tolist())}
+    path = str(tmp_path / "vectors.parquet")
+    pq.write_table(pa.table({"vec_id": ids, "embedding": pa.array(list(x), pa.list_(pa.float64()))}), path)
+    reps = op01_embeddings.staged(op01_embeddings.prepared(spark.read.parquet(path)), "units")
+    rows = op01_embeddings.keyed(reps, None, op01_embeddings.WINDOW, 7, op01_embeddings.COSINE, "<f8").select("vec_id", "keys").collect()
+    keys = np.array([r["keys"] for r in sorted(rows, key=lambda r: of[r["vec_id"]])])
+    met = np.zeros(400, bool)
+    for key in keys.T:
+        place = np.argsort(np.argsort(key, kind="stable"))
+        met |= np.abs(place[:400] - place[4000:4400]) <= op01_embeddings.WINDOW
+    assert keys.shape[1] > op01_embeddings.PASSES  # the group is dense, and is seen
+    assert met.sum() >= 396
+    # means and keys are those of a plain computation over all vectors, at any partitioning
+    models = [op01_embeddings.models_of(reps.repartition(n), 2, op01_embeddings.WINDOW, 7, op01_embeddings.COSINE, "<f8")[512] for n in (1, 5)]
+    assert all(np.array_equal(a, b) for one, other in zip(*models, strict=True) for p, q in zip(one, other, strict=True) for a, b in zip(p, q, strict=True))
+    for k, tables in enumerate(models[0]):
+        place, code, at = x @ op01_embeddings.planes_of(7, 512, k), np.zeros(len(x), np.int64), 0
+        centre = np.zeros_like(place)
+        for (known, own), width in zip(tables, op01_embeddings.LEVELS, strict=True):
+            cells, n = np.unique(code, return_counts=True)
+            assert known.tolist() == cells[n >= 16].tolist()
+            for cell, places in zip(known.tolist(), own, strict=True):
+                assert np.allclose(places, (mean := place[code == cell].mean(0))[at:], atol=1e-4)
+                centre[code == cell] = mean
+            code = (code << width) | ((place > centre)[:, at : at + width].astype(np.int64) << np.arange(width - 1, -1, -1)).sum(1)
+            at += width
+
+
+def test_embedding_sums_of_bounded_size(monkeypatch):
+    """What a task gives out again and again adds up to the same."""
+    rng = np.random.default_rng(8)
+    parts = [(int(rng.integers(2, 4)), rng.integers(0, 50, 40), np.ones(40, np.int64), rng.integers(-9, 9, (40, 3))) for _ in range(30)]
+    monkeypatch.setattr(op01_embeddings, "HELD", 2000)
+    for whole in (False, True):
+        found: dict = {}
+        rows = [r for batch in op01_embeddings._added_up(iter(parts), whole) for r in batch.to_pylist()]
+        assert whole == (len(rows) == len({(r["dim"], r["cell"]) for r in rows}))
+        for r in rows:
+            found[r["dim"], r["cell"]] = found.get((r["dim"], r["cell"]), 0) + np.array([r["n"], *np.frombuffer(r["sums"], np.int64)])
+        want: dict = {}
+        for dim, cell, n, sums in parts:
+            for c, k, v in zip(cell.tolist(), n, sums, strict=True):
+                want[dim, c] = want.get((dim, c), 0) + np.array([k, *v])
+        assert {k: v.tolist() for k, v in found.items()} == {k: v.tolist() for k, v in want.items()}
+    assert list(op01_embeddings._added_up(iter(()), True)) == []
+
+
 # archives
 
 
