@@ -197,3 +197,27 @@ def test_repeats_in_a_long_text_and_in_nothing(spark, tmp_path):
     assert got[1][1:3] == (0, 0)
     spark.createDataFrame([], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/none/documents.parquet")
     assert suffixes.op13_suffix_repeats(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_a_chunk_takes_little_space_and_few_lie_in_a_row_group(spark, tmp_path, monkeypatch):
+    """Else memory grows with the chunks of a split, which are one page and one batch, and with the bytes that repeat."""
+    import glob
+    import tracemalloc
+
+    import pyarrow.parquet as pq
+
+    text = np.random.default_rng(9).integers(97, 123, 1 << 20).astype(np.uint8)
+    chunk = suffixes.Chunk(np.concatenate((text, text)), np.array([len(text), 2 * len(text)]), 64, {})
+    chunk.names("tuple")
+    tracemalloc.start()
+    gone = chunk.covered()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert gone.all() and len(chunk.open) > len(text) // 2
+    assert most < 40 * len(gone)  # half of the bytes are named by their 400 bytes
+    monkeypatch.setattr(suffixes, "CHUNK", 1000)
+    df = spark.createDataFrame([(k, f"{k} " * 300) for k in range(40)], "doc_id long, text string").coalesce(1)
+    files = [f for path in suffixes.chunked(df, "doc_id", "text").inputFiles() for f in glob.glob(path.removeprefix("file://"))]
+    rows = [g.num_rows for f in files for m in [pq.ParquetFile(f).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert sum(rows) >= 20 and max(rows) <= 2
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= 8 << 20
