@@ -134,10 +134,14 @@ def _renamed(parts: DataFrame, renames: DataFrame) -> DataFrame:
 
 def _merge_rounds(touching: DataFrame, clash: DataFrame, size: DataFrame | None) -> DataFrame:
     """(p, q) of all rounds, q became p. Rounds go over pairs of parts, not over nodes: when parts become one, links between pairs
-    add up and a clash of either stays. A part that touches none without a clash never will, and leaves."""
+    add up and a clash of either stays. A part that touches none without a clash never will, and leaves. Pairs get fewer from round to
+    round, for many rounds: once LOCAL_PAIRS are left in all, links (without size) go on in one task."""
     renames = None
     while True:
         free = written(touching.join(clash, ["p", "q"], "left_anti"))
+        if size is None and free.count() + clash.count() <= LOCAL_PAIRS:
+            last = _merged_in_tasks(free.withColumn("block", F.lit(0)), clash.withColumn("block", F.lit(0)))
+            return last if renames is None else renames.union(last)
         ranked = free
         if size is not None:
             of = lambda end: size.select(F.col("part").alias(end), F.col("n").alias(f"n{end}"))
@@ -191,12 +195,22 @@ def _merge_pairs(p: np.ndarray, q: np.ndarray, links: np.ndarray, cp: np.ndarray
         clash = np.unique(np.minimum(cp, cq) * n + np.maximum(cp, cq))
 
 
+def _merged_in_tasks(touching: DataFrame, clash: DataFrame) -> DataFrame:
+    """(p, q) of _merge_pairs, a block of touching (block, p, q, links) and clash (block, p, q) a task."""
+
+    def merge(touching: pd.DataFrame, clash: pd.DataFrame) -> pd.DataFrame:
+        p, q = _merge_pairs(*(touching[c].to_numpy(np.int64) for c in ("p", "q", "links")), *(clash[c].to_numpy(np.int64) for c in ("p", "q")))
+        return pd.DataFrame({"p": p, "q": q})
+
+    return touching.groupBy("block").cogroup(clash.groupBy("block")).applyInPandas(merge, "p long, q long")
+
+
 def split_conflicts(clusters: DataFrame, links: DataFrame) -> DataFrame:
     """(node, tile, part) of clusters (node, tile, cluster): those that hold two layers of a tile come apart into parts
     that hold but one, as large as merging by links makes them; others stay. part is the least node of each.
 
     Clusters don't mind each other: those of at most LOCAL_PAIRS pairs are merged in tasks that hold some of them, larger ones by
-    rounds over all, to the same parts."""
+    rounds over all, until no more are left, to the same parts."""
     twice = clusters.groupBy("cluster", "tile").agg(F.count("*").alias("n")).where("n > 1").select("cluster").distinct()
     twice = written(twice)
     bad = written(clusters.join(twice, "cluster", "left_semi").select("node", "tile", "cluster", F.col("node").alias("part")))
@@ -206,13 +220,8 @@ def split_conflicts(clusters: DataFrame, links: DataFrame) -> DataFrame:
     pairs = written(inner.select("cluster", F.col("a").alias("p"), F.col("b").alias("q"), F.lit(1).cast("long").alias("links")))
     clash = written(_clashing(bad, ["tile", "cluster"]))
     large = written(pairs.select("cluster").union(clash.select("cluster")).groupBy("cluster").count().where(F.col("count") > LOCAL_PAIRS).select("cluster"))
-    small = lambda df: df.join(F.broadcast(large), "cluster", "left_anti").withColumn("block", F.shiftright("cluster", BLOCK_BITS)).drop("cluster").groupBy("block")
-
-    def merge(touching: pd.DataFrame, clash: pd.DataFrame) -> pd.DataFrame:
-        p, q = _merge_pairs(*(touching[c].to_numpy(np.int64) for c in ("p", "q", "links")), *(clash[c].to_numpy(np.int64) for c in ("p", "q")))
-        return pd.DataFrame({"p": p, "q": q})
-
-    renames = small(pairs).cogroup(small(clash)).applyInPandas(merge, "p long, q long")
+    small = lambda df: df.join(F.broadcast(large), "cluster", "left_anti").withColumn("block", F.shiftright("cluster", BLOCK_BITS)).drop("cluster")
+    renames = _merged_in_tasks(small(pairs), small(clash))
     if not large.isEmpty():
         of_large = lambda df: df.join(F.broadcast(large), "cluster", "left_semi").drop("cluster")
         renames = renames.union(_merge_rounds(of_large(pairs), of_large(clash), None))

@@ -1,11 +1,15 @@
 """Clusters of layers, their splitting and merging, competing fronts: against plain versions, at several partitionings."""
 
+import os
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 from tessella.operators import surfaces
+from tessella.plans import layered
+
+SF = "/root/testdata/sf0.001"
 
 STEP = {0: (0, -1), 1: (1, -1), 2: (1, 0), 3: (1, 1), 4: (0, 1), 5: (-1, 1), 6: (-1, 0), 7: (-1, -1)}
 
@@ -192,3 +196,19 @@ def test_pairs_merged_in_a_task_are_those_of_the_rounds():
     clash = np.array([(a, b) for a in tile for b in tile if a < b and tile[a] == tile[b]])
     into = dict(zip(*(v.tolist() for v in surfaces._merge_pairs(p, q, np.ones(len(p), np.int64), *clash.T)[::-1])))
     assert {k: into.get(k, k) for k in tile} == plain_merged({k: k for k in tile}, tile, links)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("most", [100_000, 500])
+def test_split_layers_has_clusters_to_take_apart(spark, monkeypatch, most):
+    """Of all links, not of those of equal surfaces, in whose clusters no tile has two layers; large clusters end in one task."""
+    monkeypatch.setattr(surfaces, "LOCAL_PAIRS", most)
+    tile = {r["node"]: r["tile"] for r in layered.layers(spark, SF).collect()}
+    links = [tuple(r) for r in layered.layer_links(spark, SF).select("a", "b", "dir").collect()]
+    cluster = plain_components(tile, links)
+    bad = {c for (c, _), n in Counter((cluster[k], tile[k]) for k in tile).items() if n > 1}
+    inner = [(a, b) for a, b, _ in links if cluster[a] in bad]
+    want = {k: c for k, c in cluster.items() if c not in bad} | plain_merged({k: k for k in tile if cluster[k] in bad}, tile, inner)
+    got = {r["node"]: r["part"] for r in layered.split_layers(spark, SF).collect()}
+    assert bad and got == want and got != cluster
+    assert max(Counter((p, tile[k]) for k, p in got.items()).values()) == 1
